@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables",)
+MODULES = ("tables", "distance")
 
 
 def load_all() -> None:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "distance")
+MODULES = ("tables", "distance", "linear")
 
 
 def load_all() -> None:

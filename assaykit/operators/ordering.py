@@ -145,30 +145,36 @@ def _resolve_brackets(df, names, pending, out, first, collect_limit):
         x = c(names[i]).cast("double")
         counts.append(F.count_if(x < F.lit(low)).alias(f"b{k}"))
         counts.append(F.count_if(x.between(F.lit(low), F.lit(high))).alias(f"m{k}"))
-        inner = F.when(x.between(F.lit(low), F.lit(high)), x)
-        counts.append(F.percentile_approx(inner, [t / 64 for t in range(1, 64)], QUANTILE_ACCURACY).alias(f"s{k}"))
-        counts.append(F.approx_count_distinct(inner).alias(f"d{k}"))
     row = df.agg(*counts).first()
-    ready, again = [], []
+    ready, again, crowded = [], [], []
     for k, item in enumerate(pending):
         i, j, pos, low, high = item
         below, inside = row[f"b{k}"], row[f"m{k}"]
-        start, stop = math.floor(pos), math.ceil(pos)
-        if below > start:
+        if below > math.floor(pos):
             again.append([i, j, pos, first[f"lo{i}"], high])
-        elif below + inside <= stop:
+        elif below + inside <= math.ceil(pos):
             again.append([i, j, pos, low, first[f"hi{i}"]])
-        elif row[f"d{k}"] > collect_limit and high > low:
-            inner = sorted({low, *row[f"s{k}"], high})
-            share = (pos - below) / max(1, inside)
-            spot = min(len(inner) - 1, int(share * (len(inner) - 1)))
-            narrower = [i, j, pos, inner[max(0, spot - 2)], inner[min(len(inner) - 1, spot + 2)]]
-            again.append(narrower if narrower[3:] != [low, high] else item)
-            if again[-1] is item:
-                ready.append((k, item, below))
-                again.pop()
+        elif inside > collect_limit and high > low:
+            crowded.append((k, item, below, inside))
         else:
             ready.append((k, item, below))
+    if crowded:
+        narrow = []
+        for k, (i, _, _, low, high), _, _ in crowded:
+            x = c(names[i]).cast("double")
+            inner = F.when(x.between(F.lit(low), F.lit(high)), x)
+            narrow.append(F.percentile_approx(inner, [t / 64 for t in range(1, 64)], QUANTILE_ACCURACY).alias(f"s{k}"))
+            narrow.append(F.approx_count_distinct(inner).alias(f"d{k}"))
+        found = df.agg(*narrow).first()
+        for k, item, below, inside in crowded:
+            i, j, pos, low, high = item
+            steps = sorted({low, *found[f"s{k}"], high})
+            spot = min(len(steps) - 1, int((pos - below) / inside * (len(steps) - 1)))
+            closer = [i, j, pos, steps[max(0, spot - 2)], steps[min(len(steps) - 1, spot + 2)]]
+            if found[f"d{k}"] <= collect_limit or closer[3:] == [low, high]:
+                ready.append((k, item, below))
+            else:
+                again.append(closer)
     if ready:
         tagged = F.array(
             *[

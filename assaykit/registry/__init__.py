@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "distance", "linear")
+MODULES = ("tables", "distance", "linear", "trees")
 
 
 def load_all() -> None:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.operators.split import class_counts
-from assaykit.operators.sums import fan_out, sum_arrays
+from assaykit.operators.sums import balanced, fan_out, sum_arrays
 from assaykit.table import c, cut_lineage
 
 MISSING = 255
@@ -97,7 +97,7 @@ def _binned(df: DataFrame, binning: Binning, target: str, row_id: str, outputs:
     base = df.select(
         F.xxhash64(c(row_id)).alias("h"), c(target).cast("double").alias("y"), *[c(f).cast("double").alias(f) for f in names]
     ).filter("y is not null")
-    return base.mapInPandas(convert, "h long, y double, bins binary, score array<double>")
+    return balanced(base).mapInPandas(convert, "h long, y double, bins binary, score array<double>")
 
 
 def _codes(pdf: pd.DataFrame, d: int) -> np.ndarray:
@@ -252,7 +252,7 @@ def boost(
             chosen = [np.sort(rng.permutation(d)[: max(1, math.ceil(colsample * d))]) for _ in range(outputs)]
             open_nodes = [[0] for _ in range(outputs)]
             recent = trees[folded:]
-            for depth in range(max_depth + 1):
+            for depth in range(max_depth):
                 slots = [(k, n) for k in range(outputs) for n in open_nodes[k]]
                 if not slots:
                     break
@@ -293,11 +293,14 @@ def boost(
                     first = chosen[k][0]
                     G, H, N = hist[i, first].sum(axis=0)
                     tree.value[n], tree.count[n] = _leaf(G, H, l1, l2), float(N)
-                    if depth == max_depth:
-                        continue
                     best = _best_cut(hist[i], chosen[k], G, H, N, binning, l1, l2, min_child, gamma)
                     if best is not None:
-                        new_open[k] += tree.split(n, *best)
+                        # both children are known from the cut, so the last level needs no pass of its own
+                        cut, (gl, hl, nl) = best
+                        kids = tree.split(n, *cut)
+                        for kid, (g, h, m) in zip(kids, ((gl, hl, nl), (G - gl, H - hl, N - nl))):
+                            tree.value[kid], tree.count[kid] = _leaf(g, h, l1, l2), float(m)
+                        new_open[k] += kids
                 open_nodes = new_open
             trees.append(group)
             if len(trees) - folded >= FOLD_EVERY and step < rounds - 1:
@@ -352,8 +355,8 @@ def _best_cut(hist, chosen, G, H, N, binning, l1, l2, min_child, gamma):
             ok = (hl >= min_child) & (hr >= min_child) & (nl > 0) & (nr > 0)
             gain = np.where(ok, 0.5 * (strength(gl, hl) + strength(gr, hr) - parent) - gamma, -np.inf)
             b = int(gain.argmax())
-            if gain[b] > 1e-12 and (best is None or gain[b] > best[3]):
-                best = (int(j), b, default_left, float(gain[b]))
+            if gain[b] > 1e-12 and (best is None or gain[b] > best[0][3]):
+                best = (int(j), b, default_left, float(gain[b])), (gl[b], hl[b], nl[b])
     return best
 
 
@@ -385,7 +388,7 @@ def random_cut_forest(
         return hot
 
     try:
-        for depth in range(max_depth + 1):
+        for depth in range(max_depth):
             next_open = []
             per_pass = max(1, SUM_WIDTH // ((m + 1) * stats))
             for start in range(0, len(open_nodes), per_pass):
@@ -393,7 +396,7 @@ def random_cut_forest(
                 cuts = {}
                 for s in batch:
                     movable = [j for j in rng.permutation(d) if spans[s][j][1] >= spans[s][j][0] and binning.edges[j]][:m]
-                    cuts[s] = [(int(j), int(rng.integers(spans[s][j][0], spans[s][j][1] + 1))) for j in movable] if depth < max_depth else []
+                    cuts[s] = [(int(j), int(rng.integers(spans[s][j][0], spans[s][j][1] + 1))) for j in movable]
                 index = {s: i for i, s in enumerate(batch)}
 
                 def add(pdf, batch=batch, cuts=cuts, index=index):
@@ -420,10 +423,8 @@ def random_cut_forest(
                 for s, i in index.items():
                     t, n = s
                     tree, total = forest[t], sums[i, m]
-                    size = total[0] if classes is None else total.sum()
-                    tree.count[n] = float(size)
-                    tree.value[n] = total[1] / size if classes is None and size else (list(total / size) if size else [0.0] * stats)
-                    if depth == max_depth or size < min_split or _impurity(total, classes) <= 1e-12:
+                    size = _settle(tree, n, total, classes)
+                    if size < min_split or _impurity(total, classes) <= 1e-12:
                         continue
                     best = None
                     for q, (j, b) in enumerate(cuts[s]):
@@ -433,10 +434,11 @@ def random_cut_forest(
                             continue
                         gain = _impurity(total, classes) * size - _impurity(left, classes) * nl - _impurity(right, classes) * (size - nl)
                         if best is None or gain > best[3]:
-                            best = (j, b, True, float(gain))
+                            best = (j, b, True, float(gain), q)
                     if best is not None:
-                        kids = tree.split(n, *best)
+                        kids = tree.split(n, *best[:4])
                         for side, kid in enumerate(kids):
+                            _settle(tree, kid, sums[i, best[4]] if side == 0 else total - sums[i, best[4]], classes)
                             span = list(spans[s])
                             lo, hi = span[best[0]]
                             span[best[0]] = (lo, best[1] - 1) if side == 0 else (best[1] + 1, hi)
@@ -453,6 +455,17 @@ def random_cut_forest(
     return TreeEnsemble(binning, [[t] for t in forest], "forest", np.zeros(outputs), 1.0, tuple(classes) if classes is not None else None)
 
 
+def _settle(tree: Tree, node: int, total: np.ndarray, classes) -> float:
+    """Write size and value of a node from its statistics; returns the size."""
+    size = total[0] if classes is None else total.sum()
+    tree.count[node] = float(size)
+    if classes is None:
+        tree.value[node] = total[1] / size if size else 0.0
+    else:
+        tree.value[node] = list(total / size) if size else [0.0] * len(total)
+    return float(size)
+
+
 def _impurity(s: np.ndarray, classes) -> float:
     if classes is None:
         return float(s[2] / s[0] - (s[1] / s[0]) ** 2) if s[0] > 0 else 0.0

@@ -24,6 +24,12 @@ def fan_out(df: DataFrame) -> int:
     return 1 if parts <= FAN_OUT else FAN_OUT
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a table that arrives in fewer pieces than there are cores; iterative fits read it many times."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sum_arrays(df: DataFrame, add: Callable[[pd.DataFrame], np.ndarray], fan: int = 1) -> np.ndarray:
     """Sum of ``add(rows)`` over the table; ``add`` sees at most ROWS_AT_ONCE rows and has a fixed width."""
 
@@ -52,7 +58,7 @@ def training_frame(df: DataFrame, features: Sequence[str], target: str | None =
         cols.append(c(target).cast("double").alias("y"))
     if weight is not None:
         cols.append(c(weight).cast("double").alias("w"))
-    return df.select(*cols).na.drop()
+    return balanced(df.select(*cols).na.drop())
 
 
 def matrix(pdf: pd.DataFrame, d: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "distance", "linear", "trees")
+MODULES = ("tables", "distance", "linear", "trees", "patterns")
 
 
 def load_all() -> None:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("tables", "distance", "linear", "trees", "patterns")
+MODULES = ("tables", "distance", "linear", "trees", "patterns", "runs")
 
 
 def load_all() -> None:

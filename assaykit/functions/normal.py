@@ -40,7 +40,8 @@ def normal_cdf(x: Column) -> Column:
 
 def chi2_tail_1(h: Column) -> Column:
     """Upper tail of the chi-square law with one degree of freedom."""
-    return F.least(F.lit(1.0), 2 * normal_tail(F.sqrt(F.greatest(h, F.lit(0.0)))))
+    tail = F.least(F.lit(1.0), 2 * normal_tail(F.sqrt(F.greatest(h, F.lit(0.0)))))
+    return F.when(h.isNotNull(), tail)
 
 
 def _horner_sql(z: str, coefficients: tuple[float, ...]) -> str:

@@ -121,7 +121,7 @@ def signed_rank_test(df: DataFrame, a: str, b: str) -> DataFrame:
     z = F.try_divide(stat - n * (n + 1) / 4, F.sqrt(F.when(var > 0, var)))
     return sums.select(
         n.cast("long").alias("n"), stat.alias("statistic"), z.alias("z"),
-        F.least(F.lit(1.0), 2 * normal_tail(z)).alias("p_value"),
+        F.when(z.isNotNull(), F.least(F.lit(1.0), 2 * normal_tail(z))).alias("p_value"),
         F.when(n == 0, F.lit("no non-zero difference")).alias("reason"),
     )
 

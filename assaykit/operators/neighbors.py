@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assaykit.table import c, features_array
 
@@ -100,14 +101,17 @@ def distances(a: np.ndarray, b: np.ndarray, p: float = 2.0) -> np.ndarray:
 
 
 def _with_cell(df: DataFrame, cells: Cells) -> DataFrame:
-    schema = df.schema.simpleString()[len("struct<") : -1]
     names = df.columns
 
     def tag(batches):
         for pdf in batches:
             yield pdf.assign(_cell=cells.assign(_matrix(pdf["_f"])))[[*names, "_cell"]]
 
-    return df.mapInPandas(tag, df.schema.add("_cell", "long")) if schema else df
+    return df.mapInPandas(tag, _plus_cell(df))
+
+
+def _plus_cell(df: DataFrame) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField("_cell", T.LongType())])
 
 
 def build_cells(points: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Cells]:
@@ -152,7 +156,7 @@ def block_join(
 
     ``radius`` names a query column; cells farther away than it are skipped. Without it every cell counts.
     """
-    out_schema = queries.schema.add("_cell", "long")
+    out_schema = _plus_cell(queries)
     names = queries.columns
 
     def candidates(batches):

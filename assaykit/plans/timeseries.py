@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from assaykit.operators.checks import check_rows, range_rules, require_clean
 from assaykit.operators.neighbors import build_cells, locations, sums_over
 from assaykit.operators.ordering import bucket_boundaries, running_totals, with_bucket
-from assaykit.table import c, cut_lineage, hash_uniform
+from assaykit.table import c, cut_lineage, hash_uniform, nan_to_null
 
 # Fixed values of the published weighting: degrees, million years, overall factor.
 DEGREE_SCALE = 2.0
@@ -210,6 +210,7 @@ def subaerial_series(df: DataFrame, spec: SeriesSpec, method: str = "draws", mis
     ``missing_probability``: ``error``; ``drop`` removes such rows; ``denominator`` leaves them out of the
     resampling but counts their jittered age in every iteration.
     """
+    df = nan_to_null(df)
     bins = validate(df, spec, missing_probability != "error")
     extra = None
     if missing_probability != "error":

@@ -373,10 +373,10 @@ def random_cut_forest(
     binning = fit_binning(df, features, bins)
     table = _binned(df, binning, target, row_id, 1).persist()
     fan = fan_out(table)
-    rng = np.random.default_rng(seed)
     m = max_features or (d if classes is None else max(1, int(math.sqrt(d))))
     forest = [Tree() for _ in range(trees)]
     spans = {(t, 0): [(0, max(0, len(e) - 1)) for e in binning.edges] for t in range(trees)}
+    path = {(t, 0): 1 for t in range(trees)}
     open_nodes = [(t, 0) for t in range(trees)]
 
     def statistics(y):
@@ -395,6 +395,8 @@ def random_cut_forest(
                 batch = open_nodes[start : start + per_pass]
                 cuts = {}
                 for s in batch:
+                    # drawn per tree and path, so no node's cuts depend on what other nodes did
+                    rng = np.random.default_rng([seed, s[0], path[s]])
                     movable = [j for j in rng.permutation(d) if spans[s][j][1] >= spans[s][j][0] and binning.edges[j]][:m]
                     cuts[s] = [(int(j), int(rng.integers(spans[s][j][0], spans[s][j][1] + 1))) for j in movable]
                 index = {s: i for i, s in enumerate(batch)}
@@ -424,7 +426,8 @@ def random_cut_forest(
                     t, n = s
                     tree, total = forest[t], sums[i, m]
                     size = _settle(tree, n, total, classes)
-                    if size < min_split or _impurity(total, classes) <= 1e-12:
+                    whole = _impurity(total, classes)
+                    if size < min_split or whole <= 1e-9 * (1.0 if classes is not None else 1.0 + (total[1] / size) ** 2):
                         continue
                     best = None
                     for q, (j, b) in enumerate(cuts[s]):
@@ -432,8 +435,8 @@ def random_cut_forest(
                         nl = left[0] if classes is None else left.sum()
                         if nl < min_leaf or size - nl < min_leaf:
                             continue
-                        gain = _impurity(total, classes) * size - _impurity(left, classes) * nl - _impurity(right, classes) * (size - nl)
-                        if best is None or gain > best[3]:
+                        gain = whole * size - _impurity(left, classes) * nl - _impurity(right, classes) * (size - nl)
+                        if best is None or gain > best[3] + 1e-9 * whole * size:
                             best = (j, b, True, float(gain), q)
                     if best is not None:
                         kids = tree.split(n, *best[:4])
@@ -443,6 +446,7 @@ def random_cut_forest(
                             lo, hi = span[best[0]]
                             span[best[0]] = (lo, best[1] - 1) if side == 0 else (best[1] + 1, hi)
                             spans[(t, kid)] = span
+                            path[(t, kid)] = 2 * path[s] + side
                             next_open.append((t, kid))
             open_nodes = next_open
             if not open_nodes:

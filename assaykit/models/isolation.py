@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.operators.ordering import exact_quantiles
+from assaykit.operators.sums import balanced
 from assaykit.table import c
 
 EULER = 0.5772156649015329
@@ -114,5 +115,8 @@ def isolation_forest(
     forest = IsolationForest(tuple(features), tuple(np.array(r["nodes"]).reshape(-1, 5) for r in rows), size, 0.5)
     if contamination == "auto":
         return forest
-    edge = exact_quantiles(forest.score(df), ["anomaly_score"], [1 - contamination])["anomaly_score"][0]
+    # the quantile reads the scores several times, so the score column alone is kept
+    scores = forest.score(balanced(df.select(*[c(f) for f in features]))).select("anomaly_score").persist()
+    edge = exact_quantiles(scores, ["anomaly_score"], [1 - contamination])["anomaly_score"][0]
+    scores.unpersist()
     return IsolationForest(forest.features, forest.trees, size, float(edge))

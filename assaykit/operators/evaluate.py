@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.operators.ordering import running_totals
+from assaykit.operators.sums import balanced
 from assaykit.table import c
 
 AVERAGES = ("binary", "micro", "macro", "weighted")
@@ -159,12 +161,15 @@ def cross_validate(
     score: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Fit on all folds but one, score the one left out; one row per fold."""
-    out = None
-    for k in range(folds):
-        predicted = fit_predict(df.filter(c(fold) != k), df.filter(c(fold) == k))
-        one = score(predicted).withColumn("fold", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out
+    frame = balanced(df).persist()  # read 2 * folds times
+    rows = []
+    try:
+        for k in range(folds):
+            predicted = fit_predict(frame.filter(c(fold) != k), frame.filter(c(fold) == k))
+            rows.append({**score(predicted).first().asDict(), "fold": k})
+    finally:
+        frame.unpersist()
+    return df.sparkSession.createDataFrame(pd.DataFrame(rows))
 
 
 def fold_summary(scores: DataFrame, metrics: Sequence[str]) -> DataFrame:

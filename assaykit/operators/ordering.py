@@ -101,10 +101,14 @@ def exact_quantiles(
 def order_statistics(
     df: DataFrame, ranks: dict[str, Sequence[int]], collect_limit: int = COLLECT_LIMIT
 ) -> dict[str, list[float]]:
-    """The values at the given 0-based ranks of each column (NULLs are not counted)."""
+    """The values at the given 0-based ranks of each column (NULLs are not counted).
+
+    A rank list may be given as a function of the number of values.
+    """
     names = list(ranks)
     margin = 4.0 / QUANTILE_ACCURACY
     sizes = df.agg(*[F.count(c(n)).alias(f"n{i}") for i, n in enumerate(names)]).first()
+    ranks = {n: (r(sizes[f"n{i}"]) if callable(r) else r) for i, (n, r) in enumerate(ranks.items())}
     share = {n: [r / max(1, sizes[f"n{i}"] - 1) for r in ranks[n]] for i, n in enumerate(names)}
     wanted = {n: sorted({max(0.0, min(1.0, p + d)) for p in share[n] for d in (-margin, margin)}) for n in names}
     first = _column_brackets(df, names, wanted)

@@ -18,9 +18,9 @@ def random_split(df: DataFrame, row_id: str, test_size: float = 0.2, seed: int =
     u = hash_uniform(seed, row_id)
     if not exact:
         return df.withColumn("split", F.when(u < test_size, "test").otherwise("train"))
-    n = df.count()
-    wanted = math.ceil(n * test_size)
-    edge = order_statistics(df.select(u.alias("u")), {"u": [wanted - 1]})["u"][0] if wanted else -1.0
+    if test_size <= 0:
+        return df.withColumn("split", F.lit("train"))
+    edge = order_statistics(df.select(u.alias("u")), {"u": lambda n: [max(0, math.ceil(n * test_size) - 1)]})["u"][0]
     return df.withColumn("split", F.when(u <= F.lit(edge), "test").otherwise("train"))
 
 

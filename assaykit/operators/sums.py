@@ -26,6 +26,8 @@ def fan_out(df: DataFrame) -> int:
 
 def balanced(df: DataFrame) -> DataFrame:
     """Spread a table that arrives in fewer pieces than there are cores; iterative fits read it many times."""
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from assaykit.operators import checks, evaluate
 from assaykit.operators.split import random_split, stratified_split
+from assaykit.operators.sums import balanced
 from assaykit.plans.models import MENU, as_code, score_table
 from assaykit.plans.preparation import Preparation
 from assaykit.plans.search import search
@@ -39,8 +40,9 @@ class Workflow:
         else:
             divided = random_split(df, self.spec.row_id, self.test_size, self.seed)
         train, test = divided.filter("split = 'train'"), divided.filter("split = 'test'")
-        prep = self.preparation.fit(train)
-        ready = prep.transform(train)
+        held = balanced(train).persist()  # every fit below reads it several times
+        prep = self.preparation.fit(held)
+        ready = prep.transform(held)
         predictors, chosen = {}, {}
         for t in self.spec.targets:
             setting = dict(self.settings)
@@ -48,6 +50,7 @@ class Workflow:
                 setting |= search(ready, entry, prep.features, t, self.spec.row_id, self.trials, self.seed)[0]
             chosen[t] = setting
             predictors[t] = entry.fit(ready, prep.features, t, self.spec.row_id, **setting)
+        held.unpersist()
         return WorkflowResult(self, prep, predictors, chosen, train, test)
 
 

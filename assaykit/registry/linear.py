@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assaykit.models import linear, logistic
 from assaykit.operators import checks, evaluate, split
+from assaykit.operators.sums import balanced
 from assaykit.plans.preparation import Preparation
 from assaykit.registry.core import BINARY_FEATURES, BINARY_SQL, SAMPLES_SQL, binary_task, dims, query, rounded, rsql, samples, vectors, vectors_sql
 from assaykit.table import TableSpec, hash_uniform_sql, read_table
@@ -29,8 +30,10 @@ def flagship(spark, sf):
     checks.require_clean(checks.check_rows(t, checks.training_rules(spec, allow_missing=True), "row_id"))
     t = split.random_split(t, "row_id", 0.2, 42)
     train, test = t.filter("split = 'train'"), t.filter("split = 'test'")
+    train = balanced(train.select(*spec.features, *spec.targets)).persist()
     prep = Preparation(spec.features, spec.targets, impute="mean", scale="standardize").fit(train)
     model = linear.linear_regression(prep.transform(train), prep.features, "price")
+    train.unpersist()
     out = evaluate.regression_scores(model.transform(prep.transform(test)), "price", "prediction")
     return rounded(out.drop("mse"), {"rmse": 3, "mae": 3, "r2": 8, "explained_variance": 8})
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assaykit.models import cluster, decompose, linear
 from assaykit.models.isolation import isolation_forest
 from assaykit.operators import columns, evaluate, explain
+from assaykit.operators.sums import balanced
 from assaykit.registry.core import BINARY_FEATURES, SAMPLES_SQL, dims, query, rounded, samples, vectors, vectors_sql
 from assaykit.registry.linear import scaled_binary
 
@@ -84,7 +85,7 @@ def tsne(spark, sf):
 
 @query("o1_isolation_forest")
 def iforest(spark, sf):
-    t = samples(spark, sf)
+    t = balanced(samples(spark, sf).select("row_id", "quantity", "price", "full_tax"))
     model = isolation_forest(t, ["quantity", "price", "full_tax"], "row_id", trees=50, contamination=0.05)
     return rounded(model.transform(t).select("row_id", "anomaly_score", "is_abnormal"), 5)
 

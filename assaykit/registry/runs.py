@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaykit.models import linear
 from assaykit.operators.split import random_split
+from assaykit.operators.sums import balanced
 from assaykit.plans.models import MENU, score_table
 from assaykit.plans.preparation import Preparation
 from assaykit.plans.search import draw_settings, library_search, run_all, search
@@ -25,8 +26,10 @@ APP_SQL = f"""{SAMPLES_SQL}, a AS (SELECT *, {hash_uniform_sql('app', 'row_id')}
 def _fit_app(spark, sf):
     t = samples(spark, sf).withColumn("app", hash_uniform("app", "row_id") >= 0.9)
     train, app = t.filter("not app"), t.filter("app").drop("price")
+    train = balanced(train.select("quantity", "price")).persist()
     prep = Preparation(("quantity",), ("price",), scale="standardize").fit(train)
     model = linear.linear_regression(prep.transform(train), prep.features, "price")
+    train.unpersist()
     return prep, model, app
 
 

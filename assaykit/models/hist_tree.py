@@ -436,7 +436,7 @@ def random_cut_forest(
                         if nl < min_leaf or size - nl < min_leaf:
                             continue
                         gain = whole * size - _impurity(left, classes) * nl - _impurity(right, classes) * (size - nl)
-                        if best is None or gain > best[3] + 1e-9 * whole * size:
+                        if best is None or gain > best[3] + 1e-6 * whole * size:
                             best = (j, b, True, float(gain), q)
                     if best is not None:
                         kids = tree.split(n, *best[:4])

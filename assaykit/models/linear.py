@@ -117,20 +117,40 @@ def ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.
     return _mllib(df, features, target, fit_intercept, elasticNetParam=0.0, regParam=alpha / m["n"] * m["s"])
 
 
-def lasso(df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0, fit_intercept: bool = True) -> LinearModel:
-    """min |y - Xw|^2 / 2n + alpha |w|_1."""
-    return _mllib(df, features, target, fit_intercept, elasticNetParam=1.0, regParam=alpha, maxIter=1000, tol=1e-10)
+def _gram(df: DataFrame, features: Sequence[str], target: str, centre: bool = True):
+    """n, means of X, mean of y, X'X, X'y, y'y about the means: two passes."""
+    d = len(features)
+    frame = training_frame(df, features, target)
+    row = frame.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[F.avg(f"x{i}").alias(f"x{i}") for i in range(d)]).first()
+    if not row["n"]:
+        raise ValueError("no rows to fit on")
+    my = row["y"] if centre else 0.0
+    mx = np.array([row[f"x{i}"] if centre else 0.0 for i in range(d)])
+
+    def products(pdf):
+        z = np.column_stack([matrix(pdf, d) - mx, pdf["y"].to_numpy() - my])
+        return (z.T @ z).ravel()
+
+    g = sum_arrays(frame, products, fan_out(frame)).reshape(d + 1, d + 1)
+    return row["n"], mx, my, g[:d, :d], g[:d, d], g[d, d]
 
 
 def elastic_net(
     df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0, l1_ratio: float = 0.5, fit_intercept: bool = True
 ) -> LinearModel:
-    """min |y - Xw|^2 / 2n + alpha (l1_ratio |w|_1 + (1 - l1_ratio) / 2 |w|^2)."""
-    s = _moments(df, features, target)["s"]
-    total = l1_ratio + s * (1 - l1_ratio)
-    return _mllib(
-        df, features, target, fit_intercept, elasticNetParam=l1_ratio / total, regParam=alpha * total, maxIter=1000, tol=1e-10
-    )
+    """min |y - Xw|^2 / 2n + alpha (l1_ratio |w|_1 + (1 - l1_ratio) / 2 |w|^2).
+
+    Coordinate descent on the Gram matrix: the rows are read twice however many sweeps it takes.
+    """
+    n, mx, my, xx, xy, _ = _gram(df, features, target, fit_intercept)
+    d = len(features)
+    w = _penalised_step(xx / n, -xy / n, np.zeros(d), alpha * l1_ratio, alpha * (1 - l1_ratio), np.zeros(d, dtype=bool), sweeps=5000)
+    return LinearModel(tuple(features), tuple(float(v) for v in w), float(my - w @ mx))
+
+
+def lasso(df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0, fit_intercept: bool = True) -> LinearModel:
+    """min |y - Xw|^2 / 2n + alpha |w|_1."""
+    return elastic_net(df, features, target, alpha, 1.0, fit_intercept)
 
 
 @dataclass(frozen=True)
@@ -159,22 +179,10 @@ def bayesian_ridge(
     alpha_2: float = 1e-6, lambda_1: float = 1e-6, lambda_2: float = 1e-6,
 ) -> BayesianRidgeModel:
     """Evidence iteration on the centred Gram matrix: the data are read twice whatever the number of rounds."""
-    d = len(features)
-    frame = training_frame(df, features, target)
-    row = frame.agg(
-        F.count("*").alias("n"), F.avg("y").alias("y"), F.var_pop("y").alias("vy"), *[F.avg(f"x{i}").alias(f"x{i}") for i in range(d)]
-    ).first()
-    n, my, mx = row["n"], row["y"], np.array([row[f"x{i}"] for i in range(d)])
-
-    def gram(pdf):
-        z = np.column_stack([matrix(pdf, d) - mx, pdf["y"].to_numpy() - my])
-        return (z.T @ z).ravel()
-
-    g = sum_arrays(frame, gram, fan_out(frame)).reshape(d + 1, d + 1)
-    xx, xy, yy = g[:d, :d], g[:d, d], g[d, d]
+    n, mx, my, xx, xy, yy = _gram(df, features, target)
     values, vectors = np.linalg.eigh(xx)
     values = np.maximum(values, 0.0)
-    alpha, lam = 1.0 / (row["vy"] + np.finfo(float).eps), 1.0
+    alpha, lam = 1.0 / (yy / n + np.finfo(float).eps), 1.0
     old, rounds = None, 0
 
     def solve():

@@ -46,7 +46,7 @@ def rsql(expression: str, name: str, digits: int = 6) -> str:
 # lineitem as a sample table: zero discount and zero tax stand for "not measured"
 SAMPLE_FEATURES = ("quantity", "price", "discount", "tax")
 SAMPLES_SQL = """samples AS (
-  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_id, l_quantity AS quantity,
+  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(round(l_extendedprice * 100) AS BIGINT), cast(l_quantity AS BIGINT)) AS row_id, l_quantity AS quantity,
          l_extendedprice AS price, nullif(l_discount, 0) AS discount, nullif(l_tax, 0) AS tax,
          l_discount AS full_discount, l_tax AS full_tax, l_returnflag AS flag, l_linestatus AS status
   FROM lineitem)"""
@@ -55,7 +55,10 @@ SAMPLES_SQL = """samples AS (
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     t = read_table(spark, sf, "lineitem")
     return t.select(
-        row_key("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("row_id"),
+        row_key(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+            F.round(F.col("l_extendedprice") * 100).cast("bigint"), F.col("l_quantity").cast("bigint"),
+        ).alias("row_id"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
         F.expr("nullif(l_discount, 0)").alias("discount"), F.expr("nullif(l_tax, 0)").alias("tax"),
         F.col("l_discount").alias("full_discount"), F.col("l_tax").alias("full_tax"),

@@ -67,13 +67,13 @@ def ridge(spark, sf):
     return _one_row(t, linear.ridge(t, ["quantity", "full_tax"], "price", alpha=50.0), 3)
 
 
-@query("r4_lasso", f"WITH {SAMPLES_SQL} SELECT round(w, 3) + 0.0 AS w1, round(my - w * mx, 2) + 0.0 AS intercept FROM (SELECT avg(price) AS my, avg(quantity) AS mx, (covar_pop(price, quantity) - 100) / var_pop(quantity) AS w FROM samples)")
+@query("r4_lasso", f"WITH {SAMPLES_SQL} SELECT round(w, 3) + 0.0 AS w1, round(my - w * mx, 2) + 0.0 AS intercept FROM (SELECT avg(price) AS my, avg(quantity) AS mx, sign(covar_pop(price, quantity)) * greatest(abs(covar_pop(price, quantity)) - 100, 0) / var_pop(quantity) AS w FROM samples)")
 def lasso(spark, sf):
     t = samples(spark, sf)
     return _one_row(t, linear.lasso(t, ["quantity"], "price", alpha=100.0), {"w1": 3, "intercept": 2})
 
 
-@query("r5_elastic_net", f"WITH {SAMPLES_SQL} SELECT round(w, 3) + 0.0 AS w1, round(my - w * mx, 2) + 0.0 AS intercept FROM (SELECT avg(price) AS my, avg(quantity) AS mx, (covar_pop(price, quantity) - 10 * 0.5) / (var_pop(quantity) + 10 * 0.5) AS w FROM samples)")
+@query("r5_elastic_net", f"WITH {SAMPLES_SQL} SELECT round(w, 3) + 0.0 AS w1, round(my - w * mx, 2) + 0.0 AS intercept FROM (SELECT avg(price) AS my, avg(quantity) AS mx, sign(covar_pop(price, quantity)) * greatest(abs(covar_pop(price, quantity)) - 10 * 0.5, 0) / (var_pop(quantity) + 10 * 0.5) AS w FROM samples)")
 def enet(spark, sf):
     t = samples(spark, sf)
     return _one_row(t, linear.elastic_net(t, ["quantity"], "price", alpha=10.0, l1_ratio=0.5), {"w1": 3, "intercept": 2})

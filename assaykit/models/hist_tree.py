@@ -287,6 +287,7 @@ def boost(
                 if depth == 0:
                     history.append(float(sums[-2] / sums[-1]))
                 hist = sums[:-2].reshape(len(slots), d, width, 3)
+                hist[..., 2] = np.rint(hist[..., 2])  # the library's sums pass through a mean; counts are whole numbers
                 new_open = [[] for _ in range(outputs)]
                 for (k, n), i in where.items():
                     tree = group[k]
@@ -422,6 +423,9 @@ def random_cut_forest(
                     return out.ravel()
 
                 sums = sum_arrays(table, add, fan).reshape(len(batch), m + 1, stats)
+                # the library's sums pass through a mean; counts are whole numbers
+                counts = slice(0, 1) if classes is None else slice(None)
+                sums[..., counts] = np.rint(sums[..., counts])
                 for s, i in index.items():
                     t, n = s
                     tree, total = forest[t], sums[i, m]

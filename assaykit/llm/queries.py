@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import decontaminate, line_dedup, packing, quality, simhash
+from assaykit.llm import chat_format, decontaminate, html_extract, line_dedup, packing, quality, secret_scan, simhash, spotsigs, toxicity
 from assaykit.table import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,61 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_packing")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read_table(spark, sf, "documents"))
+
+
+@query("op1_secret_scan")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan(read_table(spark, sf, "documents"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.grade_documents(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
+HARD_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def _escaped_sql(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for control in chat_format.CONTROL:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return out
+
+
+OP6_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS body,
+             coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+             sum({len(chat_format.OPEN) + len(chat_format.CLOSE) + 2} + length(replace({_escaped_sql("role")}, chr(10), '{chat_format.BREAK}')) + length({_escaped_sql("text")})) AS chars
+      FROM t GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(body) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(chars AS BIGINT) AS formatted_chars
+FROM g
+"""
+
+
+@query("op6_chat_formatting", OP6_SQL)
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame(HARD_TURNS, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_records(chat_format.conversation_records(rows.unionByName(hard)))
+    turns = chat_format.read_back(F.col("formatted"))
+    out = out.select("conv_id", turns.alias("t"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), "formatted")
+    body = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(body.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op8_html_extraction")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.main_text(read_table(spark, sf, "pages"))
+
+
+@query("op10_document_fingerprints")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return spotsigs.compare_edits(read_table(spark, sf, "documents"))

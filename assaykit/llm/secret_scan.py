@@ -49,6 +49,8 @@ _LEX = re.compile(
       |(?P<other>[^\s])""",
     re.VERBOSE,
 )
+# a bare value runs to the next space or closing mark
+_BARE = re.compile(r"[^\s,;)\]}\"'`]+")
 _SPLIT_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -91,7 +93,7 @@ def pairs(text: str) -> list[Pair]:
     out: list[Pair] = []
     stack: list[tuple[str, str, int, int]] = []  # the last tokens of the line, at most two are looked at
     stream = list(_tokens(text))
-    i, n = 0, len(stream)
+    i, n, n_text = 0, len(stream), len(text)
     while i < n:
         kind, raw, start, end = stream[i]
         if kind == "line":
@@ -105,8 +107,13 @@ def pairs(text: str) -> list[Pair]:
             parts: list[Part] = []
             while j < n and stream[j][0] in ("text", "use", "word"):
                 part = _literal(*stream[j])
+                if stream[j][0] == "word" and stream[j][3] < n_text and text[stream[j][3]] in "&%^!*$":
+                    end = _BARE.match(text, stream[j][2]).end()
+                    part = Part(text[stream[j][2] : end], stream[j][2], end)
                 parts.append(part)
                 j += 1
+                while j < n and stream[j][2] < part.end:
+                    j += 1
                 if j < n and stream[j][0] == "plus":
                     j += 1
                     continue

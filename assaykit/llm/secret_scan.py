@@ -44,13 +44,14 @@ _LEX = re.compile(
       |(?P<use>\$\{[A-Za-z_][\w.-]*\}|\$\([A-Za-z_][\w.-]*\)|\$[A-Za-z_]\w*|%[A-Za-z_]\w*%)
       |(?P<op>:=|=>|==|!=|<=|>=|::|:(?!//)|=)
       |(?P<plus>\+|\.\.)
-      |(?P<word>[A-Za-z0-9_][\w./+@~-]*=*)
+      |(?P<word>[A-Za-z0-9_][\w./+@~-]*)
       |(?P<line>\n|;)
       |(?P<other>[^\s])""",
     re.VERBOSE,
 )
 # a bare value runs to the next space or closing mark
 _BARE = re.compile(r"[^\s,;)\]}\"'`]+")
+_PADDING = re.compile(r"={1,2}(?=[\s,;)\]}\"'`]|\Z)")
 _SPLIT_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -107,7 +108,7 @@ def pairs(text: str) -> list[Pair]:
             parts: list[Part] = []
             while j < n and stream[j][0] in ("text", "use", "word"):
                 part = _literal(*stream[j])
-                if stream[j][0] == "word" and stream[j][3] < n_text and text[stream[j][3]] in "&%^!*$":
+                if stream[j][0] == "word" and stream[j][3] < n_text and (text[stream[j][3]] in "&%^!*$" or _PADDING.match(text, stream[j][3])):
                     end = _BARE.match(text, stream[j][2]).end()
                     part = Part(text[stream[j][2] : end], stream[j][2], end)
                 parts.append(part)
@@ -121,7 +122,7 @@ def pairs(text: str) -> list[Pair]:
                     continue
                 break
             if parts and name is not None:
-                out.append(Pair(name.value.rstrip("="), start, tuple(parts)))
+                out.append(Pair(name.value, start, tuple(parts)))
             # the value may itself be a name: key = other = value
             stack = [stream[j - 1]] if j > i + 1 else []
             i = max(j, i + 1)

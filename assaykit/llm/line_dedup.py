@@ -14,6 +14,9 @@ MIN_CHARS = 16
 BROADCAST_LINES = 300_000
 BROADCAST_BYTES = 64 << 20
 SECOND_SEED = 7
+# letters whose counts in two lines are compared before the lines are; any set is right, frequent ones tell most apart
+COUNTED = "eaionrstdluh"
+COUNT_BITS = 5
 
 
 def _bind(value: Column, then) -> Column:
@@ -101,22 +104,44 @@ def _probes(line: Column, edits: int) -> tuple[list[Column], list[int]]:
     return out, own
 
 
+def letter_counts(line: Column) -> Column:
+    """Counts of the letters of ``COUNTED``, each modulo 32, packed in one long."""
+    out = F.lit(0).cast("long")
+    for i, letter in enumerate(COUNTED):
+        n = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("long")
+        out = out.bitwiseOR(F.shiftleft(n, COUNT_BITS * i))
+    return out
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """A lower bound of twice the edits between two lines: each edit changes two counts by one at most."""
+    top = (1 << COUNT_BITS) - 1
+    out = F.lit(0)
+    for i in range(len(COUNTED)):
+        d = F.abs(F.shiftright(a, COUNT_BITS * i).bitwiseAND(F.lit(top)) - F.shiftright(b, COUNT_BITS * i).bitwiseAND(F.lit(top)))
+        out = out + F.least(d, F.lit(top + 1) - d)
+    return out
+
+
 def near_line_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, edits: int = MAX_EDITS) -> DataFrame:
     """(a, b): pairs of different lines within ``edits``, each a struct (doc, text_hash, at, h1, h2) of its first place; a comes first.
 
     A line is indexed by the hashes of its segments with its length; within ``edits`` edits one segment of the shorter
     line stays whole in the longer one, so looking up the longer line's substrings misses no pair. Copies of a line
-    are one entry before anything is joined. Candidates are compared with ``banded_distance``.
+    are one entry before anything is joined. Lines whose letter counts are too far apart are not candidates: variants
+    of one long line share most segments, and this keeps their pairs from leaving the join. Candidates are
+    compared with ``banded_distance``.
     """
     rows = _lines(docs, key, text, min_chars)
     probes, own = _probes(F.col("line"), edits)
-    place = F.struct("doc", "text_hash", "at", F.array(*probes).alias("keys"))
+    place = F.struct("doc", "text_hash", "at", F.array(*probes).alias("keys"), letter_counts(F.col("line")).alias("counts"))
     lines = rows.select("h1", "h2", place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("place"))
-    lines = lines.select("h1", "place.keys")
-    entries = lines.select("h1", F.explode(F.transform("keys", lambda k, i: F.struct(k.alias("key"), i.isin(own).alias("own")))).alias("e"))
-    looked = entries.select(F.col("h1").alias("p"), F.col("e.key").alias("key"))
-    index = entries.filter("e.own").select(F.col("h1").alias("q"), F.col("e.key").alias("key"))
-    maybe = looked.join(index, "key").filter("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    lines = lines.select("h1", "place.keys", "place.counts")
+    entries = lines.select("h1", "counts", F.explode(F.transform("keys", lambda k, i: F.struct(k.alias("key"), i.isin(own).alias("own")))).alias("e"))
+    looked = entries.select(F.col("h1").alias("p"), F.col("counts").alias("p_counts"), F.col("e.key").alias("key"))
+    index = entries.filter("e.own").select(F.col("h1").alias("q"), F.col("counts").alias("q_counts"), F.col("e.key").alias("key"))
+    near = (F.col("p") != F.col("q")) & (counts_apart(F.col("p_counts"), F.col("q_counts")) <= 2 * edits)
+    maybe = looked.join(index, "key").filter(near).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
     maybe = cut_lineage(maybe)
     wanted = maybe.select(F.col("p").alias("h1")).union(maybe.select("q")).distinct()
     small = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES

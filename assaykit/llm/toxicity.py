@@ -66,7 +66,8 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
                 if t:
                     total += count_trigrams(t)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"code": at.astype(np.int32), "n": total[at]})
+        if len(at):
+            yield pd.DataFrame({"code": at.astype(np.int32), "n": total[at]})
 
     rows = docs.select(F.col(text).alias("t")).mapInPandas(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(SYMBOLS**3)
@@ -247,7 +248,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc
                 all_.update(found)
                 if y:
                     hits.update(found)
-        yield pd.DataFrame({"w": list(all_), "n": list(all_.values()), "k": [hits[w] for w in all_]})
+        if all_:
+            yield pd.DataFrame({"w": pd.Series(list(all_), dtype=object), "n": list(all_.values()), "k": [hits[w] for w in all_]})
 
     counts = rows.mapInPandas(count, "w string, n long, k long").groupBy("w").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     # the ratio is largest where every document is positive, so fewer hits than this never reach it
@@ -258,7 +260,9 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc
         for batch in batches:
             k, m = batch["k"].to_numpy(np.float64), batch["n"].to_numpy(np.float64)
             weight = np.log((k + 0.5) / (positive + 1)) - np.log((m - k + 0.5) / (n - positive + 1))
-            yield pd.DataFrame({"w": batch["w"], "weight": weight})[likelihood_ratio(k, m, base) >= LEAST_RATIO]
+            sure = likelihood_ratio(k, m, base) >= LEAST_RATIO
+            if sure.any():
+                yield pd.DataFrame({"w": pd.Series(batch["w"].to_numpy(object)[sure], dtype=object), "weight": weight[sure]})
 
     kept = typical.mapInPandas(weigh, "w string, weight double").orderBy(F.desc("weight"), "w").limit(MAX_FEATURES).toPandas()
     found = ToxicModel(dict(zip(kept["w"], kept["weight"])), np.zeros(4))
@@ -267,7 +271,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc
         restore = Restorer(model)
         for batch in batches:
             made = [found.summary(restore.words(t)) for t in batch["t"]]
-            yield pd.DataFrame(made, columns=["a", "b", "c"]).assign(y=batch["y"].to_numpy())
+            if made:
+                yield pd.DataFrame(made, columns=["a", "b", "c"]).assign(y=batch["y"].to_numpy())
 
     seen = rows.mapInPandas(summarise, "a double, b double, c double, y int").orderBy("y", "a", "b", "c").toPandas()
     return ToxicModel(found.weights, fit_curve(seen[["a", "b", "c"]].to_numpy(), seen["y"].to_numpy()))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from assaykit.table import c
 
 QUANTILE_ACCURACY = 10_000
-COLLECT_LIMIT = 200_000
+# rows of counts that one pass may send to the driver, over all columns
+COLLECT_LIMIT = 20_000
 
 
 def bucket_boundaries(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
@@ -82,20 +83,20 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles, equal to sorting the whole column.
 
-    One pass brackets each wanted rank with an approximate quantile, the next counts the rows below
-    the bracket and the distinct values inside it. Brackets that still hold too many distinct values
-    are narrowed again, so neither the driver nor one task ever holds a whole column.
+    A quantile between two rows needs the values at two ranks. See ``_values_at_ranks`` for the passes.
     """
-    margin = 4.0 / QUANTILE_ACCURACY
-    wanted = sorted({max(0.0, min(1.0, p + d)) for p in probs for d in (-margin, margin)})
-    first = _column_brackets(df, columns, {n: wanted for n in columns})
-    pending = []
-    for i in range(len(columns)):
-        total = first[f"n{i}"]
-        if total:
-            for j, p in enumerate(probs):
-                pending.append(_bracket(first, i, j, p * (total - 1), p, margin, wanted))
-    return _select(df, columns, pending, len(probs), first, collect_limit)
+    names = list(columns)
+    first = _first_pass(df, names, probs)
+    places = {n: [p * (first[f"n{i}"] - 1) for p in probs] if first[f"n{i}"] else [] for i, n in enumerate(names)}
+    ranks = {n: sorted({r for x in at for r in (math.floor(x), math.ceil(x))}) for n, at in places.items()}
+    found = _values_at_ranks(df, ranks, first, probs, collect_limit)
+    out: dict[str, list[float | None]] = {}
+    for n in names:
+        out[n] = [None] * len(probs)
+        for j, x in enumerate(places[n]):
+            low, high = found[n][math.floor(x)], found[n][math.ceil(x)]
+            out[n][j] = low if low == high else low + (high - low) * (x - math.floor(x))
+    return out
 
 
 def order_statistics(
@@ -106,108 +107,128 @@ def order_statistics(
     A rank list may be given as a function of the number of values.
     """
     names = list(ranks)
-    margin = 4.0 / QUANTILE_ACCURACY
     sizes = df.agg(*[F.count(c(n)).alias(f"n{i}") for i, n in enumerate(names)]).first()
-    ranks = {n: (r(sizes[f"n{i}"]) if callable(r) else r) for i, (n, r) in enumerate(ranks.items())}
-    share = {n: [r / max(1, sizes[f"n{i}"] - 1) for r in ranks[n]] for i, n in enumerate(names)}
-    wanted = {n: sorted({max(0.0, min(1.0, p + d)) for p in share[n] for d in (-margin, margin)}) for n in names}
-    first = _column_brackets(df, names, wanted)
-    pending = []
-    for i, n in enumerate(names):
-        for j, (rank, p) in enumerate(zip(ranks[n], share[n])):
-            pending.append(_bracket(first, i, j, rank, p, margin, wanted[n]))
-    found = _select(df, names, pending, max(len(r) for r in ranks.values()), first, collect_limit)
-    return {n: found[n][: len(ranks[n])] for n in names}
+    ranks = {n: list(r(sizes[f"n{i}"]) if callable(r) else r) for i, (n, r) in enumerate(ranks.items())}
+    shares = sorted({r / max(1, sizes[f"n{i}"] - 1) for i, n in enumerate(names) for r in ranks[n]})
+    first = _first_pass(df, names, shares)
+    found = _values_at_ranks(df, {n: sorted(set(r)) for n, r in ranks.items()}, first, shares, collect_limit)
+    return {n: [found[n][r] for r in ranks[n]] for n in names}
 
 
-def _column_brackets(df, names, wanted):
+def _first_pass(df: DataFrame, names: Sequence[str], probs: Sequence[float]):
+    """Counts, ends and, around each share, two approximate quantiles of every column: one row."""
+    margin = 4.0 / QUANTILE_ACCURACY
+    around = [max(0.0, min(1.0, p + d)) for p in probs for d in (-margin, margin)]
     aggs = []
     for i, n in enumerate(names):
         x = c(n).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        aggs.append(F.percentile_approx(x, wanted[n], QUANTILE_ACCURACY).alias(f"q{i}"))
+        if around:
+            aggs.append(F.percentile_approx(x, around, QUANTILE_ACCURACY).alias(f"q{i}"))
     return df.agg(*aggs).first()
 
 
-def _bracket(first, i, j, pos, p, margin, wanted):
-    """[column, slot, wanted position, lowest value, highest value]."""
-    low = first[f"q{i}"][wanted.index(p - margin)] if p - margin > 0 else first[f"lo{i}"]
-    high = first[f"q{i}"][wanted.index(p + margin)] if p + margin < 1 else first[f"hi{i}"]
-    return [i, j, pos, low, high]
+def _merged(brackets: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Disjoint ascending intervals that cover the given ones."""
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(brackets):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
 
 
-def _select(df, names, pending, width, first, collect_limit):
-    out: dict[str, list[float | None]] = {n: [None] * width for n in names}
-    while pending:
-        pending = _resolve_brackets(df, names, pending, out, first, collect_limit)
-    return out
+def _cell(x: Column, low: float, high: float, cells: int, cuts: Sequence[float]) -> Column:
+    """Number of a value's cell inside a bracket: by even steps, or by ``cuts``, each cut being a cell of its own."""
+    if low == high:
+        return F.lit(0)
+    if not cuts:
+        # halves first: the width of a bracket may be more than a double holds
+        share = (x / 2 - F.lit(low) / 2) / (F.lit(high) / 2 - F.lit(low) / 2)
+        return F.least(F.floor(share * cells), F.lit(cells - 1)).cast("int")
 
+    def search(start: int, stop: int) -> Column:
+        if start == stop:
+            return F.lit(2 * start)
+        mid = (start + stop) // 2
+        return F.when(x == F.lit(cuts[mid]), F.lit(2 * mid + 1)).when(x < F.lit(cuts[mid]), search(start, mid)).otherwise(search(mid + 1, stop))
 
-def _resolve_brackets(df, names, pending, out, first, collect_limit):
-    counts = []
-    for k, (i, _, _, low, high) in enumerate(pending):
-        x = c(names[i]).cast("double")
-        counts.append(F.count_if(x < F.lit(low)).alias(f"b{k}"))
-        counts.append(F.count_if(x.between(F.lit(low), F.lit(high))).alias(f"m{k}"))
-    row = df.agg(*counts).first()
-    ready, again, crowded = [], [], []
-    for k, item in enumerate(pending):
-        i, j, pos, low, high = item
-        below, inside = row[f"b{k}"], row[f"m{k}"]
-        if below > math.floor(pos):
-            again.append([i, j, pos, first[f"lo{i}"], high])
-        elif below + inside <= math.ceil(pos):
-            again.append([i, j, pos, low, first[f"hi{i}"]])
-        elif inside > collect_limit and high > low:
-            crowded.append((k, item, below, inside))
-        else:
-            ready.append((k, item, below))
-    if crowded:
-        narrow = []
-        for k, (i, _, _, low, high), _, _ in crowded:
-            x = c(names[i]).cast("double")
-            inner = F.when(x.between(F.lit(low), F.lit(high)), x)
-            narrow.append(F.percentile_approx(inner, [t / 64 for t in range(1, 64)], QUANTILE_ACCURACY).alias(f"s{k}"))
-            narrow.append(F.approx_count_distinct(inner).alias(f"d{k}"))
-        found = df.agg(*narrow).first()
-        for k, item, below, inside in crowded:
-            i, j, pos, low, high = item
-            steps = sorted({low, *found[f"s{k}"], high})
-            spot = min(len(steps) - 1, int((pos - below) / inside * (len(steps) - 1)))
-            closer = [i, j, pos, steps[max(0, spot - 2)], steps[min(len(steps) - 1, spot + 2)]]
-            if found[f"d{k}"] <= collect_limit or closer[3:] == [low, high]:
-                ready.append((k, item, below))
-            else:
-                again.append(closer)
-    if ready:
-        tagged = F.array(
-            *[
-                F.when(
-                    c(names[i]).cast("double").between(F.lit(low), F.lit(high)),
-                    F.struct(F.lit(k).alias("k"), c(names[i]).cast("double").alias("v")),
-                )
-                for k, (i, _, _, low, high), _ in ready
+    return search(0, len(cuts))
+
+
+def _values_at_ranks(df, ranks, first, probs, collect_limit) -> dict[str, dict[int, float]]:
+    """Value at each rank of each column, by narrowing brackets until one value is left in each.
+
+    A pass turns every row into one (column, cell) pair per open column: a gap before, between or behind the brackets,
+    or one of the cells that divide a bracket. Only counts and ends per cell come back, ``collect_limit`` rows over all
+    columns at most. The cell that holds a rank is its next bracket. A bracket that even steps don't divide (one value
+    with most of the rows, far outliers) is divided at approximate quantiles of its rows next time, each of which
+    is a cell of its own, so a value that repeats is found however often it does.
+    """
+    names = list(ranks)
+    found: dict[str, dict[int, float]] = {n: {} for n in names}
+    open_: dict[str, dict[int, tuple[float, float]]] = {}
+    margin = 4.0 / QUANTILE_ACCURACY
+    for i, n in enumerate(names):
+        total = first[f"n{i}"]
+        if not total:
+            continue
+        open_[n] = {}
+        for r in ranks[n]:
+            share = r / max(1, total - 1)
+            near = min(range(len(probs)), key=lambda j: abs(probs[j] - share))
+            low, high = first[f"lo{i}"], first[f"hi{i}"]
+            if abs(probs[near] - share) <= margin / 2:
+                low = first[f"q{i}"][2 * near] if share > margin else low
+                high = first[f"q{i}"][2 * near + 1] if share < 1 - margin else high
+            open_[n][r] = (low, high)
+    stuck: set[tuple[str, float, float]] = set()
+    while open_:
+        plan = {n: _merged(list(at.values())) for n, at in open_.items()}
+        hard = [(n, low, high) for n, parts in plan.items() for low, high in parts if (n, low, high) in stuck]
+        cuts: dict[tuple[str, float, float], list[float]] = {}
+        if hard:
+            steps = max(3, min(64, collect_limit // (4 * len(hard))))
+            aggs = [
+                F.percentile_approx(F.when(c(n).cast("double").between(F.lit(low), F.lit(high)), c(n).cast("double")), [t / steps for t in range(steps + 1)], QUANTILE_ACCURACY).alias(f"s{k}")
+                for k, (n, low, high) in enumerate(hard)
             ]
+            row = df.agg(*aggs).first()
+            cuts = {key: sorted(set(row[f"s{k}"])) for k, key in enumerate(hard)}
+        n_parts = sum(len(parts) for parts in plan.values())
+        cells = max(2, (collect_limit - n_parts) // n_parts - 1)
+        tagged = []
+        for i, (n, parts) in enumerate(plan.items()):
+            x, slot = c(n).cast("double"), None
+            for k, (low, high) in enumerate(parts):
+                base = k * (cells + 131)  # the gap before a bracket, then its cells
+                inside = F.lit(base + 1) + _cell(x, low, high, cells, cuts.get((n, low, high), ()))
+                test = F.when(x < F.lit(low), F.lit(base)) if slot is None else slot.when(x < F.lit(low), F.lit(base))
+                slot = test.when(x <= F.lit(high), inside)
+            slot = slot.otherwise(F.lit(len(parts) * (cells + 131)))
+            tagged.append(F.struct(F.lit(i).alias("i"), F.when(x.isNotNull(), slot).alias("slot"), x.alias("x")))
+        rows = (
+            df.select(F.explode(F.array(*tagged)).alias("s")).filter("s.slot IS NOT NULL").groupBy("s.i", "s.slot")
+            .agg(F.count("*").alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi")).orderBy("i", "slot").collect()
         )
-        found = (
-            df.select(F.explode(tagged).alias("s")).filter("s is not null")
-            .groupBy("s.k", "s.v").count().orderBy("k", "v").collect()
-        )
-        for k, (i, j, pos, _, _), below in ready:
-            out[names[i]][j] = _interpolate([(r["v"], r["count"]) for r in found if r["k"] == k], below, pos)
-    return again
-
-
-def _interpolate(values: list[tuple[float, int]], below: int, pos: float) -> float:
-    start = math.floor(pos)
-    left = right = None
-    seen = below
-    for v, n in values:
-        seen += n
-        if left is None and seen > start:
-            left = v
-        if seen > math.ceil(pos):
-            right = v
-            break
-    right = left if right is None else right
-    return left + (right - left) * (pos - start)
+        after: dict[str, dict[int, tuple[float, float]]] = {}
+        stuck = set()
+        for i, n in enumerate(plan):
+            below, cells_of = 0, [r for r in rows if r["i"] == i]
+            wanted = sorted(open_[n])
+            at = 0
+            for r in cells_of:
+                while at < len(wanted) and wanted[at] < below + r["n"]:
+                    if r["lo"] == r["hi"]:
+                        found[n][wanted[at]] = r["lo"]
+                    else:
+                        was = open_[n][wanted[at]]
+                        after.setdefault(n, {})[wanted[at]] = (r["lo"], r["hi"])
+                        whole = sum(x["n"] for x in cells_of if was[0] <= x["lo"] and x["hi"] <= was[1])
+                        if 2 * r["n"] > whole:
+                            stuck.add((n, r["lo"], r["hi"]))
+                    at += 1
+                below += r["n"]
+        open_ = after
+    return found

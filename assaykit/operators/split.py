@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assaykit.operators.ordering import order_statistics
-from assaykit.table import c, hash_uniform
+from assaykit.table import c, cut_lineage, hash_uniform
 
 CLASS_LIMIT = 10_000
+# hash cells in which rows of a class are counted before any is ranked
+CELLS = 1 << 20
 
 
 def random_split(df: DataFrame, row_id: str, test_size: float = 0.2, seed: int = 42, exact: bool = False) -> DataFrame:
@@ -20,8 +22,10 @@ def random_split(df: DataFrame, row_id: str, test_size: float = 0.2, seed: int =
         return df.withColumn("split", F.when(u < test_size, "test").otherwise("train"))
     if test_size <= 0:
         return df.withColumn("split", F.lit("train"))
-    edge = order_statistics(df.select(u.alias("u")), {"u": lambda n: [max(0, math.ceil(n * test_size) - 1)]})["u"][0]
-    return df.withColumn("split", F.when(u <= F.lit(edge), "test").otherwise("train"))
+    one = F.lit(0)
+    total = df.count()
+    test = _first_rows(df.withColumn("_class", one), row_id, "_class", u, {0: [math.ceil(total * test_size)]})
+    return test.withColumn("split", F.when(F.col("_slice") == 0, "test").otherwise("train")).select(*df.columns, "split")
 
 
 def class_counts(df: DataFrame, target: str) -> dict:
@@ -31,20 +35,51 @@ def class_counts(df: DataFrame, target: str) -> dict:
     return {r["k"]: r["count"] for r in rows}
 
 
-def _class_edges(df: DataFrame, target: str, u, wanted: dict) -> dict:
-    """For each class the u of its ``wanted``-th smallest row; all classes share the same passes."""
-    keys = [k for k, w in wanted.items() if w > 0]
-    if not keys:
-        return {}
-    cols = df.select(*[F.when(c(target) == F.lit(k), u).alias(f"u{i}") for i, k in enumerate(keys)])
-    found = order_statistics(cols, {f"u{i}": [wanted[k] - 1] for i, k in enumerate(keys)})
-    return {k: found[f"u{i}"][0] for i, k in enumerate(keys)}
+def _first_rows(df: DataFrame, row_id: str, target: str, u: Column, sizes: dict) -> DataFrame:
+    """``df`` with ``_slice``: how many of its class's ascending ``sizes`` a row's place in hash order reaches or passes.
+
+    Places are taken in the order (hash, row id), so equal hashes change no size. Rows are first counted by class and
+    hash cell; only in the cells where a slice ends are rows ranked. That is one grouped job for any number of classes,
+    and what is joined back is one row for each class and slice.
+    """
+    spark = df.sparkSession
+    kind = dict(df.dtypes)[target]
+    wanted = [(k, j, int(n)) for k, at in sizes.items() for j, n in enumerate(at)]
+    table = spark.createDataFrame(wanted, f"_k {kind}, _j int, _n long")
+    keyed = df.select(c(target).alias("_k"), u.alias("_u"), c(row_id).cast("string").alias("_id")).withColumn("_cell", F.floor(F.col("_u") * CELLS))
+    counts = keyed.groupBy("_k", "_cell").agg(F.count("*").alias("_m")).withColumn("_block", F.floor(F.col("_cell") / 1024))
+    blocks = counts.groupBy("_k", "_block").agg(F.sum("_m").alias("_b"))
+    before = W.partitionBy("_k").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("_k", "_block", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_base"))
+    inside = W.partitionBy("_k", "_block").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_in", F.coalesce(F.sum("_m").over(inside), F.lit(0))).alias("a")
+    at = counts.join(blocks.alias("b"), F.col("a._k").eqNullSafe(F.col("b._k")) & (F.col("a._block") == F.col("b._block")))
+    at = at.select(F.col("a._k").alias("_k"), "_cell", "_m", (F.col("_in") + F.col("_base")).alias("_before"))
+    ends = F.broadcast(table.filter("_n > 0")).alias("t").join(at.alias("a"), F.col("a._k").eqNullSafe(F.col("t._k")) & F.expr("_n > _before AND _n <= _before + _m"))
+    ends = cut_lineage(ends.select(F.col("t._k").alias("_k"), "_j", "_cell", (F.col("_n") - F.col("_before")).alias("_place")))
+    cells = ends.select("_k", "_cell").distinct()
+    near = keyed.alias("x").join(F.broadcast(cells).alias("e"), F.col("x._k").eqNullSafe(F.col("e._k")) & (F.col("x._cell") == F.col("e._cell")), "left_semi")
+    ranked = near.withColumn("_rank", F.row_number().over(W.partitionBy("_k", "_cell").orderBy("_u", "_id")))
+    edges = ranked.alias("r").join(F.broadcast(ends).alias("e"), F.col("r._k").eqNullSafe(F.col("e._k")) & F.expr("r._cell = e._cell AND _rank = _place"))
+    edges = edges.groupBy(F.col("r._k").alias("_k")).agg(F.array_sort(F.collect_list(F.struct(F.col("_u").alias("u"), F.col("_id").alias("id")))).alias("_edges"))
+    none = table.groupBy("_k").agg(F.count_if(F.col("_n") <= 0).cast("int").alias("_none")).withColumnRenamed("_k", "_key")
+    found = none.alias("n").join(edges.alias("f"), F.col("n._key").eqNullSafe(F.col("f._k")), "left").select("_key", "_none", "_edges")
+    found = F.broadcast(cut_lineage(found))
+    rows = df.withColumn("_u", u).join(found, c(target).eqNullSafe(F.col("_key")), "left")
+    passed = F.size(F.filter("_edges", lambda e: (e["u"] < F.col("_u")) | ((e["u"] == F.col("_u")) & (e["id"] < c(row_id).cast("string")))))
+    passed = F.coalesce("_none", F.lit(0)) + F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(passed)
+    return rows.withColumn("_slice", passed).drop("_u", "_key", "_none", "_edges")
 
 
 def _by_class(target: str, values: dict, default):
+    """The value of a row's class: one look-up in a map literal, whatever the number of classes."""
     out = F.lit(default)
-    for k, v in values.items():
-        out = F.when(c(target) == F.lit(k), F.lit(v)).otherwise(out)
+    known = {k: v for k, v in values.items() if k is not None}
+    if known:
+        table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+        out = F.coalesce(F.try_element_at(table, c(target)), F.lit(default))
+    if None in values:
+        out = F.when(c(target).isNull(), F.lit(values[None])).otherwise(out)
     return out
 
 
@@ -56,10 +91,9 @@ def stratified_split(df: DataFrame, row_id: str, target: str, test_size: float =
         raise ValueError(f"classes with fewer than two rows: {small}")
     total = sum(counts.values())
     size = max(test_size, len(counts) / total)
-    wanted = {k: min(n - 1, max(1, math.ceil(n * size))) for k, n in counts.items()}
-    u = hash_uniform(seed, row_id)
-    edges = _class_edges(df, target, u, wanted)
-    return df.withColumn("split", F.when(u <= _by_class(target, edges, -1.0), "test").otherwise("train"))
+    wanted = {k: [min(n - 1, max(1, math.ceil(n * size)))] for k, n in counts.items()}
+    rows = _first_rows(df, row_id, target, hash_uniform(seed, row_id), wanted)
+    return rows.withColumn("split", F.when(F.col("_slice") == 0, "test").otherwise("train")).drop("_slice")
 
 
 def hash_folds(df: DataFrame, row_id: str, k: int = 10, seed: int = 42) -> DataFrame:
@@ -74,18 +108,9 @@ def stratified_folds(df: DataFrame, row_id: str, target: str, k: int = 10, seed:
     if smallest < 2:
         raise ValueError("cross-validation needs two rows in every class")
     k = min(k, smallest)
-    u = hash_uniform(seed, row_id)
-    keys = list(counts)
-    cols = df.select(*[F.when(c(target) == F.lit(v), u).alias(f"u{i}") for i, v in enumerate(keys)])
-    ranks = {f"u{i}": [math.ceil(counts[v] * f / k) - 1 for f in range(1, k)] for i, v in enumerate(keys)}
-    found = order_statistics(cols, ranks)
-    fold = F.lit(0)
-    for i, v in enumerate(keys):
-        inside = F.lit(0)
-        for edge in found[f"u{i}"]:
-            inside = inside + F.when(u > F.lit(edge), 1).otherwise(0)
-        fold = F.when(c(target) == F.lit(v), inside).otherwise(fold)
-    return df.withColumn("fold", fold.cast("int")), k
+    sizes = {v: [math.ceil(n * f / k) for f in range(1, k)] for v, n in counts.items()}
+    rows = _first_rows(df, row_id, target, hash_uniform(seed, row_id), sizes)
+    return rows.withColumn("fold", F.col("_slice").cast("int")).drop("_slice"), k
 
 
 def over_sample(df: DataFrame, row_id: str, target: str, seed: int = 42) -> DataFrame:
@@ -93,19 +118,17 @@ def over_sample(df: DataFrame, row_id: str, target: str, seed: int = 42) -> Data
     counts = class_counts(df, target)
     top = max(counts.values())
     whole = {k: top // n for k, n in counts.items()}
-    u = hash_uniform(seed, row_id)
-    edges = _class_edges(df, target, u, {k: top - whole[k] * n for k, n in counts.items()})
-    copies = _by_class(target, whole, 1) + F.when(u <= _by_class(target, edges, -1.0), 1).otherwise(0)
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    rows = _first_rows(df, row_id, target, hash_uniform(seed, row_id), {k: [top - whole[k] * n] for k, n in counts.items()})
+    copies = _by_class(target, whole, 1) + F.when(F.col("_slice") == 0, 1).otherwise(0)
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("_slice")
 
 
 def under_sample(df: DataFrame, row_id: str, target: str, seed: int = 42) -> DataFrame:
     """A hash-chosen subset of every class with the size of the smallest class."""
     counts = class_counts(df, target)
     low = min(counts.values())
-    u = hash_uniform(seed, row_id)
-    edges = _class_edges(df, target, u, {k: low for k in counts})
-    return df.filter(u <= _by_class(target, edges, -1.0))
+    rows = _first_rows(df, row_id, target, hash_uniform(seed, row_id), {k: [low] for k in counts})
+    return rows.filter("_slice = 0").drop("_slice")
 
 
 def over_then_under_sample(df: DataFrame, row_id: str, target: str, seed: int = 42) -> DataFrame:

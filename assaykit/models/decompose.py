@@ -62,11 +62,13 @@ def biplot(model: PcaModel, df: DataFrame, row_id: str, axes: Sequence[int] = (1
 
 
 def _landmarks(df: DataFrame, features: Sequence[str], row_id: str, count: int) -> np.ndarray:
-    rows = df.select(features_array(features).alias("_f"), F.xxhash64(c(row_id)).alias("_h")).orderBy("_h").limit(min(count, LANDMARK_LIMIT))
+    if not 2 <= count <= LANDMARK_LIMIT:
+        raise ValueError(f"landmarks must be 2..{LANDMARK_LIMIT}")
+    rows = df.select(features_array(features).alias("_f"), F.xxhash64(c(row_id)).alias("_h")).orderBy("_h").limit(count)
     return np.stack(rows.toPandas()["_f"].to_numpy())
 
 
-def landmark_mds(df: DataFrame, features: Sequence[str], row_id: str, k: int = 2, landmarks: int = 300) -> tuple[DataFrame, float]:
+def landmark_mds(df: DataFrame, features: Sequence[str], row_id: str, landmarks: int, k: int = 2) -> tuple[DataFrame, float]:
     """Classical scaling of a bounded landmark set; all rows are placed from their landmark distances.
 
     Returns the coordinates and the raw stress over landmark pairs.
@@ -120,8 +122,8 @@ def _affinities(d2: np.ndarray, perplexity: float) -> np.ndarray:
 
 
 def landmark_tsne(
-    df: DataFrame, features: Sequence[str], row_id: str, k: int = 2, perplexity: float = 30.0, learning_rate: float | str = "auto",
-    n_iter: int = 1000, early_exaggeration: float = 12.0, landmarks: int = 300, near: int = 5,
+    df: DataFrame, features: Sequence[str], row_id: str, landmarks: int, k: int = 2, perplexity: float = 30.0, learning_rate: float | str = "auto",
+    n_iter: int = 1000, early_exaggeration: float = 12.0, near: int = 5,
 ) -> DataFrame:
     """t-SNE of a bounded landmark set; every other row is put at the weighted mean of its nearest landmarks."""
     z = _landmarks(df, features, row_id, landmarks)

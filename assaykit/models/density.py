@@ -108,14 +108,6 @@ def number_in_order(heads: DataFrame, key: str) -> DataFrame:
     return ranged.withColumn("_k", inside).join(table, "_part").select(key, (F.col("_start") + F.col("_k") - 1).alias("_no"))
 
 
-def estimate_bandwidth(df: DataFrame, features: Sequence[str], row_id: str, quantile: float = 0.3, limit: int = 500) -> float:
-    """Mean distance to the (quantile * n)-th nearest row, on a hash sample of at most ``limit`` rows."""
-    rows = df.select(features_array(features).alias("_f"), c(row_id).alias("_id")).orderBy(F.xxhash64("_id")).limit(limit)
-    x = np.stack(rows.toPandas()["_f"].to_numpy())
-    k = max(1, int(len(x) * quantile))
-    return float(np.sort(distances(x, x), axis=1)[:, :k].max(axis=1).mean())
-
-
 def mean_shift(
     df: DataFrame, features: Sequence[str], row_id: str, bandwidth: float, bin_seeding: bool = True, min_bin_freq: int = 1,
     cluster_all: bool = True, max_iter: int = 300, block: int = BLOCK,

@@ -77,7 +77,8 @@ class Binning:
 
 
 def fit_binning(df: DataFrame, features: Sequence[str], bins: int = 32) -> Binning:
-    bins = min(bins, MAX_BINS)
+    if not 2 <= bins <= MAX_BINS:
+        raise ValueError(f"bins must be 2..{MAX_BINS}")
     probs = [i / bins for i in range(1, bins)]
     row = df.agg(*[F.percentile_approx(c(f).cast("double"), probs, 10_000).alias(f"e{i}") for i, f in enumerate(features)]).first()
     return Binning(tuple(features), tuple(tuple(sorted(set(row[f"e{i}"] or []))) for i in range(len(features))))
@@ -227,9 +228,13 @@ def _slopes(kind: str, y: np.ndarray, score: np.ndarray, quantile: float, delta:
 def boost(
     df: DataFrame, features: Sequence[str], target: str, row_id: str, loss: str = "squared_error", rounds: int = 100, rate: float = 0.3,
     max_depth: int = 6, subsample: float = 1.0, colsample: float = 1.0, l1: float = 0.0, l2: float = 1.0, min_child: float = 1.0,
-    gamma: float = 0.0, bins: int = 32, quantile: float = 0.9, seed: int = 42, classes: Sequence | None = None, newton_leaves: bool = True,
+    gamma: float = 0.0, bins: int = 32, quantile: float = 0.9, seed: int = 42, classes: Sequence | None = None,
 ) -> TreeEnsemble:
-    """Second-order boosting. Missing values have their own bin, tried on both sides of every cut."""
+    """Second-order boosting. Missing values have their own bin, tried on both sides of every cut.
+
+    The slopes of the absolute and the quantile loss say only on which side of the score a target lies, so with these a
+    finished tree gets the median (or quantile) of the residuals in each leaf as its values, in one more pass.
+    """
     if classes is not None and list(classes) != list(range(len(classes))):
         raise ValueError("class labels have to be 0..K-1")
     outputs = 1 if classes is None or len(classes) == 2 else len(classes)
@@ -303,6 +308,9 @@ def boost(
                             tree.value[kid], tree.count[kid] = _leaf(g, h, l1, l2), float(m)
                         new_open[k] += kids
                 open_nodes = new_open
+            if loss in ("absolute_error", "quantile"):
+                share = 0.5 if loss == "absolute_error" else quantile
+                _refill(table, group[0], recent, base, rate, d, share, subsample, seed + step)
             trees.append(group)
             if len(trees) - folded >= FOLD_EVERY and step < rounds - 1:
                 fresh = _fold(table, trees[folded:], rate, d)
@@ -315,6 +323,25 @@ def boost(
     return TreeEnsemble(binning, trees, "boost", base, rate, tuple(classes) if classes is not None else None, tuple(history))
 
 
+def _refill(table: DataFrame, tree: Tree, recent: list, base: np.ndarray, rate: float, d: int, share: float, subsample: float, seed: int) -> None:
+    """Set each leaf to the ``share`` quantile of its residuals, within 1e-5 in rank; one row a leaf comes back."""
+
+    def residuals(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            code = _codes(pdf, d)
+            score = np.stack(pdf["score"].to_numpy())[:, 0] + base[0]
+            for past in recent:
+                score += rate * np.asarray(past[0].value)[past[0].leaves(code)]
+            keep = slice(None) if subsample >= 1 else _mix(pdf["h"].to_numpy(), seed) < subsample
+            yield pd.DataFrame({"leaf": tree.leaves(code)[keep].astype(np.int32), "r": (pdf["y"].to_numpy() - score)[keep]})
+
+    rows = table.mapInPandas(residuals, "leaf int, r double").groupBy("leaf").agg(F.percentile_approx("r", share, 100_000).alias("v")).collect()
+    for r in rows:
+        tree.value[r["leaf"]] = r["v"]
+
+
 def _fold(table: DataFrame, groups: list, rate: float, d: int) -> DataFrame:
     """Move the finished trees into the running score."""
 

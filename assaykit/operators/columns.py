@@ -119,7 +119,3 @@ def rows_of(df: DataFrame, members: DataFrame, on: str, present: bool = True) ->
 def distinct_in_order(df: DataFrame, value: str, row_order: str) -> DataFrame:
     """Distinct values in the order in which they first occur (smallest ``row_order``)."""
     return df.groupBy(c(value).alias(value)).agg(F.min(c(row_order)).alias("first_row"), F.count("*").alias("n"))
-
-
-def as_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[c(n).cast(T.DoubleType()).alias(n) if n in columns else c(n) for n in df.columns])

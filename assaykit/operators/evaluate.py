@@ -77,6 +77,8 @@ def classification_scores(
             n_classes = report.filter("support > 0").count()
         average = "binary" if n_classes == 2 else "weighted"
     if average == "binary":
+        if (report.filter("support > 0").count() if n_classes is None else n_classes) > 2:
+            raise ValueError("a binary average needs two classes")
         pick = F.col("class") == F.lit(positive)
         parts = [F.coalesce(F.max(F.when(pick, F.col(k))), F.lit(0.0)).alias(k) for k in ("precision", "recall", "f1")]
     elif average == "micro":

@@ -202,9 +202,18 @@ def block_join(
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
+def placed(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows whose features are all numbers: a row with a missing one (NULL or NaN) has no place and no neighbours."""
+    keep = F.lit(True)
+    for f in features:
+        x = c(f).cast("double")
+        keep = keep & x.isNotNull() & ~F.isnan(x)
+    return df.filter(keep)
+
+
 def locations(df: DataFrame, features: Sequence[str], extra: Sequence[Column] = (), by: Sequence[str] = ()) -> DataFrame:
-    """Distinct positions with the number of rows there."""
-    base = df.select(features_array(features).alias("_f"), *[c(b) for b in by], *extra)
+    """Distinct positions with the number of rows there; rows without a place are left out."""
+    base = placed(df, features).select(features_array(features).alias("_f"), *[c(b) for b in by], *extra)
     return base.groupBy("_f", *by).agg(F.count("*").alias("_n"))
 
 
@@ -212,7 +221,11 @@ def nearest_neighbors(
     queries: DataFrame, points: DataFrame, features: Sequence[str], k: int, query_id: str, point_id: str,
     p: float = 2.0, exclude_self: bool = False, payload: Sequence[str] = (), block: int = BLOCK,
 ) -> DataFrame:
-    """(query id, neighbour, distance, rank) for the k nearest rows; ties go to the smaller id. Exact."""
+    """(query id, neighbour, distance, rank) for the k nearest rows; ties go to the smaller id. Exact.
+
+    Rows with a missing feature are no neighbours and get none, on either side.
+    """
+    queries, points = placed(queries, features), placed(points, features)
     want = k + 1 if exclude_self else k
     members = W.partitionBy("_f").orderBy("neighbor")
     pool = points.select(

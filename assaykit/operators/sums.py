@@ -20,7 +20,9 @@ ROWS_AT_ONCE = 8192
 
 def fan_out(df: DataFrame) -> int:
     """How many intermediate sums are worth a step of their own."""
-    parts = df.rdd.getNumPartitions()
+    # from the session, since counting the partitions of a plan can run its shuffles
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return 1 if parts <= FAN_OUT else FAN_OUT
 
 

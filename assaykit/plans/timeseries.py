@@ -133,6 +133,10 @@ def bootstrap_draws(weighted: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
 
 
+# means up to here follow the inverse of the Poisson law term by term
+POISSON_INVERSE = 500.0
+
+
 def poisson_draws(weighted: DataFrame, spec: SeriesSpec, most: int = 12) -> DataFrame:
     """The large-scale form: every row decides by itself how often it is drawn, Poisson(n * p_i) per iteration.
 
@@ -144,15 +148,23 @@ def poisson_draws(weighted: DataFrame, spec: SeriesSpec, most: int = 12) -> Data
     seed = spec.seed
 
     def copies(u: np.ndarray, m: np.ndarray) -> np.ndarray:
-        count, mass, below = np.zeros(len(u), dtype=np.int64), np.exp(-np.minimum(m, 700)), np.zeros(len(u))
-        k = 0
-        below = mass.copy()
-        limit = int(m.max() + 12 * math.sqrt(m.max() + 1) + most) if len(m) else 0
-        while k < limit and (u > below).any():
-            count += u > below
-            k += 1
-            mass = mass * m / k
-            below = below + mass
+        count = np.zeros(len(u), dtype=np.int64)
+        heavy = m > POISSON_INVERSE
+        for i in np.flatnonzero(heavy):
+            # exp(-m) is no number here; a generator keyed by the row's own uniform draws the exact law
+            count[i] = np.random.default_rng(int(u[i] * 2**52)).poisson(m[i])
+        light = np.flatnonzero(~heavy)
+        if len(light):
+            x, y = m[light], u[light]
+            mass = np.exp(-x)
+            below, k, found = mass.copy(), 0, np.zeros(len(light), dtype=np.int64)
+            limit = int(x.max() + 12 * math.sqrt(x.max() + 1) + most)
+            while k < limit and (y > below).any():
+                found += y > below
+                k += 1
+                mass = mass * x / k
+                below = below + mass
+            count[light] = found
         return count
 
     from pyspark.sql.functions import pandas_udf

@@ -36,7 +36,7 @@ def agglomerative(spark, sf):
 
 @query("k5_affinity_propagation")
 def affinity(spark, sf):
-    return cluster.affinity_propagation(vectors(spark, sf, 4), dims(4), "vec_id", 0.7, max_iter=15, neighbours=30)
+    return cluster.affinity_propagation(vectors(spark, sf, 4), dims(4), "vec_id", neighbours=30, damping=0.7, max_iter=15)
 
 
 @query("k7_optics")
@@ -75,7 +75,7 @@ def biplot(spark, sf):
 
 @query("d3_landmark_mds")
 def mds(spark, sf):
-    return rounded(decompose.landmark_mds(vectors(spark, sf, 16), dims(16), "vec_id")[0], 4)
+    return rounded(decompose.landmark_mds(vectors(spark, sf, 16), dims(16), "vec_id", landmarks=300)[0], 4)
 
 
 @query("d4_landmark_tsne")

@@ -40,11 +40,11 @@ def etr(spark, sf):
 
 @query("r13_gradient_boosting_regression")
 def gbr(spark, sf):
-    t = _price(spark, sf)
+    t = samples(spark, sf)
     out = None
     for loss in ("squared_error", "absolute_error", "huber", "quantile"):
-        model = hist_tree.gradient_boosting_regression(t, REG, "p", "row_id", loss=loss, rounds=4, rate=0.5)
-        one = _scored(model.transform(t)).withColumn("loss", F.lit(loss))
+        model = hist_tree.gradient_boosting_regression(t, REG, "price", "row_id", loss=loss, rounds=4, rate=0.5)
+        one = rounded(evaluate.regression_scores(model.transform(t), "price", "prediction"), 3).withColumn("loss", F.lit(loss))
         out = one if out is None else out.unionByName(one)
     return out
 

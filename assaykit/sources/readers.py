@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,39 +106,40 @@ def tighten_types(df: DataFrame) -> DataFrame:
 
 
 def dataset_catalog(spark: SparkSession, folder: str, roles: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """One row per file: name, format, size, sha-256, row count, column count, task and role.
+    """One row per file: path below the folder, name, format, size, sha-256, row count, column count, task and role.
 
-    Contents are hashed where they lie; CSV lines are counted by a grouped count. Files must fit a
-    Spark binary value (2 GiB); larger ones should be split on export, as every reader here takes folders.
+    Files are hashed and their CSV records counted where they lie, by a CSV parser: quoted commas and line breaks are
+    part of their cell, blank lines are no record, the first record is the header. ``roles`` are keyed by path below
+    the folder or by file name. Files must fit a Spark binary value (2 GiB); larger ones should be split on export,
+    as every reader here takes folders.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,parquet}").load(folder)
-        .select(
-            "path", F.element_at(F.split("path", "/"), -1).alias("file_name"),
-            F.lower(F.element_at(F.split("path", "\\."), -1)).alias("format"),
-            F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"),
-        )
-    )
-    known = [(k, *v) for k, v in (roles or {}).items()]
-    tags = spark.createDataFrame(known, "file_name string, task string, role string")
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(folder)
-        .select(F.input_file_name().alias("p"), "value")
-        .groupBy(F.element_at(F.split("p", "/"), -1).alias("_f"))
-        .agg(F.count("*").alias("_lines"))
-    )
-    heads = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("header", "false").option("maxColumns", "20480").text(folder)
-        .select("value", F.col("_metadata.file_name").alias("_h"), F.col("_metadata.file_block_start").alias("_start"))
-        .filter("_start = 0").groupBy("_h").agg(F.first("value").alias("_head"))
-    )
-    out = files.join(tags, "file_name", "left").join(lines, F.col("file_name") == F.col("_f"), "left")
-    out = out.join(heads, F.col("file_name") == F.col("_h"), "left")
-    return out.select(
-        "file_name", "format", "size_bytes", "sha256", (F.col("_lines") - 1).alias("row_count"),
-        F.size(F.split("_head", ",")).alias("column_count"), "task",
-        F.coalesce("role", F.lit("unspecified")).alias("role"),
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,parquet}").load(folder)
+    kind = F.lower(F.element_at(F.split("path", "\\."), -1))
+
+    @F.pandas_udf("row_count long, column_count int")
+    def shape(contents: pd.Series, formats: pd.Series) -> pd.DataFrame:
+        out = []
+        for content, form in zip(contents, formats):
+            if form != "csv":
+                out.append((None, None))
+                continue
+            text = bytes(content).decode("utf-8-sig", "replace")
+            records = (r for r in csv.reader(io.StringIO(text, newline="")) if r)
+            head = next(records, None)
+            out.append((sum(1 for _ in records), len(head)) if head is not None else (0, 0))
+        return pd.DataFrame(out, columns=["row_count", "column_count"]).astype({"row_count": "Int64", "column_count": "Int32"})
+
+    base = F.element_at(F.split(F.lit(folder.rstrip("/")), "/"), -1)
+    out = files.select(
+        F.substring_index("path", F.concat(F.lit("/"), base, F.lit("/")), -1).alias("relative_path"),
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), kind.alias("format"), F.col("length").alias("size_bytes"),
+        F.sha2("content", 256).alias("sha256"), shape("content", kind).alias("s"),
+    ).select("relative_path", "file_name", "format", "size_bytes", "sha256", "s.*")
+    task, role = F.lit(None).cast("string"), F.lit("unspecified")
+    for name, (of_task, of_role) in (roles or {}).items():
+        hit = (F.col("relative_path") == name) | (F.col("file_name") == name)
+        task, role = F.when(hit, F.lit(of_task)).otherwise(task), F.when(hit, F.lit(of_role)).otherwise(role)
+    return out.withColumn("task", task).withColumn("role", role)
 
 
 def inferred_type(x: Column) -> Column:

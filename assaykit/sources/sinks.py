@@ -36,12 +36,5 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def save_parameters(spark: SparkSession, parameters: dict, path: str) -> str:
-    """Fitted statistics of an operator as a long (name, value) table."""
-    rows = [(str(k), str(v)) for k, v in sorted(parameters.items(), key=lambda kv: str(kv[0]))]
-    spark.createDataFrame(rows, "name string, value string").write.parquet(path)
-    return path
-
-
 def load_parameters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).orderBy(F.col("name"))

@@ -73,13 +73,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is made only where the session names none (tests)."""
+    """The cluster's shared folder; a local one is made only on one machine that names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     made = tempfile.mkdtemp(prefix="assaykit-")
     spark.sparkContext.setCheckpointDir(made)
     return made

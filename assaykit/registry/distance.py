@@ -24,20 +24,20 @@ def _knn_sql(n: int, k: int, left: str = "vectors", right: str = "vectors", skip
   row_number() OVER (PARTITION BY a.vec_id ORDER BY {_d2(n)}, b.vec_id) AS rank FROM {left} a JOIN {right} b ON {cond}) WHERE rank <= {k})"""
 
 
-@query("j4_distance_sums", f"WITH {vectors_sql(8)} SELECT a.vec_id, round(sum(1 / (1 + {_d2(8)})), 6) + 0.0 AS total FROM vectors a, vectors b GROUP BY 1")
+@query("j4_distance_sums", f"WITH {vectors_sql(64)} SELECT a.vec_id, round(sum(1 / (1 + {_d2(64)})), 6) + 0.0 AS total FROM vectors a, vectors b GROUP BY 1")
 def distance_sums(spark, sf):
-    t = vectors(spark, sf, 8)
-    spots = locations(t, dims(8))
+    t = vectors(spark, sf, 64)
+    spots = locations(t, dims(64))
     tagged, cells = build_cells(spots)
     sums = sums_over(spots.select("_f"), tagged, cells, lambda d: 1.0 / (1.0 + d * d))
-    keyed = t.select("vec_id", F.array(*dims(8)).alias("_f")).join(sums, "_f")
+    keyed = t.select("vec_id", F.array(*dims(64)).alias("_f")).join(sums, "_f")
     return rounded(keyed.select("vec_id", "total"))
 
 
-@query("j5_nearest_neighbors", f"WITH {vectors_sql(16)}, {_knn_sql(16, 5)} SELECT vec_id, neighbor, round(distance, 6) + 0.0 AS distance, rank FROM edges")
+@query("j5_nearest_neighbors", f"WITH {vectors_sql(64)}, {_knn_sql(64, 5)} SELECT vec_id, neighbor, round(distance, 6) + 0.0 AS distance, rank FROM edges")
 def neighbours(spark, sf):
-    t = vectors(spark, sf, 16)
-    return rounded(nearest_neighbors(t, t, dims(16), 5, "vec_id", "vec_id", exclude_self=True))
+    t = vectors(spark, sf, 64)
+    return rounded(nearest_neighbors(t, t, dims(64), 5, "vec_id", "vec_id", exclude_self=True))
 
 
 def _split_sql(n: int) -> str:
@@ -50,10 +50,10 @@ def _train_test(spark, sf, n):
     return t.filter("split = 'train'"), t.filter("split = 'test'")
 
 
-@query("r8_knn_regression", f"WITH {vectors_sql(8)}, {_split_sql(8)}, {_knn_sql(8, 5, 'test', 'train', False)} SELECT vec_id, round(sum(nlabel / distance) / sum(1 / distance), 6) + 0.0 AS prediction FROM edges GROUP BY 1")
+@query("r8_knn_regression", f"WITH {vectors_sql(64)}, {_split_sql(64)}, {_knn_sql(64, 5, 'test', 'train', False)} SELECT vec_id, round(sum(nlabel / distance) / sum(1 / distance), 6) + 0.0 AS prediction FROM edges GROUP BY 1")
 def knn_reg(spark, sf):
-    train, test = _train_test(spark, sf, 8)
-    return rounded(knn_regression(train, test, dims(8), "label", "vec_id", 5, weights="distance"))
+    train, test = _train_test(spark, sf, 64)
+    return rounded(knn_regression(train, test, dims(64), "label", "vec_id", 5, weights="distance"))
 
 
 @query("c10_knn_classification", f"WITH {vectors_sql(64)}, {_split_sql(64)}, {_knn_sql(64, 7, 'test', 'train', False)}, v AS (SELECT vec_id, nlabel, count(*) AS n FROM edges GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, nlabel) AS p FROM v) SELECT vec_id, nlabel AS prediction, round(n / 7.0, 6) + 0.0 AS probability FROM r WHERE p = 1")
@@ -62,12 +62,12 @@ def knn_cls(spark, sf):
     return rounded(knn_classification(train, test, dims(64), "label", "vec_id", 7))
 
 
-@query("o2_local_outlier_factor", f"""WITH {vectors_sql(8)}, {_knn_sql(8, 20)}, kd AS (SELECT vec_id, max(distance) AS kd FROM edges GROUP BY 1),
+@query("o2_local_outlier_factor", f"""WITH {vectors_sql(64)}, {_knn_sql(64, 20)}, kd AS (SELECT vec_id, max(distance) AS kd FROM edges GROUP BY 1),
  lrd AS (SELECT e.vec_id, 1 / (avg(greatest(distance, kd.kd)) + 1e-10) AS lrd FROM edges e JOIN kd ON e.neighbor = kd.vec_id GROUP BY 1),
  lof AS (SELECT e.vec_id, avg(l.lrd) / any_value(o.lrd) AS lof FROM edges e JOIN lrd l ON e.neighbor = l.vec_id JOIN lrd o ON e.vec_id = o.vec_id GROUP BY 1)
  SELECT vec_id, round(lof, 6) + 0.0 AS lof, round(-lof, 6) + 0.0 AS negative_outlier_factor, CASE WHEN lof > (SELECT quantile_cont(lof, 0.9) FROM lof) THEN -1 ELSE 1 END::BIGINT AS is_abnormal FROM lof""")
 def lof(spark, sf):
-    return rounded(local_outlier_factor(vectors(spark, sf, 8), dims(8), "vec_id", 20, contamination=0.1))
+    return rounded(local_outlier_factor(vectors(spark, sf, 64), dims(64), "vec_id", 20, contamination=0.1))
 
 
 EPS, MIN_SAMPLES = 0.12, 6
@@ -91,31 +91,31 @@ def shift(spark, sf):
     return labels
 
 
-@query("e17_silhouette", f"""WITH {vectors_sql(8)}, s AS (SELECT a.vec_id, a.label, b.label AS other, sum(sqrt({_d2(8)})) AS total, count(*) AS n FROM vectors a, vectors b GROUP BY 1, 2, 3),
+@query("e17_silhouette", f"""WITH {vectors_sql(64)}, s AS (SELECT a.vec_id, a.label, b.label AS other, sum(sqrt({_d2(64)})) AS total, count(*) AS n FROM vectors a, vectors b GROUP BY 1, 2, 3),
  p AS (SELECT vec_id, label, max(CASE WHEN label = other THEN total / nullif(n - 1, 0) END) AS a, max(CASE WHEN label = other THEN n END) AS n, min(CASE WHEN label <> other THEN total / n END) AS b FROM s GROUP BY 1, 2)
  SELECT vec_id, label, round(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) + 0.0 AS silhouette FROM p""")
 def silhouette(spark, sf):
-    return rounded(euclidean_silhouette(vectors(spark, sf, 8), dims(8), "label", "vec_id"))
+    return rounded(euclidean_silhouette(vectors(spark, sf, 64), dims(64), "label", "vec_id"))
 
 
-@query("e17_silhouette_squared", f"""WITH {vectors_sql(8)}, s AS (SELECT a.vec_id, a.label, b.label AS other, sum({_d2(8)}) AS total, count(*) AS n FROM vectors a, vectors b GROUP BY 1, 2, 3),
+@query("e17_silhouette_squared", f"""WITH {vectors_sql(64)}, s AS (SELECT a.vec_id, a.label, b.label AS other, sum({_d2(64)}) AS total, count(*) AS n FROM vectors a, vectors b GROUP BY 1, 2, 3),
  p AS (SELECT vec_id, label, max(CASE WHEN label = other THEN total / nullif(n - 1, 0) END) AS a, min(CASE WHEN label <> other THEN total / n END) AS b FROM s GROUP BY 1, 2)
  SELECT vec_id, label, round(coalesce((b - a) / greatest(a, b), 0), 6) + 0.0 AS silhouette FROM p""")
 def silhouette_sq(spark, sf):
-    return rounded(evaluate.squared_silhouette(vectors(spark, sf, 8), dims(8), "label", "vec_id"))
+    return rounded(evaluate.squared_silhouette(vectors(spark, sf, 64), dims(64), "label", "vec_id"))
 
 
-@query("e18_calinski_harabasz", f"WITH {vectors_sql(4)}, g AS (SELECT label, count(*) AS n, {', '.join(f'avg(x{i}) AS m{i}, var_pop(x{i}) AS v{i}' for i in range(4))} FROM vectors GROUP BY 1), t AS (SELECT {', '.join(f'avg(x{i}) AS t{i}' for i in range(4))} FROM vectors) SELECT count(*) AS k, sum(n)::BIGINT AS n, round((sum({' + '.join(f'n * (m{i} - t{i}) * (m{i} - t{i})' for i in range(4))}) / (count(*) - 1)) / (sum({' + '.join(f'n * v{i}' for i in range(4))}) / (sum(n) - count(*))), 6) + 0.0 AS calinski_harabasz FROM g, t")
+@query("e18_calinski_harabasz", f"WITH {vectors_sql(64)}, g AS (SELECT label, count(*) AS n, {', '.join(f'avg(x{i}) AS m{i}, var_pop(x{i}) AS v{i}' for i in range(64))} FROM vectors GROUP BY 1), t AS (SELECT {', '.join(f'avg(x{i}) AS t{i}' for i in range(64))} FROM vectors) SELECT count(*) AS k, sum(n)::BIGINT AS n, round((sum({' + '.join(f'n * (m{i} - t{i}) * (m{i} - t{i})' for i in range(64))}) / (count(*) - 1)) / (sum({' + '.join(f'n * v{i}' for i in range(64))}) / (sum(n) - count(*))), 6) + 0.0 AS calinski_harabasz FROM g, t")
 def calinski(spark, sf):
-    return rounded(evaluate.calinski_harabasz(vectors(spark, sf, 4), dims(4), "label"))
+    return rounded(evaluate.calinski_harabasz(vectors(spark, sf, 64), dims(64), "label"))
 
 
 # ---------------------------------------------------------------- age series
-SPEC = ts.SeriesSpec(bin_width=50.0, iterations=5, seed=42)
+SPEC = ts.SeriesSpec(bin_width=50.0, iterations=100, seed=42)
 WEIGHT_SQL = f"""{GEO_SQL}, kern AS (SELECT a.row_id, sum(1 / (pow((b.latitude - a.latitude) / 2, 2) + pow((b.longitude - a.longitude) / 2, 2) + 1) + 1 / (pow((b.age - a.age) / 38, 2) + 1)) AS s FROM geo a, geo b GROUP BY 1),
  weighted AS (SELECT g.*, 0.2 / s AS weight FROM geo g JOIN kern USING (row_id))"""
 DRAW_SQL = f"""{WEIGHT_SQL}, pos AS (SELECT *, coalesce(sum(weight) OVER (ORDER BY {hash_uniform_sql(42, 'row_id')} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT sum(weight) FROM weighted) AS lo FROM weighted),
- draws AS (SELECT i AS iteration, j AS draw, {hash_uniform_sql('42-draw', 'i', 'j')} AS u FROM range(5) r(i), range((SELECT count(*) FROM geo)) s(j)),
+ draws AS (SELECT i AS iteration, j AS draw, {hash_uniform_sql('42-draw', 'i', 'j')} AS u FROM range(100) r(i), range((SELECT count(*) FROM geo)) s(j)),
  hits AS (SELECT iteration, draw, p.age + (p.age_max - p.age) / 2 * sqrt(-2 * ln(1 - {hash_uniform_sql('42-j1', 'iteration', 'draw')})) * cos(2 * pi() * {hash_uniform_sql('42-j2', 'iteration', 'draw')}) AS age, p.probability FROM draws d ASOF JOIN pos p ON d.u >= p.lo)"""
 SHARE_SQL = f"""{DRAW_SQL}, nb AS (SELECT ceil(max(age_max) / 50) AS bins FROM geo), shares AS (SELECT iteration, bin, sum(CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END) / count(*) * 100 AS share
  FROM hits, nb, range(1000) b(bin) WHERE bin < bins AND age >= bin * 50 AND age <= (bin + 1) * 50 GROUP BY 1, 2)"""

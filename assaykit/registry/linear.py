@@ -38,11 +38,14 @@ def flagship(spark, sf):
     return rounded(out.drop("mse"), {"rmse": 3, "mae": 3, "r2": 8, "explained_variance": 8})
 
 
-@query("r2_polynomial_regression")
+@query("r2_polynomial_regression", f"""WITH {SAMPLES_SQL}, z AS (SELECT row_id, price AS y, quantity AS u, quantity * quantity AS v FROM samples),
+ g AS (SELECT avg(y) AS my, avg(u) AS mu, avg(v) AS mv, var_pop(u) AS uu, var_pop(v) AS vv, covar_pop(u, v) AS uv, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy FROM z),
+ w AS (SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS a, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS b FROM g)
+ SELECT row_id, round(my + a * (u - mu) + b * (v - mv), 2) + 0.0 AS prediction FROM z, w""")
 def poly(spark, sf):
     t = samples(spark, sf)
-    model = linear.polynomial_regression(t, ["quantity", "full_discount"], "price", 2)
-    return rounded(model.transform(t).agg(F.count("*").alias("n"), F.avg("prediction").alias("mean")), 3)
+    model = linear.polynomial_regression(t, ["quantity"], "price", 2)
+    return rounded(model.transform(t).select("row_id", "prediction"), 2)
 
 
 RIDGE_SQL = """g AS (SELECT count(*)::DOUBLE AS n, avg(price) AS my, avg(quantity) AS m1, avg(full_tax) AS m2, var_pop(quantity) * count(*) AS s11, var_pop(full_tax) * count(*) AS s22,
@@ -215,14 +218,14 @@ def confusion(spark, sf):
 E5_U = hash_uniform_sql(42, "row_id")
 
 
-@query("e5_cross_validation", f"WITH {SAMPLES_SQL}, f AS (SELECT quantity AS x, price AS y, floor({E5_U} * 5)::BIGINT AS fold FROM samples), k AS (SELECT k::BIGINT AS k FROM range(5) t(k)), m AS (SELECT k, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM f, k WHERE fold <> k GROUP BY k), s AS (SELECT k, sqrt(avg(pow(y - a * x - b, 2))) AS rmse, 1 - avg(pow(y - a * x - b, 2)) / var_pop(y) AS r2 FROM f JOIN m ON fold = k GROUP BY k) SELECT 'rmse' AS metric, round(avg(rmse), 4) + 0.0 AS mean, round(stddev_pop(rmse), 4) + 0.0 AS std FROM s UNION ALL SELECT 'r2', round(avg(r2), 4) + 0.0, round(stddev_pop(r2), 4) + 0.0 FROM s")
+@query("e5_cross_validation", f"WITH {SAMPLES_SQL}, f AS (SELECT quantity AS x, price AS y, floor({E5_U} * 10)::BIGINT AS fold FROM samples), k AS (SELECT k::BIGINT AS k FROM range(10) t(k)), m AS (SELECT k, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM f, k WHERE fold <> k GROUP BY k), s AS (SELECT k, sqrt(avg(pow(y - a * x - b, 2))) AS rmse, 1 - avg(pow(y - a * x - b, 2)) / var_pop(y) AS r2 FROM f JOIN m ON fold = k GROUP BY k) SELECT 'rmse' AS metric, round(avg(rmse), 4) + 0.0 AS mean, round(stddev_pop(rmse), 4) + 0.0 AS std FROM s UNION ALL SELECT 'r2', round(avg(r2), 4) + 0.0, round(stddev_pop(r2), 4) + 0.0 FROM s")
 def cross_validation(spark, sf):
-    t = split.hash_folds(samples(spark, sf), "row_id", 5, 42).select("fold", "quantity", "price")
+    t = split.hash_folds(samples(spark, sf), "row_id", 10, 42).select("fold", "quantity", "price")
 
     def fit_predict(train, test):
         return linear.linear_regression(train, ["quantity"], "price").transform(test)
 
-    scores = evaluate.cross_validate(t, "fold", 5, fit_predict, lambda p: evaluate.regression_scores(p, "price", "prediction"))
+    scores = evaluate.cross_validate(t, "fold", 10, fit_predict, lambda p: evaluate.regression_scores(p, "price", "prediction"))
     return rounded(evaluate.fold_summary(scores, ["rmse", "r2"]), 4)
 
 

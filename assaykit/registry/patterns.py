@@ -14,22 +14,22 @@ from assaykit.registry.linear import scaled_binary
 
 @query("k1_kmeans")
 def kmeans(spark, sf):
-    t = vectors(spark, sf, 8)
-    model = cluster.kmeans(t, dims(8), 8, restarts=2, max_iter=30)
+    t = vectors(spark, sf, 64)
+    model = cluster.kmeans(t, dims(64), 8)
     return model.transform(t).select("vec_id", "cluster")
 
 
 @query("k2_silhouette_by_k")
 def by_k(spark, sf):
-    return rounded(cluster.silhouette_by_k(vectors(spark, sf, 8), dims(8), "vec_id", ks=(2, 3, 4)), 3)
+    return rounded(cluster.silhouette_by_k(vectors(spark, sf, 64), dims(64), "vec_id"), 3)
 
 
 @query("k4_agglomerative")
 def agglomerative(spark, sf):
-    t = vectors(spark, sf, 8)
+    t = vectors(spark, sf, 64)
     out = None
     for linkage in ("ward", "complete", "average", "single"):
-        one = cluster.agglomerative(t, dims(8), "vec_id", 4, linkage).withColumn("linkage", F.lit(linkage))
+        one = cluster.agglomerative(t, dims(64), "vec_id", 4, linkage).withColumn("linkage", F.lit(linkage))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -44,10 +44,10 @@ def optics(spark, sf):
     return rounded(cluster.optics(vectors(spark, sf, 4), dims(4), "vec_id", 6, 0.12))
 
 
-@query("k8_cluster_centres", f"WITH {vectors_sql(4)} SELECT label AS cluster, count(*) AS n, {', '.join(f'round(avg(x{i}), 8) + 0.0 AS x{i}' for i in range(4))} FROM vectors GROUP BY 1")
+@query("k8_cluster_centres", f"WITH {vectors_sql(64)} SELECT label AS cluster, count(*) AS n, {', '.join(f'round(avg(x{i}), 8) + 0.0 AS x{i}' for i in range(64))} FROM vectors GROUP BY 1")
 def centres(spark, sf):
-    t = vectors(spark, sf, 4).withColumnRenamed("label", "cluster")
-    return rounded(cluster.cluster_centres(t, dims(4)), 8)
+    t = vectors(spark, sf, 64).withColumnRenamed("label", "cluster")
+    return rounded(cluster.cluster_centres(t, dims(64)), 8)
 
 
 PCA_SQL = f"""WITH {vectors_sql(2)}, m AS (SELECT avg(x0) AS m0, avg(x1) AS m1, var_samp(x0) AS a, covar_samp(x0, x1) AS b, var_samp(x1) AS d FROM vectors),
@@ -75,25 +75,25 @@ def biplot(spark, sf):
 
 @query("d3_landmark_mds")
 def mds(spark, sf):
-    return rounded(decompose.landmark_mds(vectors(spark, sf, 16), dims(16), "vec_id", landmarks=300)[0], 4)
+    return rounded(decompose.landmark_mds(vectors(spark, sf, 64), dims(64), "vec_id", landmarks=300)[0], 4)
 
 
 @query("d4_landmark_tsne")
 def tsne(spark, sf):
-    return rounded(decompose.landmark_tsne(vectors(spark, sf, 16), dims(16), "vec_id", n_iter=200, landmarks=150), 1)
+    return rounded(decompose.landmark_tsne(vectors(spark, sf, 64), dims(64), "vec_id", landmarks=300), 1)
 
 
 @query("o1_isolation_forest")
 def iforest(spark, sf):
     t = balanced(samples(spark, sf).select("row_id", "quantity", "price", "full_tax"))
-    model = isolation_forest(t, ["quantity", "price", "full_tax"], "row_id", trees=50, contamination=0.05)
+    model = isolation_forest(t, ["quantity", "price", "full_tax"], "row_id", trees=100, contamination=0.05)
     return rounded(model.transform(t).select("row_id", "anomaly_score", "is_abnormal"), 5)
 
 
 @query("o3_result_tables")
 def result_tables(spark, sf):
-    t = vectors(spark, sf, 8)
-    labelled = isolation_forest(t, dims(8), "vec_id", trees=30, contamination=0.1).transform(t)
+    t = vectors(spark, sf, 64)
+    labelled = isolation_forest(t, dims(64), "vec_id", trees=100, contamination=0.1).transform(t)
     out = None
     for name, part in zip(("all", "normal", "abnormal"), columns.flag_abnormal(labelled)):
         one = part.select("vec_id", "is_abnormal").withColumn("part", F.lit(name))
@@ -114,7 +114,7 @@ def permutation(spark, sf):
     t = samples(spark, sf).select("row_id", "quantity", "full_tax", "price")
     model = linear.linear_regression(t, ["quantity", "full_tax"], "price")
     drops = explain.permutation_importance(
-        t, ["quantity", "full_tax"], "row_id", model.transform, lambda p: evaluate.regression_scores(p, "price", "prediction"), "r2", repeats=3
+        t, ["quantity", "full_tax"], "row_id", model.transform, lambda p: evaluate.regression_scores(p, "price", "prediction"), "r2", repeats=10
     )
     return rounded(explain.importance_summary(drops), 4)
 

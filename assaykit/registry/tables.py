@@ -367,20 +367,20 @@ def ratio(spark, sf):
 
 A14_SQL = f"""WITH {SAMPLES_SQL}, st AS (SELECT status, count(price) AS n, stddev_samp(price) * pow(count(price), -0.2) AS h, min(price) AS lo, max(price) AS hi FROM samples GROUP BY status),
  b AS (SELECT min(lo - 3 * h) AS lo, max(hi + 3 * h) AS hi FROM st),
- g AS (SELECT k::BIGINT AS grid, lo + k * (hi - lo) / 19 AS x FROM b, range(20) r(k))
+ g AS (SELECT k::BIGINT AS grid, lo + k * (hi - lo) / 99 AS x FROM b, range(100) r(k))
  SELECT s.status, 'price' AS feature, grid, round(x, 4) + 0.0 AS x, round(1e6 * sum(exp(-pow((x - price) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) + 0.0 AS density
  FROM samples s JOIN st USING (status), g GROUP BY s.status, grid, x"""
 
 
 @query("a14_kernel_density", A14_SQL)
 def kde(spark, sf):
-    out = profile.kernel_density(samples(spark, sf), ["price"], "status", grid_size=20)
+    out = profile.kernel_density(samples(spark, sf), ["price"], "status", grid_size=100)
     return rounded(out.withColumn("density", F.col("density") * 1e6), {"x": 4, "density": 6})
 
 
 @query("a15_density_grid")
 def kde2(spark, sf):
-    return rounded(profile.density_grid(vectors(spark, sf, 2), "x0", "x1", size=40), 8)
+    return rounded(profile.density_grid(vectors(spark, sf, 2), "x0", "x1", size=100), 8)
 
 
 @query("a16_map_tiles", f"WITH {GEO_SQL} SELECT floor(longitude / 45)::BIGINT AS tile_lon, floor(latitude / 45)::BIGINT AS tile_lat, count(*) AS n, round(avg(probability), 8) + 0.0 AS mean_value FROM geo GROUP BY 1, 2")
@@ -454,11 +454,11 @@ def signed_rank(spark, sf):
 _BIT = "((strpos('0123456789abcdef', substr(md5('2-0-' || row_id), (i // 4 + 1)::BIGINT, 1)) - 1) >> (i % 4)::INTEGER) & 1"
 
 
-@query("m7_monte_carlo_test", f"WITH {SAMPLES_SQL}, {_FILLED}, bits AS (SELECT i, whole AS v, sum(CASE WHEN discount IS NOT NULL THEN {_BIT} ELSE 0 END)::BIGINT AS a, sum({_BIT})::BIGINT AS b FROM filled, range(10) t(i) GROUP BY 1, 2) SELECT 'discount' AS feature, count(p) AS iterations, round(avg(p), 8) + 0.0 AS mean_p, avg(p) > 0 AND avg(p) < 0.05 AS rejected FROM (" + _kruskal_sql("SELECT * FROM bits", "i") + ")")
+@query("m7_monte_carlo_test", f"WITH {SAMPLES_SQL}, {_FILLED}, bits AS (SELECT i, whole AS v, sum(CASE WHEN discount IS NOT NULL THEN {_BIT} ELSE 0 END)::BIGINT AS a, sum({_BIT})::BIGINT AS b FROM filled, range(100) t(i) GROUP BY 1, 2) SELECT 'discount' AS feature, count(p) AS iterations, round(avg(p), 8) + 0.0 AS mean_p, avg(p) > 0 AND avg(p) < 0.05 AS rejected FROM (" + _kruskal_sql("SELECT * FROM bits", "i") + ")")
 def monte_carlo(spark, sf):
     t = samples(spark, sf).withColumn("full", c("discount"))
     filled = missing.fit_imputer(t, ["full"], "mean").transform(t)
-    out = missing.monte_carlo_rank_test(filled, "row_id", {"discount": "full"}, iterations=10)
+    out = missing.monte_carlo_rank_test(filled, "row_id", {"discount": "full"}, iterations=100)
     return rounded(out, {"mean_p": 8})
 
 

@@ -86,22 +86,24 @@ def _segment(line: Column, i: int, shift: int, size: Column, edits: int) -> Colu
     return F.xxhash64(F.substring(line, begin + shift + 1, length), F.lit(i), size)
 
 
-def _probes(line: Column, edits: int) -> tuple[list[Column], list[int]]:
-    """Hashes a line looks up, and which of them are also its own index entries.
+def _probes(line: Column, edits: int) -> tuple[list[Column], list[int], int]:
+    """Hashes a line looks up, which of them are also its own index entries, and how many (the first) are for its own length.
 
     For each length up to ``edits`` shorter and each segment only the starts that a cheapest alignment can use are
     looked up: with d more code points than the indexed line, the i-th segment can be shifted by at most i before
     it and must leave enough edits for what follows.
     """
-    out, own = [], []
+    out, own, same = [], [], 0
     for d in range(edits + 1):
+        if d == 1:
+            same = len(out)
         size = F.length(line) - d
         for i in range(edits + 1):
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
                 if d == 0 and shift == 0:
                     own.append(len(out))
                 out.append(_segment(line, i, shift, size, edits))
-    return out, own
+    return out, own, same or len(out)
 
 
 def letter_counts(line: Column) -> Column:
@@ -133,14 +135,15 @@ def near_line_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     compared with ``banded_distance``.
     """
     rows = _lines(docs, key, text, min_chars)
-    probes, own = _probes(F.col("line"), edits)
+    probes, own, same = _probes(F.col("line"), edits)
     place = F.struct("doc", "text_hash", "at", F.array(*probes).alias("keys"), letter_counts(F.col("line")).alias("counts"))
     lines = rows.select("h1", "h2", place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("place"))
     lines = lines.select("h1", "place.keys", "place.counts")
-    entries = lines.select("h1", "counts", F.explode(F.transform("keys", lambda k, i: F.struct(k.alias("key"), i.isin(own).alias("own")))).alias("e"))
-    looked = entries.select(F.col("h1").alias("p"), F.col("counts").alias("p_counts"), F.col("e.key").alias("key"))
+    entries = lines.select("h1", "counts", F.explode(F.transform("keys", lambda k, i: F.struct(k.alias("key"), i.isin(own).alias("own"), (i < same).alias("same")))).alias("e"))
+    looked = entries.select(F.col("h1").alias("p"), F.col("counts").alias("p_counts"), F.col("e.same").alias("same"), F.col("e.key").alias("key"))
     index = entries.filter("e.own").select(F.col("h1").alias("q"), F.col("counts").alias("q_counts"), F.col("e.key").alias("key"))
-    near = (F.col("p") != F.col("q")) & (counts_apart(F.col("p_counts"), F.col("q_counts")) <= 2 * edits)
+    # of two lines of one length each finds the other; one of the two finds is enough
+    near = (F.col("p") != F.col("q")) & (~F.col("same") | (F.col("p") < F.col("q"))) & (counts_apart(F.col("p_counts"), F.col("q_counts")) <= 2 * edits)
     maybe = looked.join(index, "key").filter(near).select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
     maybe = cut_lineage(maybe)
     wanted = maybe.select(F.col("p").alias("h1")).union(maybe.select("q")).distinct()

@@ -70,10 +70,12 @@ def banded_distance(a: Column, b: Column, limit: int = MAX_EDITS) -> Column:
 
 
 def _lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(doc, text_hash, at, line, h1, h2) of every line long enough; two hashes of 64 bits name a line."""
-    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"))
-    rows = rows.filter(F.length("line") >= min_chars)
-    return rows.select("doc", "text_hash", "at", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(SECOND_SEED)).alias("h2"))
+    """(doc, text_hash, at, line, size, h1, h2) of every line long enough; two hashes of 64 bits name a line."""
+    # hash and split before the lines are unfolded, else they are computed for every line
+    whole = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), F.split(F.col(text), "\n").alias("parts"))
+    rows = whole.select("doc", "text_hash", F.posexplode("parts").alias("at", "line")).withColumn("size", F.length("line"))
+    rows = rows.filter(F.col("size") >= min_chars)
+    return rows.select("doc", "text_hash", "at", "line", "size", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(SECOND_SEED)).alias("h2"))
 
 
 def _segment(line: Column, i: int, shift: int, size: Column, edits: int) -> Column:
@@ -86,7 +88,7 @@ def _segment(line: Column, i: int, shift: int, size: Column, edits: int) -> Colu
     return F.xxhash64(F.substring(line, begin + shift + 1, length), F.lit(i), size)
 
 
-def _probes(line: Column, edits: int) -> tuple[list[Column], list[int], int]:
+def _probes(line: Column, chars: Column, edits: int) -> tuple[list[Column], list[int], int]:
     """Hashes a line looks up, which of them are also its own index entries, and how many (the first) are for its own length.
 
     For each length up to ``edits`` shorter and each segment only the starts that a cheapest alignment can use are
@@ -97,7 +99,7 @@ def _probes(line: Column, edits: int) -> tuple[list[Column], list[int], int]:
     for d in range(edits + 1):
         if d == 1:
             same = len(out)
-        size = F.length(line) - d
+        size = chars - d
         for i in range(edits + 1):
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
                 if d == 0 and shift == 0:
@@ -110,7 +112,7 @@ def letter_counts(line: Column) -> Column:
     """Counts of the letters of ``COUNTED``, each modulo 32, packed in one long."""
     out = F.lit(0).cast("long")
     for i, letter in enumerate(COUNTED):
-        n = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("long")
+        n = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("long")
         out = out.bitwiseOR(F.shiftleft(n, COUNT_BITS * i))
     return out
 
@@ -135,7 +137,7 @@ def near_line_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     compared with ``banded_distance``.
     """
     rows = _lines(docs, key, text, min_chars)
-    probes, own, same = _probes(F.col("line"), edits)
+    probes, own, same = _probes(F.col("line"), F.col("size"), edits)
     place = F.struct("doc", "text_hash", "at", F.array(*probes).alias("keys"), letter_counts(F.col("line")).alias("counts"))
     lines = rows.select("h1", "h2", place.alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("place"))
     lines = lines.select("h1", "place.keys", "place.counts")

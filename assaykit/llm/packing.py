@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaykit.table import cut_lineage
+from assaykit.table import cut_lineage, hash_uniform
 
 MAX_WORDS = 2048
 BUCKETS = 16
@@ -54,9 +54,9 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     Null, empty and blank texts have no tokens and give no piece; repeated rows give repeated pieces.
     """
     n = F.col("n")
-    counted = docs.select(F.col(key), word_count(F.col(text)).alias("n"), F.xxhash64(F.col(text)).alias("text_hash")).filter("n > 0")
-    parts = counted.select(key, "n", "text_hash", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / limit))).alias("piece"))
-    return parts.select(key, "text_hash", "piece", (F.col("piece") * limit).alias("start"), F.least(F.lit(limit).cast("long"), n - F.col("piece") * limit).alias("length"))
+    counted = docs.select(F.col(key), word_count(F.col(text)).alias("n")).filter("n > 0")
+    parts = counted.select(key, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / limit))).alias("piece"))
+    return parts.select(key, "piece", (F.col("piece") * limit).alias("start"), F.least(F.lit(limit).cast("long"), n - F.col("piece") * limit).alias("length"))
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = MAX_WORDS, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
@@ -64,13 +64,13 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
 
     The histogram of piece lengths has at most ``limit`` rows, so the dynamic programme over it is exact and small
     at any input size. A batch holds ``batch_tokens // bucket`` pieces (at least one), so its padded size stays within
-    the budget, and only the last batch of a bucket can be short. Pieces are ranked in a bucket by hash, key and place:
+    the budget, and only the last batch of a bucket can be short. Pieces are ranked in a bucket by hash (of key and piece):
     counts of hash ranges are summed first and ranks are taken inside a range, so no bucket is sorted in one task.
     An empty table gives an empty result.
     """
     if batch_tokens < limit:
         raise ValueError("a batch must hold at least one piece of the largest length")
-    rows = pieces(docs, key, text, limit).withColumn("hash", F.xxhash64(key, "text_hash", "piece"))
+    rows = pieces(docs, key, text, limit).withColumn("hash", hash_uniform("pack", key, "piece"))
     rows = cut_lineage(rows.select(F.col(key).alias("doc"), "piece", "start", "length", "hash"))
     table = rows.groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()  # at most ``limit`` rows
     bounds = boundaries([r["length"] for r in table], [r["n"] for r in table], buckets)
@@ -81,7 +81,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
     bucket = F.lit(bounds[-1])
     for b in reversed(bounds[:-1]):
         bucket = F.when(F.col("length") <= b, F.lit(b)).otherwise(bucket)
-    rows = rows.withColumn("bucket", bucket.cast("long")).withColumn("shard", F.pmod("hash", F.lit(shards)))
+    rows = rows.withColumn("bucket", bucket.cast("long")).withColumn("shard", F.floor(F.col("hash") * shards))
     counts = rows.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     # running totals over (bucket, block of shards) and then inside a block keep each window small
     counts = cut_lineage(counts.withColumn("block", F.floor(F.col("shard") / 1000)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import chat_format, decontaminate, html_extract, line_dedup, packing, quality, secret_scan, simhash, spotsigs, toxicity
-from assaykit.table import read_table
+from assaykit.table import hash_uniform_sql, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,7 +66,37 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query("op9_packing")
+def _packing_sql() -> str:
+    """The same programme, one level a table: the cheapest way to cut the first j lengths into b buckets, and the last cut."""
+    top, b = packing.MAX_WORDS, packing.BUCKETS
+    levels = ["l0 AS (SELECT 0 AS j, 0::BIGINT AS c, 0 AS i)"]
+    for k in range(1, b + 1):
+        levels.append(
+            f"l{k} AS MATERIALIZED (SELECT j, m.c AS c, m.i AS i FROM (SELECT h.j, min(struct_pack(c := p.c + h.size * (h.r - g.r) - (h.t - g.t), i := p.j)) AS m "
+            f"FROM h JOIN l{k - 1} p ON p.j < h.j JOIN g ON g.j = p.j GROUP BY h.j))"
+        )
+    cuts = [f"b{b} AS (SELECT max(j) AS j FROM h)"]
+    for k in range(b, 1, -1):
+        cuts.append(f"b{k - 1} AS (SELECT l{k}.i AS j FROM l{k} JOIN b{k} ON l{k}.j = b{k}.j)")
+    bounds = " UNION ALL ".join(f"SELECT j FROM b{k}" for k in range(1, b + 1))
+    u = hash_uniform_sql("pack", "doc_id", "piece")
+    return f"""
+WITH w AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+p AS (SELECT doc_id, n, unnest(range(0, (n + {top - 1}) // {top})) AS piece FROM w WHERE n > 0),
+q AS (SELECT doc_id, piece, piece * {top} AS start, least({top}, n - piece * {top}) AS length, {u} AS u FROM p),
+s AS (SELECT length AS size, count(*) AS m FROM q GROUP BY 1),
+h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY size)::INT AS j, size, (sum(m) OVER (ORDER BY size))::BIGINT AS r, (sum(m * size) OVER (ORDER BY size))::BIGINT AS t FROM s),
+g AS (SELECT j, r, t FROM h UNION ALL SELECT 0, 0, 0),
+{", ".join(levels)},
+{", ".join(cuts)},
+e AS (SELECT DISTINCT h.size AS bucket FROM h JOIN ({bounds}) x ON h.j = x.j),
+a AS (SELECT q.*, (SELECT min(bucket) FROM e WHERE bucket >= q.length) AS bucket FROM q),
+n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY u, doc_id, piece, length) - 1 AS place, {packing.BATCH_TOKENS} // bucket AS room FROM a)
+SELECT doc_id, piece::BIGINT AS piece, start::BIGINT AS start, length::BIGINT AS length, bucket::BIGINT AS bucket, (place // room)::BIGINT AS batch, (place % room)::BIGINT AS slot FROM n
+"""
+
+
+@query("op9_packing", _packing_sql())
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(read_table(spark, sf, "documents"))
 

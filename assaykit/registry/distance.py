@@ -73,14 +73,17 @@ def lof(spark, sf):
 EPS, MIN_SAMPLES = 0.12, 6
 
 
-@query("k3_dbscan", f"""WITH RECURSIVE {vectors_sql(4)}, near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON sqrt({_d2(4)}) <= {EPS}),
+DBSCAN_SQL = f"""near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON sqrt({_d2(4)}) <= {EPS}),
  core AS (SELECT a AS vec_id FROM near GROUP BY a HAVING count(*) >= {MIN_SAMPLES}),
  link AS (SELECT a, b FROM near WHERE a IN (SELECT vec_id FROM core) AND b IN (SELECT vec_id FROM core)),
  reach(a, b) AS (SELECT vec_id, vec_id FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
  comp AS (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a),
  num AS (SELECT vec_id, dense_rank() OVER (ORDER BY c) - 1 AS cluster FROM comp),
- border AS (SELECT n.a AS vec_id, min(num.cluster) AS cluster FROM near n JOIN num ON n.b = num.vec_id WHERE n.a NOT IN (SELECT vec_id FROM core) GROUP BY 1)
- SELECT v.vec_id, coalesce(num.cluster, border.cluster, -1)::BIGINT AS cluster, num.cluster IS NOT NULL AS is_core FROM vectors v LEFT JOIN num USING (vec_id) LEFT JOIN border ON border.vec_id = v.vec_id""")
+ border AS (SELECT n.a AS vec_id, min(num.cluster) AS cluster FROM near n JOIN num ON n.b = num.vec_id WHERE n.a NOT IN (SELECT vec_id FROM core) GROUP BY 1),
+ flat AS (SELECT v.vec_id, coalesce(num.cluster, border.cluster, -1)::BIGINT AS cluster, num.cluster IS NOT NULL AS is_core FROM vectors v LEFT JOIN num USING (vec_id) LEFT JOIN border ON border.vec_id = v.vec_id)"""
+
+
+@query("k3_dbscan", f"WITH RECURSIVE {vectors_sql(4)}, {DBSCAN_SQL} SELECT * FROM flat")
 def density_clusters(spark, sf):
     return dbscan(vectors(spark, sf, 4), dims(4), "vec_id", EPS, MIN_SAMPLES)
 
@@ -158,7 +161,14 @@ def metrics(spark, sf):
     return rounded(ts.series_metrics(ts.subaerial_series(geo(spark, sf), SPEC)), 5)
 
 
-@query("t12_missing_probability")
+# rows without a probability draw nothing; their jittered age counts in the denominator of every iteration
+T12_SQL = SHARE_SQL.replace("FROM geo a, geo b GROUP BY 1)", "FROM known a, known b GROUP BY 1)").replace("FROM geo g JOIN kern", "FROM known g JOIN kern") \
+    .replace(", kern AS", ", known AS (SELECT * FROM geo WHERE probability <= 0.9), kern AS").replace("range((SELECT count(*) FROM geo))", "range((SELECT count(*) FROM known))") \
+    .replace(", nb AS", f""", late AS (SELECT i AS iteration, -1 AS draw, age + (age_max - age) / 2 * sqrt(-2 * ln(1 - {hash_uniform_sql('42-m1', 'i', 'row_id')})) * cos(2 * pi() * {hash_uniform_sql('42-m2', 'i', 'row_id')}) AS age, NULL AS probability
+ FROM geo, range(100) r(i) WHERE probability > 0.9), every AS (SELECT * FROM hits UNION ALL SELECT * FROM late), nb AS""").replace("FROM hits, nb", "FROM every, nb")
+
+
+@query("t12_missing_probability", f"WITH {SERIES_SQL.replace(SHARE_SQL, T12_SQL)} SELECT * FROM series")
 def missing_probability(spark, sf):
     t = geo(spark, sf).withColumn("probability", F.when(F.col("probability") <= 0.9, F.col("probability")))
     return rounded(ts.subaerial_series(t, SPEC, missing_probability="denominator"))

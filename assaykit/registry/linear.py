@@ -100,11 +100,16 @@ def sgd_losses(spark, sf):
     return out
 
 
-@query("r7_bayesian_ridge")
+@query("r7_bayesian_ridge", f"""WITH RECURSIVE {SAMPLES_SQL}, g AS (SELECT count(*)::DOUBLE AS n, avg(quantity) AS mx, avg(price) AS my, var_pop(quantity) * count(*) AS xx, covar_pop(quantity, price) * count(*) AS xy, var_pop(price) * count(*) AS yy FROM samples),
+ it(k, w, alpha, lam, done) AS (SELECT 0, NULL::DOUBLE, 1 / (yy / n + 2.220446049250313e-16), 1.0::DOUBLE, false FROM g
+  UNION ALL SELECT k + 1, v, (n - gam + 2e-6) / (greatest(0, yy - 2 * v * xy + v * v * xx) + 2e-6), (gam + 2e-6) / (v * v + 2e-6), coalesce(abs(v - w) < 1e-3, false)
+  FROM (SELECT it.*, g.*, xy / (xx + lam / alpha) AS v, alpha * xx / (lam + alpha * xx) AS gam FROM it, g WHERE NOT done AND k < 300)),
+ e AS (SELECT *, xy / (xx + lam / alpha) AS slope FROM (SELECT * FROM it ORDER BY k DESC LIMIT 1), g)
+ SELECT row_id, round(my + slope * (quantity - mx), 2) + 0.0 AS prediction, round(sqrt(1 / alpha + (quantity - mx) * (quantity - mx) / (alpha * xx + lam)), 2) + 0.0 AS prediction_std FROM samples, e""")
 def bayes(spark, sf):
     t = samples(spark, sf)
-    model = linear.bayesian_ridge(t, ["quantity", "full_tax", "full_discount"], "price")
-    return rounded(model.transform(t).agg(F.count("*").alias("n"), F.avg("prediction").alias("mean"), F.avg("prediction_std").alias("spread")), 2)
+    model = linear.bayesian_ridge(t, ["quantity"], "price")
+    return rounded(model.transform(t).select("row_id", "prediction", "prediction_std"), 2)
 
 
 @query("r9_svm_regression")
@@ -138,6 +143,25 @@ def logit(spark, sf):
     return rounded(out.select("doc_id", F.col("prediction").cast("long").alias("prediction"), F.col("probability")[1].alias("p1")), 4)
 
 
+def _newton_sql(steps: int = 12) -> str:
+    """Logistic regression on one feature by unrolled Newton steps, slope penalised by w^2 / 2."""
+    out = ["n0 AS (SELECT 0.0::DOUBLE AS w, 0.0::DOUBLE AS b)"]
+    for i in range(steps):
+        out.append(
+            f"n{i + 1} AS MATERIALIZED (SELECT w + (gw * hbb - gb * hwb) / (hww * hbb - hwb * hwb) AS w, b + (gb * hww - gw * hwb) / (hww * hbb - hwb * hwb) AS b FROM ("
+            f"SELECT any_value(w) AS w, any_value(b) AS b, sum((y - p) * x) - any_value(w) AS gw, sum(y - p) AS gb, sum(p * (1 - p) * x * x) + 1 AS hww, sum(p * (1 - p) * x) AS hwb, sum(p * (1 - p)) AS hbb"
+            f" FROM (SELECT *, 1 / (1 + exp(-(w * x + b))) AS p FROM z, n{i})))"
+        )
+    return ", ".join(out) + f" SELECT doc_id, CASE WHEN w * x + b > 0 THEN 1 ELSE 0 END::BIGINT AS prediction, round(1 / (1 + exp(-(w * x + b))), 4) + 0.0 AS p1 FROM z, n{steps}"
+
+
+@query("c1_logistic_one_feature", f"WITH {BINARY_SQL}, z AS (SELECT doc_id, quality AS y, (n_lines - avg(n_lines) OVER ()) / stddev_pop(n_lines) OVER () AS x FROM binary_task), {_newton_sql()}")
+def logit_one(spark, sf):
+    t = scaled_binary(spark, sf)
+    out = logistic.logistic_regression(t, ["n_lines"], "quality").transform(t)
+    return rounded(out.select("doc_id", F.col("prediction").cast("long").alias("prediction"), F.col("probability")[1].alias("p1")), 4)
+
+
 @query("c2_svm_classification")
 def svc(spark, sf):
     t = scaled_binary(spark, sf)

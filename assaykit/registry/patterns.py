@@ -9,6 +9,7 @@ from assaykit.models.isolation import isolation_forest
 from assaykit.operators import columns, evaluate, explain
 from assaykit.operators.sums import balanced
 from assaykit.registry.core import BINARY_FEATURES, SAMPLES_SQL, dims, query, rounded, samples, vectors, vectors_sql
+from assaykit.registry.distance import DBSCAN_SQL, EPS, MIN_SAMPLES, _knn_sql
 from assaykit.registry.linear import scaled_binary
 
 
@@ -39,9 +40,9 @@ def affinity(spark, sf):
     return cluster.affinity_propagation(vectors(spark, sf, 4), dims(4), "vec_id", neighbours=30, damping=0.7, max_iter=15)
 
 
-@query("k7_optics")
+@query("k7_optics", f"WITH RECURSIVE {vectors_sql(4)}, {DBSCAN_SQL}, {_knn_sql(4, MIN_SAMPLES - 1)}, reach_of AS (SELECT vec_id, max(distance) AS d FROM edges GROUP BY 1) SELECT flat.*, round(d, 6) + 0.0 AS core_distance FROM flat JOIN reach_of USING (vec_id)")
 def optics(spark, sf):
-    return rounded(cluster.optics(vectors(spark, sf, 4), dims(4), "vec_id", 6, 0.12))
+    return rounded(cluster.optics(vectors(spark, sf, 4), dims(4), "vec_id", MIN_SAMPLES, EPS))
 
 
 @query("k8_cluster_centres", f"WITH {vectors_sql(64)} SELECT label AS cluster, count(*) AS n, {', '.join(f'round(avg(x{i}), 8) + 0.0 AS x{i}' for i in range(64))} FROM vectors GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assaykit.models import hist_tree, mlp, trees
 from assaykit.operators import evaluate
-from assaykit.registry.core import BINARY_FEATURES, dims, query, rounded, samples, vectors
+from assaykit.registry.core import BINARY_FEATURES, SAMPLES_SQL, dims, query, rounded, samples, vectors
 from assaykit.registry.linear import scaled_binary
 
 REG = ["quantity", "full_discount", "full_tax"]
@@ -26,6 +26,28 @@ def dtr(spark, sf):
     return _scored(trees.predict(trees.decision_tree_regression(t, REG, "p"), t))
 
 
+# one cut of features with few values: every midpoint is tried in SQL
+_FEW = ", ".join(f"SELECT '{f}' AS f, {f} AS v, price AS y FROM samples" for f in ("full_discount", "full_tax")).replace(", SELECT '", " UNION ALL SELECT '")
+CUT_SQL = f"""WITH {SAMPLES_SQL}, x AS ({_FEW}), d AS (SELECT f, v, count(*) AS n, sum(y) AS s FROM x GROUP BY 1, 2),
+ c AS (SELECT f, v, lead(v) OVER (PARTITION BY f ORDER BY v) AS nv, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER (PARTITION BY f) AS n, sum(s) OVER (PARTITION BY f) AS s FROM d WINDOW w AS (PARTITION BY f ORDER BY v)),
+ best AS (SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) AS gain FROM c WHERE nv IS NOT NULL ORDER BY gain DESC, f, v LIMIT 1)"""
+_SIDE = "CASE best.f WHEN 'full_discount' THEN full_discount ELSE full_tax END <= best.v"
+
+
+@query("r10_tree_stump", CUT_SQL + f" SELECT row_id, round(CASE WHEN {_SIDE} THEN sl / nl ELSE (s - sl) / (n - nl) END, 3) + 0.0 AS prediction FROM samples, best")
+def stump(spark, sf):
+    t = samples(spark, sf)
+    out = trees.predict(trees.decision_tree_regression(t, REG[1:], "price", 1), t)
+    return rounded(out.select("row_id", "prediction"), 3)
+
+
+@query("r14_one_round", CUT_SQL + f" SELECT row_id, round(s / n + 0.3 * CASE WHEN {_SIDE} THEN (sl - nl * s / n) / (nl + 1) ELSE ((s - sl) - (n - nl) * s / n) / (n - nl + 1) END, 3) + 0.0 AS prediction FROM samples, best")
+def one_round(spark, sf):
+    t = samples(spark, sf)
+    model = hist_tree.xgb_regression(t, REG[1:], "price", "row_id", rounds=1, max_depth=1)
+    return rounded(model.transform(t).select("row_id", "prediction"), 3)
+
+
 @query("r11_random_forest_regression")
 def rfr(spark, sf):
     t = _price(spark, sf)

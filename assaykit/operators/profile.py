@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -13,10 +12,9 @@ from pyspark.sql import functions as F
 
 from assaykit.functions.normal import normal_cdf
 from assaykit.operators.ordering import exact_quantiles, running_totals
+from assaykit.operators.sums import fan_out, sum_arrays
 from assaykit.table import c, long_form, numeric_columns
 
-PAIRS_PER_AGGREGATE = 500
-
 
 def _names(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return list(columns) if columns else numeric_columns(df)
@@ -85,29 +83,31 @@ def has_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation over pairwise complete rows, in long form (both triangles)."""
+    """Pearson correlation over pairwise complete rows, in long form (both triangles).
+
+    One pass for the means, which only keep the sums small, and one for the pairwise counts and sums of all columns: four
+    numbers a pair come back, whatever the number of rows. A pair without rows or without spread has no correlation.
+    """
     names = _names(df, columns)
-    pairs = list(itertools.combinations_with_replacement(range(len(names)), 2))
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        chunk = pairs[start : start + PAIRS_PER_AGGREGATE]
-        wide = df.agg(
-            *[F.corr(c(names[i]).cast("double"), c(names[j]).cast("double")).alias(f"r_{i}_{j}") for i, j in chunk]
-        )
-        cells = []
-        for i, j in chunk:
-            for a, b in {(i, j), (j, i)}:
-                cells.append(
-                    F.struct(
-                        F.lit(names[a]).alias("feature_a"), F.lit(names[b]).alias("feature_b"),
-                        F.col(f"r_{i}_{j}").alias("corr"),
-                    )
-                )
-        parts.append(wide.select(F.explode(F.array(*cells)).alias("s")).select("s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    d = len(names)
+    numbers = df.select(*[c(n).cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    row = numbers.agg(F.count("*").alias("rows"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)]).first()
+    centre = np.array([row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i in range(d)])
+
+    def add(pdf: pd.DataFrame) -> np.ndarray:
+        x = pdf.to_numpy(dtype=float) - centre
+        known = (~np.isnan(x)).astype(float)
+        x = np.where(known > 0, x, 0.0)
+        return np.concatenate([(known.T @ known).ravel(), (x.T @ known).ravel(), ((x * x).T @ known).ravel(), (x.T @ x).ravel()])
+
+    n, s, q, p = (sum_arrays(numbers, add, fan_out(numbers)) if row["rows"] else np.zeros(4 * d * d)).reshape(4, d, d)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = p - s * s.T / n
+        var = q - s * s / n
+        var = np.where(var > 1e-14 * np.maximum(q, 1e-300), var, 0.0)
+        r = cov / np.sqrt(var * var.T)
+    cells = [(names[i], names[j], 1.0 if i == j and np.isfinite(r[i, j]) else float(r[i, j]) if np.isfinite(r[i, j]) else None) for i in range(d) for j in range(d)]
+    return df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, corr double")
 
 
 def histogram(
@@ -211,32 +211,32 @@ def kernel_density(df: DataFrame, columns: Sequence[str], label: str, grid_size:
     for i, n in enumerate(columns):
         x = c(n).cast("double")
         aggs += [F.count(x).alias(f"n_{i}"), F.stddev_samp(x).alias(f"s_{i}"), F.min(x).alias(f"lo_{i}"), F.max(x).alias(f"hi_{i}")]
-    stats = df.groupBy(c(label).alias(label)).agg(*aggs).collect()
+    stats = df.groupBy(c(label).alias("_g")).agg(*aggs)
+    parts, ends = [], []
+    for i in range(len(columns)):
+        usable = (F.col(f"n_{i}") > 1) & (F.col(f"s_{i}") > 0)
+        h = F.when(usable, F.col(f"s_{i}") * F.pow(F.col(f"n_{i}").cast("double"), F.lit(-0.2)))
+        parts += [h.alias(f"h_{i}"), (F.col(f"n_{i}") * h * math.sqrt(2 * math.pi)).alias(f"c_{i}")]
+        ends += [F.min(F.col(f"lo_{i}") - 3 * h).alias(f"lo_{i}"), F.max(F.col(f"hi_{i}") + 3 * h).alias(f"hi_{i}")]
+    bounds = stats.agg(*ends).first()  # one row, whatever the number of groups
+    joined = df.join(stats.select("_g", *parts), c(label) == F.col("_g"))
     sums, cells = [], []
     for i, n in enumerate(columns):
-        usable = [r for r in stats if r[f"n_{i}"] > 1 and r[f"s_{i}"]]
-        if not usable:
+        lo, hi = bounds[f"lo_{i}"], bounds[f"hi_{i}"]
+        if lo is None:
             continue
-        width = {r[label]: r[f"s_{i}"] * r[f"n_{i}"] ** -0.2 for r in usable}
-        lo = min(r[f"lo_{i}"] - 3 * width[r[label]] for r in usable)
-        hi = max(r[f"hi_{i}"] + 3 * width[r[label]] for r in usable)
-        h = F.lit(None).cast("double")
-        scale = F.lit(None).cast("double")
-        for r in usable:
-            w = width[r[label]]
-            h = F.when(c(label) == F.lit(r[label]), F.lit(w)).otherwise(h)
-            scale = F.when(c(label) == F.lit(r[label]), F.lit(r[f"n_{i}"] * w * math.sqrt(2 * math.pi))).otherwise(scale)
+        sums.append(F.first(f"c_{i}").alias(f"c_{i}"))
         for k in range(grid_size):
             p = lo + k * (hi - lo) / (grid_size - 1)
-            u = (F.lit(p) - c(n)) / h
+            u = (F.lit(p) - c(n)) / F.col(f"h_{i}")
             sums.append(F.sum(F.exp(-u * u / 2)).alias(f"g_{i}_{k}"))
             cells.append(F.struct(
                 F.lit(n).alias("feature"), F.lit(k).alias("grid"), F.lit(p).alias("x"),
-                (F.col(f"g_{i}_{k}") / scale).alias("density"),
+                (F.col(f"g_{i}_{k}") / F.col(f"c_{i}")).alias("density"),
             ))
     if not sums:
         raise ValueError("no group has two different values")
-    dense = df.groupBy(c(label).alias(label)).agg(*sums)
+    dense = joined.groupBy(c(label).alias(label)).agg(*sums)
     return dense.select(c(label), F.explode(F.array(*cells)).alias("s")).select(label, "s.*").filter("density is not null")
 
 

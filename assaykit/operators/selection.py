@@ -35,15 +35,13 @@ def anova_f(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
         for i, n in enumerate(features)
     ])).alias("s")).select("s.*").filter("n > 0")
     # within and between sums from class moments: Var(total) = mean of variances + variance of means
-    total = rows.groupBy("feature").agg(
+    grand = rows.groupBy("feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
+    apart = F.col("m") - F.col("grand")
+    total = rows.join(F.broadcast(grand), "feature").groupBy("feature").agg(  # one row per feature
         F.count("*").alias("k"), F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("v")).alias("within"),
-        F.collect_list(F.struct("n", "m")).alias("means"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"),
+        F.sum(F.col("n") * apart * apart).alias("between"),
     )
-    between = F.aggregate(
-        F.transform("means", lambda s: s["n"] * (s["m"] - F.col("grand")) * (s["m"] - F.col("grand"))),
-        F.lit(0.0), lambda a, b: a + b,
-    )
-    score = F.try_divide(between / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k")))
+    score = F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k")))
     return total.filter("k > 1").select("feature", score.alias("score"))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from assaykit.operators import checks, evaluate
+from assaykit.operators.labels import sorted_labels
 from assaykit.operators.split import random_split, stratified_split
 from assaykit.operators.sums import balanced
 from assaykit.plans.models import MENU, as_code, score_table
@@ -35,7 +37,14 @@ class Workflow:
         rules = checks.training_rules(self.spec, allow_missing=missing_ok)
         checks.require_clean(checks.check_rows(df, rules, self.spec.row_id))
         target = self.spec.targets[0]
+        classes: dict[str, tuple] = {}
         if self.task == "classification":
+            for t in self.spec.targets:
+                order = sorted_labels(df, t).order
+                if order != tuple(range(len(order))):
+                    # models know the codes 0..K-1; labels come back in the outputs
+                    classes[t] = order
+                    df = df.withColumn(t, F.array_position(F.array(*[F.lit(v) for v in order]), c(t)) - 1)
             divided = stratified_split(df, self.spec.row_id, target, self.test_size, self.seed)
         else:
             divided = random_split(df, self.spec.row_id, self.test_size, self.seed)
@@ -51,7 +60,7 @@ class Workflow:
             chosen[t] = setting
             predictors[t] = entry.fit(ready, prep.features, t, self.spec.row_id, **setting)
         held.unpersist()
-        return WorkflowResult(self, prep, predictors, chosen, train, test)
+        return WorkflowResult(self, prep, predictors, chosen, train, test, classes)
 
 
 @dataclass(frozen=True)
@@ -62,26 +71,48 @@ class WorkflowResult:
     settings: dict
     train: DataFrame
     test: DataFrame
+    classes: dict = field(default_factory=dict)
 
-    def predictions(self, part: str = "test") -> DataFrame:
+    def predictions(self, part: str = "test", target: str | None = None) -> DataFrame:
+        """Rows of a part with ``prediction``, and ``predicted_label`` where classes are not the codes themselves."""
         rows = self.prep.transform(self.test if part == "test" else self.train)
-        target = self.workflow.spec.targets[0]
-        return self.predictors[target](rows)
+        target = target or self.workflow.spec.targets[0]
+        out = self.predictors[target](rows)
+        return out.withColumn("predicted_label", self._label(target)) if target in self.classes else out
+
+    def _label(self, target: str):
+        return F.get(F.array(*[F.lit(v) for v in self.classes[target]]), F.col("prediction").cast("int"))
 
     def scores(self) -> DataFrame:
-        target = self.workflow.spec.targets[0]
-        out = self.predictions()
-        if self.workflow.task == "regression":
-            return evaluate.regression_scores(out, target, "prediction")
-        return evaluate.classification_scores(as_code(out).withColumn("_y", c(target).cast("long")), "_y", "prediction")
+        """One row of scores for each target."""
+        out = None
+        for target in self.workflow.spec.targets:
+            rows = self.predictions(target=target)
+            if self.workflow.task == "regression":
+                one = evaluate.regression_scores(rows, target, "prediction")
+            else:
+                one = evaluate.classification_scores(as_code(rows).withColumn("_y", c(target).cast("long")), "_y", "prediction")
+            one = one.select(F.lit(target).alias("target"), "*")
+            out = one if out is None else out.unionByName(one)
+        return out
 
     def score_application(self, df: DataFrame) -> DataFrame:
-        """Works on batch and streaming tables."""
-        return score_table(df, self.workflow.spec.row_id, self.prep.transform, self.predictors, list(self.prep.features))
+        """Works on batch and streaming tables; classes come back as their labels."""
+
+        def named(target, predict):
+            return lambda rows: predict(rows).withColumn("prediction", self._label(target)) if target in self.classes else predict(rows)
+
+        predictors = {t: named(t, p) for t, p in self.predictors.items()}
+        return score_table(df, self.workflow.spec.row_id, self.prep.transform, predictors, list(self.prep.features))
 
     def persist(self, root: str, experiment: str) -> str:
         spark = self.train.sparkSession
-        metrics = {k: v for k, v in self.scores().first().asDict().items() if isinstance(v, float)}
+        many = len(self.workflow.spec.targets) > 1
+        metrics = {
+            f"{r['target']}.{k}" if many else k: v for r in self.scores().collect() for k, v in r.asDict().items() if isinstance(v, float)
+        }
         run_id = record_run(spark, root, experiment, self.workflow.model, self.settings, metrics)
-        save_with_identifier(self.predictions(), f"{root}/tables/{run_id}/test_predictions", self.workflow.spec.row_id)
+        for target in self.workflow.spec.targets:
+            name = f"test_predictions_{target}" if many else "test_predictions"
+            save_with_identifier(self.predictions(target=target), f"{root}/tables/{run_id}/{name}", self.workflow.spec.row_id)
         return run_id

@@ -62,10 +62,13 @@ def knn_cls(spark, sf):
     return rounded(knn_classification(train, test, dims(64), "label", "vec_id", 7))
 
 
-@query("o2_local_outlier_factor", f"""WITH {vectors_sql(64)}, {_knn_sql(64, 20)}, kd AS (SELECT vec_id, max(distance) AS kd FROM edges GROUP BY 1),
+LOF_SQL = f"""WITH {vectors_sql(64)}, {_knn_sql(64, 20)}, kd AS (SELECT vec_id, max(distance) AS kd FROM edges GROUP BY 1),
  lrd AS (SELECT e.vec_id, 1 / (avg(greatest(distance, kd.kd)) + 1e-10) AS lrd FROM edges e JOIN kd ON e.neighbor = kd.vec_id GROUP BY 1),
  lof AS (SELECT e.vec_id, avg(l.lrd) / any_value(o.lrd) AS lof FROM edges e JOIN lrd l ON e.neighbor = l.vec_id JOIN lrd o ON e.vec_id = o.vec_id GROUP BY 1)
- SELECT vec_id, round(lof, 6) + 0.0 AS lof, round(-lof, 6) + 0.0 AS negative_outlier_factor, CASE WHEN lof > (SELECT quantile_cont(lof, 0.9) FROM lof) THEN -1 ELSE 1 END::BIGINT AS is_abnormal FROM lof""")
+ SELECT vec_id, round(lof, 6) + 0.0 AS lof, round(-lof, 6) + 0.0 AS negative_outlier_factor, CASE WHEN lof > (SELECT quantile_cont(lof, 0.9) FROM lof) THEN -1 ELSE 1 END::BIGINT AS is_abnormal FROM lof"""
+
+
+@query("o2_local_outlier_factor", LOF_SQL)
 def lof(spark, sf):
     return rounded(local_outlier_factor(vectors(spark, sf, 64), dims(64), "vec_id", 20, contamination=0.1))
 

@@ -12,16 +12,21 @@ from assaykit.models import linear
 from assaykit.operators.split import random_split
 from assaykit.operators.sums import balanced
 from assaykit.plans.models import MENU, score_table
+from assaykit.plans.patterns import PatternRun
 from assaykit.plans.preparation import Preparation
 from assaykit.plans.search import draw_settings, library_search, run_all, search
 from assaykit.plans.workflow import Workflow
-from assaykit.registry.core import SAMPLES_SQL, query, rounded, samples
+from assaykit.registry.core import SAMPLES_SQL, dims, query, rounded, samples, vectors, vectors_sql
+from assaykit.registry.distance import DBSCAN_SQL, EPS, LOF_SQL, MIN_SAMPLES, _knn_sql, _split_sql
+from assaykit.registry.patterns import PCA_SQL
 from assaykit.sources import sinks, tracking
 from assaykit.streaming.scoring import read_stream, score_stream
 from assaykit.table import TableSpec, hash_uniform, hash_uniform_sql, read_table, scratch_path
 
 APP_SQL = f"""{SAMPLES_SQL}, a AS (SELECT *, {hash_uniform_sql('app', 'row_id')} >= 0.9 AS app FROM samples), g AS (SELECT regr_slope(price, quantity) AS a, regr_intercept(price, quantity) AS b FROM a WHERE NOT app)"""
 
+APP_SPLIT_SQL = f"WITH {SAMPLES_SQL}, s AS (SELECT *, {hash_uniform_sql(42, 'row_id')} < 0.2 AS test FROM samples)"
+
 
 def _fit_app(spark, sf):
     t = samples(spark, sf).withColumn("app", hash_uniform("app", "row_id") >= 0.9)
@@ -117,3 +122,39 @@ def workflow(spark, sf):
         Preparation(("quantity", "discount", "tax"), ("price",), formulas={"unit": "quantity / 10"}), {"rounds": 2, "max_depth": 3},
     )
     return rounded(flow.run(t).scores(), 3)
+
+
+# ---------------------------------------------------------------- one row per mode of the run
+@query("workflow_clustering", f"WITH RECURSIVE {vectors_sql(4)}, {DBSCAN_SQL} SELECT * FROM flat")
+def workflow_clustering(spark, sf):
+    run = PatternRun(TableSpec("vec_id", tuple(dims(4))), "clustering", "dbscan", Preparation(tuple(dims(4))))
+    return run.run(vectors(spark, sf, 4), eps=EPS, min_samples=MIN_SAMPLES)
+
+
+@query("workflow_decomposition", PCA_SQL + ' SELECT vec_id, round((x0 - m0) * f1 * u0 + (x1 - m1) * f1 * u1, 6) + 0.0 AS "PC1", round((x0 - m0) * f2 * u1 - (x1 - m1) * f2 * u0, 6) + 0.0 AS "PC2" FROM vectors, s')
+def workflow_decomposition(spark, sf):
+    run = PatternRun(TableSpec("vec_id", tuple(dims(2))), "decomposition", "pca", Preparation(tuple(dims(2))))
+    return rounded(run.run(vectors(spark, sf, 2), k=2))
+
+
+@query("workflow_anomaly", LOF_SQL)
+def workflow_anomaly(spark, sf):
+    run = PatternRun(TableSpec("vec_id", tuple(dims(64))), "anomaly", "local_outlier_factor", Preparation(tuple(dims(64))))
+    return rounded(run.run(vectors(spark, sf, 64), k=20, contamination=0.1))
+
+
+@query("workflow_two_targets", f"""{APP_SPLIT_SQL}, m AS (SELECT regr_slope(price, quantity) AS a, regr_intercept(price, quantity) AS b, regr_slope(full_tax, quantity) AS ta, regr_intercept(full_tax, quantity) AS tb FROM s WHERE NOT test)
+ SELECT 'price' AS target, round(sqrt(avg(pow(price - a * quantity - b, 2))), 2) + 0.0 AS rmse FROM s, m WHERE test UNION ALL SELECT 'full_tax', round(sqrt(avg(pow(full_tax - ta * quantity - tb, 2))), 2) + 0.0 FROM s, m WHERE test""")
+def workflow_two_targets(spark, sf):
+    flow = Workflow(TableSpec("row_id", ("quantity",), ("price", "full_tax")), "regression", "linear", Preparation(("quantity",), ("price", "full_tax")))
+    return rounded(flow.run(samples(spark, sf)).scores().select("target", "rmse"), 2)
+
+
+# nearest neighbour on every training row: the class of an application row is the text of its closest row
+@query("workflow_text_classes", f"""WITH {vectors_sql(64)}, {_split_sql(64)}, {_knn_sql(64, 1, 'vectors', 'train', False)}
+ SELECT vec_id, 'class ' || nlabel AS "Predicted_name" FROM edges""".replace(f"{hash_uniform_sql(42, 'vec_id')} >= 0.2", "vec_id IN (SELECT vec_id FROM ranked WHERE r > least(n - 1, greatest(1, ceil(n * 0.2))))")
+ .replace("train AS (", f"ranked AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY {hash_uniform_sql(42, 'vec_id')}) AS r, count(*) OVER (PARTITION BY label) AS n FROM vectors), train AS ("))
+def workflow_text_classes(spark, sf):
+    t = vectors(spark, sf, 64).withColumn("name", F.concat(F.lit("class "), F.col("label").cast("string")))
+    flow = Workflow(TableSpec("vec_id", tuple(dims(64)), ("name",)), "classification", "knn", Preparation(tuple(dims(64)), ("name",)), {"k": 1})
+    return flow.run(t).score_application(t.drop("name", "label"))

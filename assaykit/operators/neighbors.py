@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.table import c, features_array
+from assaykit.table import c, cut_lineage, features_array
 
 BLOCK = 2048
 MAX_CELLS = 4096
@@ -116,16 +116,16 @@ def _plus_cell(df: DataFrame) -> T.StructType:
 
 def build_cells(points: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Cells]:
     """Tag points (array column ``_f``) with their cell; the boxes come back as a bounded table."""
-    n = points.count()
+    shape = points.agg(F.count("*").alias("n"), F.max(F.size("_f")).alias("d")).first()
+    n, d = shape["n"], shape["d"] or 1
     wanted = min(MAX_CELLS, max(1, math.ceil(n / block)))
     if wanted == 1:
+        # one cell holds everything: its box rules nothing out and needs no pass
         one = np.array([-1]), np.array([0.0]), np.array([-1]), np.array([-1]), np.array([0])
-        tagged, tree = points.withColumn("_cell", F.lit(0).cast("long")), Cells(*one)
-    else:
-        sample = points.select("_f").orderBy(F.xxhash64("_f")).limit(SAMPLE_PER_CELL * wanted).toPandas()
-        tree = _grow(_matrix(sample["_f"]), wanted)
-        tagged = _with_cell(points, tree)
-    d = len(points.select("_f").first()["_f"])
+        return points.withColumn("_cell", F.lit(0).cast("long")), Cells(*one, np.full((1, d), -np.inf), np.full((1, d), np.inf), np.array([n]))
+    sample = points.select("_f").orderBy(F.xxhash64("_f")).limit(SAMPLE_PER_CELL * wanted).toPandas()
+    tree = _grow(_matrix(sample["_f"]), wanted)
+    tagged = _with_cell(points, tree)
     boxes = (
         tagged.groupBy("_cell").agg(
             F.count("*").alias("n"),
@@ -231,8 +231,10 @@ def nearest_neighbors(
     pool = points.select(
         features_array(features).alias("_f"), c(point_id).alias("neighbor"), *[c(n) for n in payload]
     ).withColumn("_r", F.row_number().over(members)).filter(F.col("_r") <= want).drop("_r")
+    # both sides are read by several jobs below
+    pool = cut_lineage(pool)
     tagged, cells = build_cells(pool, block)
-    spots = queries.select(features_array(features).alias("_f")).distinct()
+    spots = cut_lineage(queries.select(features_array(features).alias("_f")).distinct())
     id_type = dict(pool.dtypes)["neighbor"]
     extra = "".join(f", `{n}` {dict(pool.dtypes)[n]}" for n in payload)
     schema = f"_f array<double>, neighbor {id_type}, distance double{extra}"

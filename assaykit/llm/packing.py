@@ -12,12 +12,12 @@ from assaykit.table import cut_lineage, hash_uniform
 MAX_WORDS = 2048
 BUCKETS = 16
 BATCH_TOKENS = 32768
-WORD = r"[^\x20\x09-\x0D]+"
+BETWEEN = r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
     """Tokens of a text: runs of non-white-space; a null text has none."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")).cast("long")
 
 
 def boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:

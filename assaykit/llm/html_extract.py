@@ -402,9 +402,10 @@ def train(pages: DataFrame, key: str = "page_id", page: str = "html", limit: int
 
     Without any page that marks its article, a fixed example page is learned from.
     """
-    sample = pages.select(F.xxhash64(key, page).alias("seed"), F.col(page).alias("page")).filter(F.col(page).isNotNull()).distinct()
-    ids = sample.select("seed").orderBy("seed").limit(limit)
-    rows = pages.select(F.xxhash64(key, page).alias("seed"), F.col(page).alias("page")).join(F.broadcast(ids), "seed")
+    sample = pages.filter(F.col(page).isNotNull()).select(F.xxhash64(key, page).alias("seed"), F.col(page).alias("page"))
+    ids = sample.select("seed").distinct().orderBy("seed").limit(limit)
+    # copies of a page count once, however many there are
+    rows = sample.join(F.broadcast(ids), "seed").groupBy("seed").agg(F.min("page").alias("page"))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -231,6 +231,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on a bounded sample of labelled documents; their lines are described by tasks, not on the driver."""
     chosen = training_rows(labels, label, key, limit).select(F.col(key).alias("__key"), "y")
     rows = docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__key"))
+    # of rows that repeat a key one text is learned from, so the sample keeps its bound
+    rows = rows.groupBy("__doc", "y").agg(F.min("__text").alias("__text"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

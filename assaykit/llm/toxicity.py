@@ -233,7 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc
     """
     chosen = training_rows(labels, label, key, limit).select(F.col(key).alias("__key"), "y")
     rows = docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__key"))
-    rows = cut_lineage(rows.select(F.col("__text").alias("t"), F.col("y").cast("int").alias("y")))
+    # of rows that repeat a key one text is learned from, so the sample keeps its bound
+    rows = rows.groupBy("__doc", "y").agg(F.min("__text").alias("t"))
+    rows = cut_lineage(rows.select("t", F.col("y").cast("int").alias("y")))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
     n, positive = size["n"], size["y"]
     if positive == 0 or positive == n:

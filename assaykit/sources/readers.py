@@ -109,7 +109,7 @@ def dataset_catalog(spark: SparkSession, folder: str, roles: dict[str, tuple[str
     """One row per file: path below the folder, name, format, size, sha-256, row count, column count, task and role.
 
     Files are hashed and their CSV records counted where they lie, by a CSV parser: quoted commas and line breaks are
-    part of their cell, blank lines are no record, the first record is the header. ``roles`` are keyed by path below
+    part of their cell, blank lines are no record, the first record is the header; a file of no bytes has none and is not listed. ``roles`` are keyed by path below
     the folder or by file name. Files must fit a Spark binary value (2 GiB); larger ones should be split on export,
     as every reader here takes folders.
     """
@@ -129,9 +129,9 @@ def dataset_catalog(spark: SparkSession, folder: str, roles: dict[str, tuple[str
             out.append((sum(1 for _ in records), len(head)) if head is not None else (0, 0))
         return pd.DataFrame(out, columns=["row_count", "column_count"]).astype({"row_count": "Int64", "column_count": "Int32"})
 
-    base = F.element_at(F.split(F.lit(folder.rstrip("/")), "/"), -1)
+    base = folder.rstrip("/").rsplit("/", 1)[-1]
     out = files.select(
-        F.substring_index("path", F.concat(F.lit("/"), base, F.lit("/")), -1).alias("relative_path"),
+        F.substring_index("path", f"/{base}/", -1).alias("relative_path"),
         F.element_at(F.split("path", "/"), -1).alias("file_name"), kind.alias("format"), F.col("length").alias("size_bytes"),
         F.sha2("content", 256).alias("sha256"), shape("content", kind).alias("s"),
     ).select("relative_path", "file_name", "format", "size_bytes", "sha256", "s.*")

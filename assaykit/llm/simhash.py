@@ -102,6 +102,22 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def _classes(docs: DataFrame, key: str, text: str, size: int, max_bits: int) -> DataFrame:
+    """(doc, text_hash, fp, root) of every row; ``root`` is the smallest (unnamed, doc, text_hash) of its class, null keys last."""
+    prints = cut_lineage(
+        docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), fingerprint_column(F.col(text), size).alias("fp"))
+    )
+    row = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "text_hash")
+    first = cut_lineage(prints.groupBy("fp").agg(F.min(row).alias("first")))
+    named = cut_lineage(
+        first.join(components(fingerprint_links(first, max_bits)).withColumnRenamed("node", "fp"), "fp", "left")
+        .select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    )
+    root = cut_lineage(named.groupBy("component").agg(F.min("first").alias("root")))
+    of = cut_lineage(named.join(root, "component").select("fp", "root"))
+    return prints.join(of, "fp").select("doc", "text_hash", "fp", "root")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``fp`` (signed long) and ``component_id``.
 
@@ -110,25 +126,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     are linked like any other; a null key never names a component unless all keys of it are null. An empty table
     gives an empty result; other columns are ignored.
     """
-    prints = cut_lineage(docs.select(F.col(key).alias("doc"), fingerprint_column(F.col(text), size).alias("fp")))
-    first = cut_lineage(prints.groupBy("fp").agg(F.min("doc").alias("first")))
-    named = cut_lineage(
-        first.join(components(fingerprint_links(first, max_bits)).withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    )
-    root = cut_lineage(named.groupBy("component").agg(F.min("first").alias("component_id")))
-    of = cut_lineage(named.join(root, "component").select("fp", "component_id"))
-    return prints.join(of, "fp").select(F.col("doc").alias(key), "fp", "component_id")
+    classes = _classes(docs, key, text, size, max_bits)
+    return classes.select(F.col("doc").alias(key), "fp", F.col("root.doc").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each class: the one whose key names it; rows repeating a key count once.
+    """``docs`` with exactly one row of each class: the one with the smallest (key, hash of its text), null keys last.
 
-    Every row with a null key stays, since nothing names it.
+    Equal keys are told apart by their text, so each class keeps a row even where one key names several classes. Rows
+    equal in both count once.
     """
-    classes = near_duplicates(docs, key, text, size, max_bits)
-    roots = cut_lineage(classes.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("copies")))
-    named = docs.filter(F.col(key).isNotNull())
-    once = named.join(roots.filter("copies = 1").select(key), key, "left_semi")
-    again = named.join(roots.filter("copies > 1").select(key), key, "left_semi").dropDuplicates([key])
-    return once.unionByName(again).unionByName(docs.filter(F.col(key).isNull())).select(*docs.columns)
+    classes = _classes(docs, key, text, size, max_bits)
+    smallest = F.col("doc").eqNullSafe(F.col("root.doc")) & (F.col("text_hash") == F.col("root.text_hash"))
+    roots = classes.filter(smallest).groupBy(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("copies"))
+    roots = cut_lineage(roots)
+
+    def among(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs[key].eqNullSafe(some["__doc"]) & (F.xxhash64(docs[text]) == some["__hash"]), "left_semi")
+
+    again = among(roots.filter("copies > 1")).withColumn("__hash", F.xxhash64(F.col(text))).dropDuplicates([key, "__hash"])
+    return among(roots.filter("copies = 1")).unionByName(again.drop("__hash")).select(*docs.columns)

@@ -23,11 +23,25 @@ MAX_FEATURES = 20000
 LEAST_RATIO = 30.0
 TOXIC = 0.5
 
-# symbols of the character model: 0 anything between words, 1-26 a-z, 27 any letter beyond ASCII
+# symbols of the character model: 0 anything between words, 1-26 a-z, from 28 on the letters of EXTRA, 27 any other letter
 SYMBOLS = 28
-_BYTES = bytes(
-    (b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0) for b in range(256)
-)
+EXTRA = "ßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
+ALL_SYMBOLS = SYMBOLS + len(EXTRA)
+
+
+def _table(symbols: int) -> np.ndarray:
+    """Symbol of each code point up to 0xFFFF; those beyond share the last entry."""
+    out = np.zeros(0x10001, np.int32)
+    for i in range(0x10000):
+        low = chr(i).lower()
+        if low.isalpha():
+            out[i] = ord(low) - 96 if "a" <= low <= "z" else 27
+            if symbols > SYMBOLS and low in EXTRA:
+                out[i] = SYMBOLS + EXTRA.index(low)
+    return out
+
+
+_TABLES = {n: _table(n) for n in (SYMBOLS, ALL_SYMBOLS)}
 # Letters that a written character may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
@@ -36,60 +50,74 @@ LEET = {
 # characters that may stand for any letter
 BLANKS = "*#%"
 COST_LEET, COST_BLANK, COST_FOLD, COST_SKIP, COST_KEEP = 1.0, 3.5, 2.0, 0.7, 4.0
-BEAM = 48
 
-_RUN = re.compile(r"([^\W\d_])\1{2,}")
-# letters set apart: at least four single characters with one separator between each
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\S)")
-_INNER = re.compile(r"[^\W\d_][0-9@$!|+(<€£¡*#%.\-_]+[^\W\d_]|^[0-9@$!|+(<€£¡]{1,2}[^\W\d_]{2}|[^\W\d_]{2}[0-9@$!|+]{1,2}$")
-_EDGE = re.compile(r"^[^\w@$!|+(<€£¡]+|^[!|(<]+(?=[^\W\d_]{3,}$)|[^\w]+$")
+_LETTERED = "0-9@$!|+(<€£¡*#%"
+# a second reading: a doubled letter, or a character that may stand for a letter
+_SECOND = re.compile(rf"([^\W\d_])\1|[{_LETTERED}аеосрі]")
+# single written characters with one separator between each
+_SPACED = re.compile(rf"(?<![^\s\"'\[{{])(?:[^\W_]|[{_LETTERED}])(?:[ .\-_*](?:[^\W_]|[{_LETTERED}]))+(?=[^\w\s]*(?:\s|$))")
+# edges that offer no letter, and all edges
+_EDGE = re.compile(rf"^[^a-z{_LETTERED}\w]+|[^a-z{_LETTERED}\w]+$")
+_RIM = re.compile(r"^[\W_]+|[\W_]+$")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def count_trigrams(text: str) -> np.ndarray:
+def trigram_codes(text: str, symbols: int = SYMBOLS) -> np.ndarray:
+    """Codes of the symbol triples of a text, with a gap at both ends."""
+    points = np.frombuffer(("\0\0" + text + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = _TABLES[symbols][np.minimum(points, 0x10000)]
+    return (at[:-2] * symbols + at[1:-1]) * symbols + at[2:]
+
+
+def count_trigrams(text: str, symbols: int = SYMBOLS) -> np.ndarray:
     """Counts of symbol triples of a text, with a gap at both ends."""
-    symbols = np.frombuffer(b"\0\0" + text.encode("utf-8", "surrogatepass").translate(_BYTES) + b"\0", np.uint8).astype(np.int32)
-    codes = (symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:]
-    return np.bincount(codes, minlength=SYMBOLS**3)
+    return np.bincount(trigram_codes(text, symbols), minlength=symbols**3)
 
 
 def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Log probabilities of a symbol after two others, from the triples of all whole texts.
 
-    Tasks add up counts and only sums travel, at most 28 x 28 x 28 whatever the input.
+    Tasks add up counts and only sums travel, at most ``ALL_SYMBOLS`` cubed whatever the input.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SYMBOLS**3, np.int64)
+        total = np.zeros(n**3, np.int64)
         for batch in batches:
+            held, size = [], 0
             for t in batch["t"]:
                 if t:
-                    total += count_trigrams(t)
+                    held.append(trigram_codes(t, n))
+                    size += len(held[-1])
+                if size > 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=n**3)
+                    held, size = [], 0
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=n**3)
         at = np.flatnonzero(total)
         if len(at):
             yield pd.DataFrame({"code": at.astype(np.int32), "n": total[at]})
 
+    n = ALL_SYMBOLS
     rows = docs.select(F.col(text).alias("t")).mapInPandas(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(SYMBOLS**3)
+    counts = np.zeros(n**3)
     counts[rows["code"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    counts = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+    counts = counts.reshape(n, n, n)
     pairs = counts.sum(axis=0)
-    low = (pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 0.5 * SYMBOLS)
+    low = (pairs + 0.5) / (pairs.sum(axis=1, keepdims=True) + 0.5 * n)
     return np.log((counts + 20.0 * low[None]) / (counts.sum(axis=2, keepdims=True) + 20.0))
 
 
-def _symbol(char: str) -> int:
-    return ord(char) - 96 if "a" <= char <= "z" else 27 if char.isalpha() else 0
-
-
-def decode(written: str, model: np.ndarray) -> str:
-    """Most likely spelling behind a lower-case written form, by Viterbi over the last two symbols.
+def decode(written: str, model: np.ndarray, whole: bool = False) -> str:
+    """Most likely spelling behind a lower-case written form, by exact Viterbi over the last two symbols.
 
     Each written character offers what it may have been: itself, the letters it may stand for, any letter for a blank,
-    nothing for a separator or for the third and later of a run of one letter (the second may fold or stay). What it
-    offers has a cost, and the character model prices the letters in their order.
+    nothing for a separator or for the third and later of a run of one letter (the second may fold or stay), nothing or a
+    gap between words for a space. What it offers has a cost, and the character model prices the letters in their order.
+    With ``whole`` no character that may stand for a letter is left out. No state is pruned.
     """
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    symbol, price_of = _TABLES[len(model)], model.item
+    # (last two symbols) -> (cost, spelling as a chain of letters)
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
     repeated = 0
     for char in written:
@@ -102,26 +130,30 @@ def decode(written: str, model: np.ndarray) -> str:
             elif repeated == 1:
                 offers.append(("", COST_FOLD))
         elif char in LEET:
-            offers = [(c, COST_LEET) for c in LEET[char]] + [("", COST_KEEP + COST_LEET)]
+            offers = [(c, COST_LEET) for c in LEET[char]] + ([] if whole else [("", COST_KEEP + COST_LEET)])
         elif char in BLANKS:
-            offers = [(chr(97 + i), COST_BLANK) for i in range(26)] + [("", COST_SKIP)]
+            offers = [(chr(97 + i), COST_BLANK) for i in range(26)] + ([] if whole else [("", COST_SKIP)])
+        elif char == " ":
+            offers = [("", COST_SKIP), (" ", 0.0)]
         else:
             offers = [("", COST_SKIP)]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        offered = [(c, cost, int(symbol[min(ord(c), 0x10000)]) if c else -1) for c, cost in offers]
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (price, spelt) in states.items():
-            for c, cost in offers:
+            for c, cost, s in offered:
                 if c:
-                    s = _symbol(c)
-                    new, state, made = price + cost - model[a, b, s], (b, s), spelt + c
+                    new, state = price + cost - price_of(a, b, s), (b, s)
                 else:
-                    new, state, made = price + cost, (a, b), spelt
-                if state not in after or (new, made) < after[state]:
-                    after[state] = (new, made)
+                    new, state = price + cost, (a, b)
+                if state not in after or new < after[state][0]:
+                    after[state] = (new, (spelt, c) if c else spelt)
         states = after
-        if len(states) > BEAM:
-            states = dict(sorted(states.items(), key=lambda x: x[1])[:BEAM])
-    price, spelt = min((price - model[a, b, 0], spelt) for (a, b), (price, spelt) in states.items())
-    return spelt
+    spelt = min(((price - price_of(a, b, 0), spelt) for (a, b), (price, spelt) in states.items()), key=lambda x: x[0])[1]
+    out = []
+    while spelt is not None:
+        spelt, c = spelt
+        out.append(c)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -131,41 +163,37 @@ class Restorer:
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
-        self.known: dict[str, str] = {}
+        self.known: dict[str, frozenset[str]] = {}
 
-    def _decoded(self, written: str) -> str:
-        found = self.known.get(written)
+    def _readings(self, token: str) -> frozenset[str]:
+        """Words of a token or of characters set apart: as written between its marks, restored without its edges, and restored in whole."""
+        found = self.known.get(token)
         if found is None:
             if len(self.known) >= self.LIMIT:
                 self.known.clear()
-            found = self.known[written] = decode(written, self.model)
+            bare, core = _EDGE.sub("", token), _RIM.sub("", token)
+            made = set(_WORD.findall(bare))
+            if core and (not core.isalpha() or _SECOND.search(core)):
+                made.update(decode(core, self.model).split())
+            if bare != core:
+                made.update(decode(bare, self.model, True).split())
+            found = self.known[token] = frozenset(made)
         return found
 
     def words(self, text: str | None) -> set[str]:
-        """Distinct lower-case words of a text, disguised ones in their restored spelling."""
+        """Distinct lower-case words of a text, as written and, if a character has a second reading, in their restored spelling."""
         low = (text or "").lower()
-        out = {self._decoded(m.group()) for m in _SPACED.finditer(low)} if _has_spaced(low) else set()
+        out: set[str] = set()
+        for m in _SPACED.finditer(low):
+            out |= self._readings(m.group())
         for token in set(low.split()):
-            if token.isalpha():
-                out.add(token if not _RUN.search(token) else self._decoded(token))
-                continue
-            bare = _EDGE.sub("", token)
-            if not bare:
-                continue
-            if bare.isalpha() and not _RUN.search(bare):
-                out.add(bare)
-                continue
-            out.update(_WORD.findall(bare))
-            if _INNER.search(bare) or _RUN.search(bare):
-                out.add(self._decoded(bare))
-        out.discard("")
+            if token.isalpha() and not _SECOND.search(token):
+                out.add(token)
+            else:
+                out |= self._readings(token)
         return out
 
 
-def _has_spaced(low: str) -> bool:
-    return _SPACED.search(low) is not None
-
-
 def evidence(words: set[str]) -> set[str]:
     """Words, and their beginnings of four to six letters (marked by a dash), as evidence."""
     out = set(words)

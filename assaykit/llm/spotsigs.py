@@ -12,6 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.llm.links import components
+from assaykit.table import cut_lineage
+
 # Common words of English, German, French and Spanish that anchor signatures.
 ANCHORS = frozenset(
     """a an the and or of to in is are was were be been it this that for with on at by from as he she they you i we not have has had
@@ -20,6 +23,8 @@ ANCHORS = frozenset(
     el los las y de se no lo con su una por es al como más pero sus""".split()
 )
 CHAIN_WORDS = 3
+# sets whose Jaccard likeness is at least this are linked
+THRESHOLD = 0.8
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -80,6 +85,75 @@ def length_partitions(limit: int, threshold: float) -> list[int]:
     return [*out, limit]
 
 
+def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b) for every pair ``a < b`` of ``sets(id, sigs)`` with distinct non-empty ``sigs`` whose Jaccard likeness is at least ``threshold``.
+
+    A set goes to the partition of its length and to the next one, so a pair meets in the partition of its longer set. Sets are
+    joined on their rarest signatures: of n ordered by frequency, like sets share one of the first n - ceil(threshold n) + 1.
+    Candidates whose lengths or positions rule the threshold out are dropped before the whole sets are compared.
+    """
+    spark = sets.sparkSession
+    sets = cut_lineage(sets.withColumn("n", F.size("sigs")))
+    longest = sets.agg(F.max("n").alias("n")).first()["n"]
+    if longest is None:
+        return spark.createDataFrame([], "a long, b long")
+    bounds = length_partitions(longest + 1, threshold)
+    each = sets.select("id", "n", F.explode("sigs").alias("sig"))
+    common = cut_lineage(each.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1"))
+    ranked = each.join(common, "sig").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("rare"))
+    # signatures of one set only come first in the order of frequency, and meet nothing
+    alone = F.col("n") - F.size("rare")
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    prefix = ranked.select("id", "n", alone.alias("alone"), F.slice("rare", F.lit(1), F.greatest(first - alone, F.lit(0))).alias("rare"))
+    prefix = prefix.select("id", "n", "alone", F.posexplode("rare").alias("at", "r")).select(
+        "id", "n", F.col("r.sig").alias("sig"), (F.col("alone") + F.col("at")).alias("at"), _rank(bounds, F.col("n")).alias("part")
+    )
+    prefix = cut_lineage(prefix)
+    own = prefix.select("sig", "part", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("at").alias("ai"))
+    routed = prefix.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"), F.col("id").alias("j"), F.col("n").alias("nj"), F.col("at").alias("aj"))
+    met = own.join(routed, ["sig", "part"]).filter((F.col("nj") < F.col("ni")) | ((F.col("nj") == F.col("ni")) & (F.col("j") < F.col("i"))))
+    least = F.lit(threshold / (1 + threshold)) * (F.col("ni") + F.col("nj")) - 1e-9
+    left = F.lit(1) + F.least(F.col("ni") - F.col("ai") - 1, F.col("nj") - F.col("aj") - 1)
+    # a pair's first shared signature gives its bound; later ones can only be lower
+    pairs = met.filter((F.col("nj") >= F.col("ni") * F.lit(threshold) - 1e-9) & (left >= least)).select("i", "j").distinct()
+    x = sets.select(F.col("id").alias("i"), F.col("sigs").alias("x"))
+    y = sets.select(F.col("id").alias("j"), F.col("sigs").alias("y"))
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(np.asarray(p), np.asarray(q), threshold) for p, q in zip(a, b)], dtype="float64")
+
+    found = pairs.join(x, "i").join(y, "j").withColumn("like", likeness("x", "y")).filter(F.col("like") >= threshold)
+    return found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: ``key``, ``class_id`` and ``n_links``, from a search over all documents.
+
+    Rows whose signature sets have a Jaccard likeness of at least ``threshold`` are linked; ``class_id`` is the smallest key
+    reachable, a null key names a class only if all its keys are null, and ``n_links`` counts the other rows a row is linked with.
+    Rows with equal sets are one node; empty texts are alike.
+    """
+
+    @F.pandas_udf("array<long>")
+    def signed(texts: pd.Series) -> pd.Series:
+        return pd.Series([signatures(t).astype(np.int64) for t in texts], dtype=object)
+
+    made = docs.select(F.col(key).alias("doc"), signed(F.col(text)).alias("sigs"))
+    # the hash of its set names a node
+    made = cut_lineage(made.withColumn("id", F.xxhash64("sigs")))
+    sets = cut_lineage(made.groupBy("id").agg(F.first("sigs").alias("sigs"), F.count("*").alias("copies"), F.min("doc").alias("least")))
+    links = cut_lineage(similar_sets(sets.filter(F.size("sigs") > 0).select("id", "sigs"), threshold))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    copies = sets.select(F.col("id").alias("b"), "copies")
+    linked = both.join(copies, "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
+    nodes = sets.select("id", "copies", "least").join(components(links).withColumnRenamed("node", "id"), "id", "left")
+    nodes = cut_lineage(nodes.withColumn("component", F.coalesce("component", "id")).join(linked, "id", "left"))
+    names = nodes.groupBy("component").agg(F.min("least").alias("class_id"))
+    nodes = nodes.join(names, "component").select("id", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return made.select("doc", "id").join(nodes, "id").select(F.col("doc").alias(key), "class_id", "n_links")
+
+
 def edited(text: str, following: str) -> str:
     """``text`` with its last half replaced by as much of the start of ``following``."""
     half = len(text) // 2

@@ -25,7 +25,7 @@ from assaykit.table import cut_lineage
 
 CLASSES = 1 << 16
 # hashed slots of each context; the tables, and so what is broadcast, do not grow with the input
-SLOT_BITS = 20
+SLOT_BITS = 21
 # of a token: the word before, two, three before, the last but one, the most frequent of the last few; of a byte: orders 4, 3, 2, 1, 5
 CONTEXTS = 5
 INPUTS = CONTEXTS + 1  # and the bare tree
@@ -34,7 +34,9 @@ TOP_WORDS = 1 << 17
 TOP_BYTES = 64
 # one training text in so many teaches the mixer from the counts of the others
 MIXER_SHARE = 8
+# the topic is the most frequent of the last words, among so many
 TOPIC_WORDS = 8
+TOPIC_RANKS = 256
 # bits of one step of the online mixer, and its rate
 STEP_BITS = 2048
 RATE = 0.02
@@ -126,11 +128,11 @@ def contexts(hashes: np.ndarray, ranks: np.ndarray, first: np.ndarray) -> list[n
         return out
 
     one, two, three = back(1), back(2), back(3)
-    topic = np.full(len(ranks), TOP_WORDS, np.int64)
+    topic = np.full(len(ranks), TOPIC_RANKS, np.int64)
     for k in range(1, TOPIC_WORDS + 1):
-        before = np.full(len(ranks), TOP_WORDS, np.int64)
+        before = np.full(len(ranks), TOPIC_RANKS, np.int64)
         before[k:] = ranks[:-k]
-        before[first < k] = TOP_WORDS
+        before[first < k] = TOPIC_RANKS
         topic = np.minimum(topic, before)
     pair = one * _ONE + two
     return [one, pair, (pair * _TWO) ^ (three * _ONE), two * _TWO, (topic.astype(np.uint64) + np.uint64(7)) * _TWO]
@@ -275,7 +277,7 @@ class Reader:
         rare: dict[bytes, int] = {}
         ids = np.fromiter((self.top[w] if w in self.top else rare.setdefault(w, n_top + len(rare)) for w in words), np.int64, len(words))
         hashes = np.concatenate([self.top_hash, np.fromiter(map(word_hash, rare), np.uint64, len(rare))])[ids]
-        ctx = contexts(hashes, np.minimum(ids, n_top), np.concatenate(seen))
+        ctx = contexts(hashes, np.minimum(ids, min(n_top, TOPIC_RANKS)), np.concatenate(seen))
         doc = np.concatenate([np.r_[np.full(lead, -1), np.full(n, d)] for d, lead, n in owner])
         own = doc >= 0
         return doc[own], ids[own], list(rare), hashes[own], [c[own] for c in ctx]
@@ -299,7 +301,7 @@ class Speller:
             yield self._finish(held)
 
     def _finish(self, held):
-        symbols = np.concatenate([np.append(np.frombuffer(w, np.uint8).astype(np.int64), [BYTES] * ends) for _, w, _, ends in held])
+        symbols = np.concatenate([np.append(np.frombuffer(w, np.uint8).astype(np.int64), np.full(int(ends), BYTES)) for _, w, _, ends in held])
         sizes = np.array([len(w) + ends for _, w, _, ends in held])
         place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         back = []
@@ -422,36 +424,23 @@ def learn_contexts(items: DataFrame, sent, spell: bool) -> tuple[Predictors, Pre
     """
     size = 2 << SLOT_BITS
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read, book = symbols_of(sent.value, spell)
-        total: dict[int, np.ndarray] = {}
-
-        def add(some: list, side: int) -> None:
-            if side not in total:
-                total[side] = np.zeros((CONTEXTS, size), np.uint32)
-            for symbols, ctx in read(some):
-                token, _, node, bit = path_bits(book, symbols)
-                for i, c in enumerate(ctx):
-                    total[side][i] += np.bincount(slots(c, i, token, node) * 2 + bit, minlength=size).astype(np.uint32)
-
-        waiting: dict[int, list] = {1: [], 2: []}
-        chars = {1: 0, 2: 0}
-        for batch in batches:
-            for item, side in zip(batch["item"], batch["part"]):
-                waiting[side].append(item)
-                chars[side] += len(item or "") + 8
-                if chars[side] >= 1 << 21:
-                    add(waiting[side], side)
-                    waiting[side], chars[side] = [], 0
-        for side, some in waiting.items():
-            if some:
-                add(some, side)
-        for side, table in total.items():
-            flat = table.reshape(-1, CHUNK)
-            for chunk in range(len(flat)):
-                if flat[chunk].any():
+    def counted(side: int) -> DataFrame:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            read, book = symbols_of(sent.value, spell)
+            total = None
+            for batch in batches:
+                total = np.zeros((CONTEXTS, size), np.uint32) if total is None else total
+                for symbols, ctx in read(batch["item"]):
+                    token, _, node, bit = path_bits(book, symbols)
+                    for i, c in enumerate(ctx):
+                        total[i] += np.bincount(slots(c, i, token, node) * 2 + bit, minlength=size).astype(np.uint32)
+            if total is not None:
+                flat = total.reshape(-1, CHUNK)
+                for chunk in np.flatnonzero(flat.any(axis=1)):
                     yield pd.DataFrame({"side": [side], "chunk": [chunk], "data": [_packed(flat[chunk])]})
 
+        return items.filter(F.col("part") == side).select("item").mapInPandas(count, "side int, chunk int, data binary")
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -465,7 +454,7 @@ def learn_contexts(items: DataFrame, sent, spell: bool) -> tuple[Predictors, Pre
                 yield pd.DataFrame({"chunk": [chunk], "whole": [full], "odds": [odds.tobytes()], "sure": [sure.tobytes()]})
 
     chunks = CONTEXTS * size // CHUNK
-    summed = items.select("item", "part").mapInPandas(count, "side int, chunk int, data binary").repartition(chunks // 4, "chunk")
+    summed = counted(1).unionByName(counted(2)).repartition(chunks // 4, "chunk")
     odds = np.zeros((2, CONTEXTS << SLOT_BITS), np.int16)
     sure = np.zeros((2, CONTEXTS << SLOT_BITS), np.uint8)
     half = CHUNK // 2

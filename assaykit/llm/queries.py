@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import chat_format, decontaminate, html_extract, line_dedup, packing, quality, secret_scan, simhash, spotsigs, toxicity
+from assaykit.llm import (
+    centroids, chat_format, context_mixing, decontaminate, divergence, html_extract, line_dedup, packing, quality, secret_scan, simhash, spotsigs, toxicity,
+)
 from assaykit.table import hash_uniform_sql, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +159,65 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_document_fingerprints")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return spotsigs.compare_edits(read_table(spark, sf, "documents"))
+
+
+@query("op11_lm_scoring")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return context_mixing.score_texts(read_table(spark, sf, "documents"))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM t GROUP BY 1, 2 HAVING count(*) >= {divergence.LEAST_DOCUMENTS}),
+l AS (SELECT lang, sum(n) AS n, count(*) AS v FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, sum(t.n) AS n FROM t JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+gn AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2),
+s AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+       (1 + ({divergence.UNIT}::HUGEINT * (coalesce(c.n, 0) + {divergence.SMOOTH})) // (coalesce(gn.n, 0) + {divergence.SMOOTH} * l.v))::BIGINT AS p,
+       (1 + ({divergence.UNIT}::HUGEINT * (k.n + {divergence.SMOOTH})) // (l.n + {divergence.SMOOTH} * l.v))::BIGINT AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN gn USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM u)
+WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf, "documents"))
+
+
+def _clustering_sql() -> str:
+    """The rounds unrolled: an assignment and new centroids a table; sums and floors in whole numbers."""
+    k, dims = centroids.CLUSTERS, centroids.DIMENSIONS
+    out = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS x, "
+        f"sha256(concat('{centroids.SEED}:', coalesce(vec_id::VARCHAR, ''))) AS h FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM v ORDER BY h, x LIMIT {k})",
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        d = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        out.append(f"a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := {d}, c := c.c)) AS m FROM v, c{i} c GROUP BY r)")
+        if i < centroids.ROUNDS:
+            floor = "(s - ((s % n) + n) % n) // n"
+            out.append(
+                f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(z.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT c, list({floor} ORDER BY j)::BIGINT[] AS x FROM "
+                f"(SELECT a.m.c AS c, j, sum(v.x[j]) AS s, count(*) AS n FROM a{i} a JOIN v ON a.r = v.r, range(1, {dims + 1}) t(j) GROUP BY 1, 2) GROUP BY c) z ON z.c = c.c)"
+            )
+    n = centroids.ROUNDS
+    return f"""WITH {", ".join(out)}
+SELECT vec_id, a.m.c::INT AS cluster, a.m.d AS distance, (sum(a.m.d) OVER (PARTITION BY a.m.c))::BIGINT AS cluster_inertia, (sum(a.m.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{n} a JOIN v ON a.r = v.r JOIN c{n} c ON c.c = a.m.c"""
+
+
+@query("op13_centroid_clustering", _clustering_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    out = centroids.cluster(read_table(spark, sf, "embeddings"))
+    return out.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ",").cast("binary"), 256)).drop("centroid")

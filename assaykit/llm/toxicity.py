@@ -107,53 +107,109 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log((counts + 20.0 * low[None]) / (counts.sum(axis=2, keepdims=True) + 20.0))
 
 
-def decode(written: str, model: np.ndarray, whole: bool = False) -> str:
-    """Most likely spelling behind a lower-case written form, by exact Viterbi over the last two symbols.
+States = dict[tuple[int, int], tuple[float, tuple | None]]
+
+
+class Decoder:
+    """Exact Viterbi over the last two symbols of a spelling.
 
     Each written character offers what it may have been: itself, the letters it may stand for, any letter for a blank,
     nothing for a separator or for the third and later of a run of one letter (the second may fold or stay), nothing or a
     gap between words for a space. What it offers has a cost, and the character model prices the letters in their order.
-    With ``whole`` no character that may stand for a letter is left out. No state is pruned.
+    With ``whole`` no character that may stand for a letter is left out. No state is pruned: a blank after many states takes
+    its step as an array, and the best letters of a run of blanks at the end are known for every pair of symbols before it.
     """
-    symbol, price_of = _TABLES[len(model)], model.item
-    # (last two symbols) -> (cost, spelling as a chain of letters)
-    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    last = ""
-    repeated = 0
-    for char in written:
-        repeated = repeated + 1 if char == last else 0
-        last = char
+
+    DENSE = 32
+
+    def __init__(self, model: np.ndarray) -> None:
+        self.model = model
+        self.symbol = _TABLES[len(model)]
+        # best cost of a run of blanks and the closing gap after two symbols, and the letter the run starts with
+        self.ends, self.letters = [-model[:, :, 0]], []
+
+    def _offers(self, char: str, repeated: int, whole: bool) -> list[tuple[str, float]]:
         if char.isalpha():
-            offers = [(char, 0.0)] + [(c, COST_LEET) for c in LEET.get(char, "") if not char.isascii()]
             if repeated >= 2:
-                offers = [("", 0.0)]
-            elif repeated == 1:
-                offers.append(("", COST_FOLD))
-        elif char in LEET:
-            offers = [(c, COST_LEET) for c in LEET[char]] + ([] if whole else [("", COST_KEEP + COST_LEET)])
-        elif char in BLANKS:
-            offers = [(chr(97 + i), COST_BLANK) for i in range(26)] + ([] if whole else [("", COST_SKIP)])
-        elif char == " ":
-            offers = [("", COST_SKIP), (" ", 0.0)]
-        else:
-            offers = [("", COST_SKIP)]
-        offered = [(c, cost, int(symbol[min(ord(c), 0x10000)]) if c else -1) for c, cost in offers]
-        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (a, b), (price, spelt) in states.items():
-            for c, cost, s in offered:
-                if c:
-                    new, state = price + cost - price_of(a, b, s), (b, s)
-                else:
-                    new, state = price + cost, (a, b)
-                if state not in after or new < after[state][0]:
-                    after[state] = (new, (spelt, c) if c else spelt)
-        states = after
-    spelt = min(((price - price_of(a, b, 0), spelt) for (a, b), (price, spelt) in states.items()), key=lambda x: x[0])[1]
-    out = []
-    while spelt is not None:
-        spelt, c = spelt
-        out.append(c)
-    return "".join(reversed(out))
+                return [("", 0.0)]
+            offers = [(char, 0.0)] + [(c, COST_LEET) for c in LEET.get(char, "") if not char.isascii()]
+            return offers + [("", COST_FOLD)] if repeated == 1 else offers
+        if char in LEET:
+            return [(c, COST_LEET) for c in LEET[char]] + ([] if whole else [("", COST_KEEP + COST_LEET)])
+        if char in BLANKS:
+            return [(chr(97 + i), COST_BLANK) for i in range(26)] + ([] if whole else [("", COST_SKIP)])
+        return [("", COST_SKIP), (" ", 0.0)] if char == " " else [("", COST_SKIP)]
+
+    def _blank(self, states: States, whole: bool) -> States:
+        """One blank after many states, as an array over (symbol before last, last symbol, letter)."""
+        cost = np.full(self.model.shape[:2], np.inf)
+        for (a, b), (price, _) in states.items():
+            cost[a, b] = price
+        last = np.flatnonzero(np.isfinite(cost).any(axis=0))
+        step = cost[:, last, None] - self.model[:, last, 1:27]
+        best = step.argmin(axis=0)
+        price = np.take_along_axis(step, best[None], axis=0)[0] + COST_BLANK
+        after: States = {
+            (b, s + 1): (p, (states[a, b][1], chr(97 + s)))
+            for b, row, back in zip(last.tolist(), price.tolist(), best.tolist()) for s, (p, a) in enumerate(zip(row, back))
+        }
+        if not whole:
+            for state, (price_, spelt) in states.items():
+                if state not in after or price_ + COST_SKIP < after[state][0]:
+                    after[state] = (price_ + COST_SKIP, spelt)
+        return after
+
+    def forward(self, written: str, whole: bool) -> States:
+        """(last two symbols) -> (cost, spelling as a chain of letters) after a lower-case written form."""
+        symbol, price_of = self.symbol, self.model.item
+        states: States = {(0, 0): (0.0, None)}
+        last, repeated = "", 0
+        for char in written:
+            repeated = repeated + 1 if char == last else 0
+            last = char
+            if char in BLANKS and len(states) > self.DENSE:
+                states = self._blank(states, whole)
+                continue
+            offered = [(c, cost, int(symbol[min(ord(c), 0x10000)]) if c else -1) for c, cost in self._offers(char, repeated, whole)]
+            after: States = {}
+            for (a, b), (price, spelt) in states.items():
+                for c, cost, s in offered:
+                    if c:
+                        new, state = price + cost - price_of(a, b, s), (b, s)
+                    else:
+                        new, state = price + cost, (a, b)
+                    if state not in after or new < after[state][0]:
+                        after[state] = (new, (spelt, c) if c else spelt)
+            states = after
+        return states
+
+    def finish(self, states: States, blanks: int = 0) -> str:
+        """The cheapest spelling, with a letter for each of ``blanks`` more blanks, and a gap after it."""
+        while len(self.ends) <= blanks:
+            costs = COST_BLANK - self.model[:, :, 1:27] + self.ends[-1][None, :, 1:27]
+            self.letters.append(costs.argmin(axis=2))
+            self.ends.append(costs.min(axis=2))
+        end = self.ends[blanks].item
+        (a, b), (_, spelt) = min(states.items(), key=lambda x: x[1][0] + end(*x[0]))
+        out = []
+        while spelt is not None:
+            spelt, c = spelt
+            out.append(c)
+        out.reverse()
+        for k in range(blanks, 0, -1):
+            s = int(self.letters[k - 1][a, b])
+            out.append(chr(97 + s))
+            a, b = b, s + 1
+        return "".join(out)
+
+    def decode(self, written: str, whole: bool = False) -> str:
+        front = written.rstrip(BLANKS) if whole else written
+        return self.finish(self.forward(front, whole), len(written) - len(front))
+
+
+def decode(written: str, model: np.ndarray, whole: bool = False) -> str:
+    """Most likely spelling behind a lower-case written form."""
+    return Decoder(model).decode(written, whole)
 
 
 class Restorer:
@@ -162,7 +218,7 @@ class Restorer:
     LIMIT = 50_000
 
     def __init__(self, model: np.ndarray) -> None:
-        self.model = model
+        self.decoder = Decoder(model)
         self.known: dict[str, frozenset[str]] = {}
 
     def _readings(self, token: str) -> frozenset[str]:
@@ -173,10 +229,20 @@ class Restorer:
                 self.known.clear()
             bare, core = _EDGE.sub("", token), _RIM.sub("", token)
             made = set(_WORD.findall(bare))
-            if core and (not core.isalpha() or _SECOND.search(core)):
-                made.update(decode(core, self.model).split())
-            if bare != core:
-                made.update(decode(bare, self.model, True).split())
+            second = core and (not core.isalpha() or _SECOND.search(core) is not None)
+            blanks = len(bare) - len(core)
+            if bare == core + bare[len(core) :] and core.isalpha() and not bare[len(core) :].strip(BLANKS):
+                # letters and then blanks: one pass over the letters serves both readings
+                states = self.decoder.forward(core, True)
+                if second:
+                    made.update(self.decoder.finish(states).split())
+                if blanks:
+                    made.update(self.decoder.finish(states, blanks).split())
+            else:
+                if second:
+                    made.update(self.decoder.decode(core).split())
+                if bare != core:
+                    made.update(self.decoder.decode(bare, True).split())
             found = self.known[token] = frozenset(made)
         return found
 
@@ -263,7 +329,13 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc
     rows = docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__key"))
     # of rows that repeat a key one text is learned from, so the sample keeps its bound
     rows = rows.groupBy("__doc", "y").agg(F.min("__text").alias("t"))
-    rows = cut_lineage(rows.select("t", F.col("y").cast("int").alias("y")))
+
+    def restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restore = Restorer(model)
+        for batch in batches:
+            yield pd.DataFrame({"words": [sorted(restore.words(t)) for t in batch["t"]], "y": batch["y"].to_numpy()})
+
+    rows = cut_lineage(rows.select("t", F.col("y").cast("int").alias("y")).mapInPandas(restored, "words array<string>, y int"))
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
     n, positive = size["n"], size["y"]
     if positive == 0 or positive == n:
@@ -271,10 +343,10 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc
     base = positive / n
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore, all_, hits = Restorer(model), Counter(), Counter()
+        all_, hits = Counter(), Counter()
         for batch in batches:
-            for t, y in zip(batch["t"], batch["y"]):
-                found = evidence(restore.words(t))
+            for words, y in zip(batch["words"], batch["y"]):
+                found = evidence(set(words))
                 all_.update(found)
                 if y:
                     hits.update(found)
@@ -298,9 +370,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc
     found = ToxicModel(dict(zip(kept["w"], kept["weight"])), np.zeros(4))
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restore = Restorer(model)
         for batch in batches:
-            made = [found.summary(restore.words(t)) for t in batch["t"]]
+            made = [found.summary(set(words)) for words in batch["words"]]
             if made:
                 yield pd.DataFrame(made, columns=["a", "b", "c"]).assign(y=batch["y"].to_numpy())
 

@@ -43,8 +43,10 @@ ASIDE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments reply replies disqus discussion respond".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)", re.DOTALL)
+_STOP = re.compile(r"[>\"']")
+# an attribute starts where no name runs on, so a long run of characters is looked at once
+_ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -67,68 +69,125 @@ def _end_of(tag: str) -> re.Pattern[str]:
     return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.IGNORECASE)
 
 
+class _Open:
+    """The open elements, with the places of each name, so that none is looked for by walking."""
+
+    BARRIERS = frozenset(["table", "body", "article", "main"])
+
+    def __init__(self) -> None:
+        self.nodes = [0]
+        self.tags = ["#root"]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.barriers: list[int] = []
+
+    def push(self, node: int, tag: str) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.places.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+        if tag in self.BARRIERS:
+            self.barriers.append(at)
+
+    def last(self, tag: str) -> int:
+        """The innermost open element of a name, or 0."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def cut(self, at: int) -> int:
+        """Close what is open from ``at`` on; returns how many of it are blocks."""
+        closed = 0
+        while len(self.nodes) > at:
+            self.nodes.pop()
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+                closed += 1
+            if tag in self.BARRIERS:
+                self.barriers.pop()
+        return closed
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order; the first is the root. Unclosed and stray tags are taken as browsers do, roughly.
 
     Scripts, styles, heads and other elements that hold no running text are left out with all they hold. Each text run
-    carries the number of its block: a new one begins at every start and end of a block element.
+    carries the number of its block: a new one begins at every start and end of a block element. Every search that fails
+    is made once, so broken pages take time in proportion to their length: where a quote is never closed tags end at the next
+    ">" from then on, and what follows the last ">" is text.
     """
     nodes = [Node("#root", -1, 0)]
-    open_: list[int] = [0]
+    open_ = _Open()
     block, at, n = 0, 0, len(page)
+    quoted, endless = True, set()
+    last_end = page.rfind(">")
 
     def add_text(raw: str) -> None:
         if not raw:
             return
         text = html.unescape(raw) if "&" in raw else raw
-        up = open_[-1]
+        up = open_.nodes[-1]
         nodes[up].children.append(len(nodes))
         nodes.append(Node("#text", up, nodes[up].depth + 1, text=text, block=block))
 
-    def pop_to(k: int) -> None:
-        nonlocal block
-        for i in open_[k:]:
-            if nodes[i].tag in BLOCK:
-                block += 1
-        del open_[k:]
-
+    def tag_end(start: int) -> int:
+        """Where the ">" of a tag is, passing over quoted values; -1 if a quote or the tag never ends."""
+        while True:
+            m = _STOP.search(page, start)
+            if m is None:
+                return -1
+            if m.group() == ">":
+                return m.start()
+            start = page.find(m.group(), m.end()) + 1
+            if not start:
+                return -1
+
+    text_from = 0
     while at < n:
-        m = _TAG.search(page, at)
+        m = _MARK.search(page, at)
         if m is None:
-            add_text(page[at:])
             break
-        add_text(page[at : m.start()])
-        at = m.end()
         raw_tag = m.group(2)
         if raw_tag is None:
+            add_text(page[text_from : m.start()])
+            at = text_from = m.end()
             if m.group().startswith("<![CDATA["):
                 add_text(m.group()[9:].removesuffix("]]>"))
             continue
+        if m.start() > last_end:
+            break  # no tag ends any more
+        end = tag_end(m.end()) if quoted else page.find(">", m.end())
+        if end < 0 and quoted:
+            quoted = False
+            end = page.find(">", m.end())
+        if end < 0:
+            break
+        add_text(page[text_from : m.start()])
+        attrs = page[m.end() : end]
+        at = text_from = end + 1
         tag = raw_tag.lower()
         if m.group(1):
-            for k in range(len(open_) - 1, 0, -1):
-                name = nodes[open_[k]].tag
-                if name == tag:
-                    pop_to(k)
-                    break
-                if name in ("table", "body", "article", "main") and tag not in BLOCK:
-                    break
+            k = open_.last(tag)
+            barrier = open_.barriers[-1] if open_.barriers else 0
+            if k and (tag in BLOCK or barrier <= k):
+                block += open_.cut(k)
             continue
         for name, starts in CLOSES.items():
             if tag in starts:
-                for k in range(len(open_) - 1, 0, -1):
-                    above = nodes[open_[k]].tag
-                    if above == name:
-                        pop_to(k)
-                        break
-                    if above in BLOCK:
-                        break
+                k = open_.last(name)
+                if k and open_.blocks and open_.blocks[-1] <= k:
+                    block += open_.cut(k)
         if tag in RAW:
-            end = _end_of(tag).search(page, at) if not m.group().endswith("/>") else None
-            if end:
-                at = end.end()
-            elif tag in ("script", "style"):
-                at = n
+            found = _end_of(tag).search(page, at) if not attrs.endswith("/") and tag not in endless and at <= last_end else None
+            if found:
+                at = text_from = found.end()
+            elif not attrs.endswith("/"):
+                endless.add(tag)
+                if tag in ("script", "style"):
+                    at = text_from = n
             continue
         if tag == "br":
             add_text("\n")
@@ -137,20 +196,20 @@ def parse(page: str) -> list[Node]:
             block += 1
         if tag in VOID:
             continue
-        attrs = m.group(3)
         words: frozenset[str] = frozenset()
         if attrs and "=" in attrs:
-            found = set()
+            made = set()
             for a in _ATTRIBUTE.finditer(attrs):
                 if a.group(1).lower() in ("class", "id", "role", "aria-label", "itemprop", "data-role", "data-type"):
                     value = a.group(2) or a.group(3) or a.group(4) or ""
-                    found.update(w.lower() for w in _TOKEN.findall(value))
-            words = frozenset(found)
-        up = open_[-1]
+                    made.update(w.lower() for w in _TOKEN.findall(value))
+            words = frozenset(made)
+        up = open_.nodes[-1]
         nodes[up].children.append(len(nodes))
         nodes.append(Node(tag, up, nodes[up].depth + 1, words))
         if not attrs.endswith("/") or tag in BLOCK:
-            open_.append(len(nodes) - 1)
+            open_.push(len(nodes) - 1, tag)
+    add_text(page[text_from:])
     return nodes
 
 

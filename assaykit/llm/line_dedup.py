@@ -167,30 +167,31 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     return stays.groupBy("f.doc", "f.text_hash").agg(F.collect_list("f.at").alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, edits: int = MAX_EDITS) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, plus ``n_lines`` and ``n_removed``.
+def dedup_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, edits: int = MAX_EDITS, counts: bool = True,
+) -> DataFrame:
+    """``docs`` with repeated lines taken out of ``text``, plus, with ``counts``, ``n_lines`` and ``n_removed``.
 
     In the order of key, text and place a line of ``min_chars`` or more stays if no earlier line equals it or is
     within ``edits`` edits. Shorter lines stay, and so does every row: a document all of whose lines came earlier is
     left with its short lines or an empty text. A null text stays null with no lines; null keys sort first; of
-    identical rows with one key, places repeat and all of them keep the line. An empty table gives an empty result.
+    identical rows with one key, places repeat and all of them keep the line. An empty table gives an empty result. Columns
+    that are called ``n_lines`` or ``n_removed`` already are replaced by the counts; all others stay.
     """
     kept = cut_lineage(kept_lines(docs, key, text, min_chars, edits))
     size = kept.agg(F.coalesce(F.sum(F.size("kept") * 4 + 64), F.lit(0)).alias("bytes")).first()["bytes"]
-    kept = kept.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept"))
-    rows = docs.join(
-        F.broadcast(kept) if size <= BROADCAST_BYTES else kept,
-        docs[key].eqNullSafe(kept["__doc"]) & (F.xxhash64(docs[text]) == kept["__hash"]), "left",
-    )
-    none = F.array().cast("array<int>")
-    parts = F.split(docs[text], "\n")
-    stay = _bind(
-        F.coalesce("__kept", none),
-        lambda k: F.filter(parts, lambda line, at: (F.length(line) < min_chars) | F.array_contains(k, at)),
-    )
-    rows = rows.withColumn("__stay", stay).withColumn("__n", F.coalesce(F.size(parts), F.lit(0)))
-    return rows.select(
-        *[F.array_join("__stay", "\n").alias(text) if c == text else docs[c] for c in docs.columns],
-        F.when(F.col("__stay").isNull(), 0).otherwise(F.col("__n")).cast("long").alias("n_lines"),
-        F.coalesce(F.col("__n") - F.size("__stay"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    # the columns go by their places, so none can clash with a name used here
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key_, text_ = (F.col(f"c{names.index(x)}") for x in (key, text))
+    rows = rows.join(F.broadcast(kept) if size <= BROADCAST_BYTES else kept, key_.eqNullSafe(F.col("doc")) & (F.xxhash64(text_) == F.col("text_hash")), "left")
+    parts = F.split(text_, "\n")
+    long_ = F.filter(F.transform(parts, lambda line, at: F.when(F.length(line) >= min_chars, at)), lambda at: at.isNotNull())
+    gone = F.array_except(long_, F.coalesce("kept", F.array().cast("array<int>")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    rows = rows.withColumn("parts", parts).withColumn("stay", F.when(text_.isNotNull(), stay))
+    left = F.array_join(F.transform("stay", lambda at: F.get(F.col("parts"), at)), "\n")
+    number = lambda x: F.when(text_.isNull(), 0).otherwise(x).cast("long")
+    new = {"n_lines": number(F.size("parts")), "n_removed": number(F.size("parts") - F.size("stay"))} if counts else {}
+    old = [left.alias(x) if x == text else F.col(f"c{i}").alias(x) for i, x in enumerate(names) if x not in new]
+    return rows.select(*old, *[column.alias(x) for x, column in new.items()])

@@ -85,8 +85,9 @@ def passages(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str =
     ``start`` is the document word (from zero) where a window of ``span`` words begins. Fingerprints of both
     sides are joined; a hit fixes how far the item is shifted against the document, and on that alignment every
     window whose words all agree is reported, so the hit is extended to both sides. Items shorter than a window
-    are one window, and all runs of their length are fingerprints on both sides. Documents are scanned once and
-    not shuffled; their words are only carried past the join where a fingerprint hits.
+    are one window, and all runs of their length are fingerprints on both sides. With a benchmark of a bounded size documents
+    are scanned once and not shuffled; beyond it fingerprints alone are shuffled, and words are brought for texts that are
+    hit. Null keys and items are values like any other; repeated rows give a passage once; an empty table gives none.
     """
     items = cut_lineage(_items(bench, item_key, item_text, window))
     sizes = sorted(r["span"] for r in items.select("span").distinct().collect())  # at most ``window`` numbers
@@ -105,20 +106,33 @@ def passages(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str =
         .select("item", "item_words", "span", print_hash(F.col("p")).alias("h"), print_place(F.col("p")).alias("item_at"))
     )
     size = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("item_words")), F.lit(0)).alias("words")).first()
-    left = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("words"))
-    left = left.select("doc", "text_hash", "words", F.explode(F.concat(*[prints(F.col("words"), s) for s in sizes])).alias("p"))
-    left = left.select("doc", "text_hash", "words", print_hash(F.col("p")).alias("h"), print_place(F.col("p")).alias("at"))
-    fits = size["n"] <= BROADCAST_ROWS and size["words"] <= 20 * BROADCAST_ROWS
-    hits = left.join(F.broadcast(right) if fits else right, "h")
+    whole = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("words"))
+    place = [print_hash(F.col("p")).alias("h"), print_place(F.col("p")).alias("at")]
+    left = whole.select("doc", "text_hash", "words", F.explode(F.concat(*[prints(F.col("words"), s) for s in sizes])).alias("p"))
+    if size["n"] <= BROADCAST_ROWS and size["words"] <= 20 * BROADCAST_ROWS:
+        hits = left.select("doc", "text_hash", "words", *place).join(F.broadcast(right), "h")
+    else:
+        # fingerprints meet without any words; then the words of a text that is hit come once, and those of an item
+        met = left.select("doc", "text_hash", *place).join(right.select("h", "item", "item_at", "span"), "h")
+        met = met.select("doc", "text_hash", "item", "span", (F.col("at") - F.col("item_at")).alias("by")).distinct()
+        met = cut_lineage(met)
+        texts = cut_lineage(met.select("doc", "text_hash").distinct()).select(F.col("doc").alias("d"), F.col("text_hash").alias("t"))
+        same = whole["doc"].eqNullSafe(texts["d"]) & (whole["text_hash"] == texts["t"])
+        words = whole.join(texts, same, "left_semi").groupBy("doc", "text_hash").agg(F.first("words").alias("words"))  # repeated rows hold the same
+        words = words.select(F.col("doc").alias("d"), F.col("text_hash").alias("t"), "words")
+        hits = met.join(words, met["doc"].eqNullSafe(words["d"]) & (met["text_hash"] == words["t"])).drop("d", "t")
+        known = items.select(F.col("item").alias("i"), "item_words", F.col("span").alias("s")).distinct()
+        hits = hits.join(known, F.col("item").eqNullSafe(F.col("i")) & (F.col("span") == F.col("s")))
+        hits = hits.select("doc", "text_hash", "words", "item", "item_words", "span", F.col("by").alias("at"), F.lit(0).alias("item_at"))
     shift = F.col("at") - F.col("item_at")
     agrees = F.transform(
         F.col("item_words"),
         lambda w, j: F.when(F.translate(F.get(F.col("words"), F.when(shift + j >= 0, shift + j).otherwise(F.size("words"))), UPPER, LOWER) == w, F.lit("1")).otherwise(F.lit("0")),
     )
-    whole = F.repeat(F.lit("1"), F.col("span"))
+    every = F.repeat(F.lit("1"), F.col("span"))
     starts = _bind(
         F.array_join(agrees, ""),
-        lambda bits: F.filter(F.sequence(F.lit(1), F.size("item_words") - F.col("span") + 1), lambda j: F.substring(bits, j, F.col("span")) == whole),
+        lambda bits: F.filter(F.sequence(F.lit(1), F.size("item_words") - F.col("span") + 1), lambda j: F.substring(bits, j, F.col("span")) == every),
     )
     found = hits.select("doc", "text_hash", "item", "span", F.explode(F.transform(starts, lambda j: j - 1 + shift)).alias("start"))
     return found.distinct().select(F.col("doc").alias(key), "text_hash", "start", "span", "item")
@@ -128,7 +142,8 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     """One row per row of ``docs``: words, words hit, items with occurring windows, and whether any word is hit.
 
     Null and empty texts have no words and are never hit; a null item id counts for hits and is not listed.
-    Rows that repeat a key are told apart by their text; repeated rows give repeated results.
+    Rows that repeat a key are told apart by their text; repeated rows give repeated results. An empty table of documents gives
+    an empty result, an empty benchmark no hit; other columns are ignored.
     """
     found = passages(docs, bench, key, text, item_key, item_text, window).groupBy(F.col(key).alias("doc"), "text_hash").agg(
         F.collect_set(F.struct("start", "span")).alias("at"), F.collect_set(F.col("item").cast("string")).alias("ids")
@@ -145,6 +160,12 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
-    """``docs`` without the documents that hold any window of an item; all columns stay as they are."""
-    bad = passages(docs, bench, key, text, item_key, item_text, window).select(F.col(key).alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["__doc"]) & (F.xxhash64(docs[text]) == bad["__hash"]), "left_anti")
+    """``docs`` without the documents that hold any window of an item; all columns stay as they are.
+
+    Null and empty texts stay; a null key is told apart by its text. Columns go by their places, so their names cannot clash.
+    """
+    bad = passages(docs, bench, key, text, item_key, item_text, window).select(F.col(key).alias("doc"), F.col("text_hash").alias("hash")).distinct()
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key_, text_ = (F.col(f"c{names.index(x)}") for x in (key, text))
+    return rows.join(bad, key_.eqNullSafe(F.col("doc")) & (F.xxhash64(text_) == F.col("hash")), "left_anti").toDF(*names)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 TRAIN_DOCUMENTS = 6000
 # training sequences are cut at this many lines, which bounds the passes of one step
 TRAIN_LINES = 48
-# of one training document at most this many lines are fitted; scoring reads every line
-TRAIN_DOCUMENT_LINES = 960
+# whole documents are drawn for training until they hold this many lines
+TRAIN_TOTAL_LINES = 120_000
 # lines are described in groups of about this many code points, so a very long text needs bounded memory
 GROUP_CHARS = 1 << 20
 ACCEPT = 0.3
@@ -127,8 +127,8 @@ def weighted(good: np.ndarray, size: np.ndarray) -> tuple[float, float]:
     return float(good @ size / size.sum()), float(odds @ size / size.sum())
 
 
-def forward_backward(node: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of "good" (rows x lines), summed pair marginals (2 x 2) and log normalisers of padded sequences."""
+def forward_backward(node: np.ndarray, lengths: np.ndarray, step: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of "good" (rows x lines), pair marginals (2 x 2) summed with the rows' weights, and log normalisers of padded sequences."""
     rows, longest = node.shape
     move = np.exp(step)
     # state 0 is "bad" with score zero, state 1 is "good" with the node's score; shifted against overflow
@@ -153,11 +153,30 @@ def forward_backward(node: np.ndarray, lengths: np.ndarray, step: np.ndarray) ->
         if t:
             ahead = emit[:, t] * back / scale[:, t, None]
             joint = forward[:, t - 1, :, None] * move[None] * ahead[:, None, :]
-            pairs += (joint * live[:, t, None, None]).sum(axis=0)
+            pairs += (joint * (live[:, t] if weight is None else live[:, t] * weight)[:, None, None]).sum(axis=0)
             back = np.where(live[:, t, None], ahead @ move.T, back)
     return good, pairs, (np.log(scale) + top * live).sum(axis=1)
 
 
+def likelihood(theta: np.ndarray, batches: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], total: int) -> tuple[float, np.ndarray]:
+    """Mean log likelihood of the line labels over documents, less a small ridge, and its gradient.
+
+    A batch holds features of padded sequences, their lengths, labels and weights; a document's sequences weigh one over its lines.
+    """
+    dims = len(theta) - 4
+    w, move = theta[:dims], theta[dims:].reshape(2, 2)
+    value, grad = -5e-4 * float(theta @ theta), -1e-3 * theta
+    for block, lengths, y, weight in batches:
+        live = np.arange(block.shape[1])[None, :] < lengths[:, None]
+        node = block @ w
+        good, pairs, norm = forward_backward(node, lengths, move, weight)
+        grad[:dims] += np.tensordot((y[:, None] - good) * live * weight[:, None], block, 2) / total
+        stay = np.diag([(weight * (1 - y) * (lengths - 1)).sum(), (weight * y * (lengths - 1)).sum()])
+        grad[dims:] += ((stay - pairs) / total).ravel()
+        value += float((weight * (y * (node * live).sum(axis=1) - norm)).sum() + (stay * move).sum()) / total
+    return value, grad
+
+
 def fit_field(tables: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = STEPS) -> LineField:
     """Fit by gradient ascent (Adam) on the likelihood of line labels, every line carrying its document's label.
 
@@ -189,16 +208,7 @@ def fit_field(tables: list[tuple[np.ndarray, np.ndarray]], labels: list[int], st
     theta = np.zeros(dims + 4)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
-        grad = -1e-3 * theta
-        for block, lengths, y, weight in batches:
-            w, move = theta[:dims], theta[dims:].reshape(2, 2)
-            live = np.arange(block.shape[1])[None, :] < lengths[:, None]
-            good, _, _ = forward_backward(block @ w, lengths, move)
-            grad[:dims] += np.tensordot((y[:, None] - good) * live * weight[:, None], block, 2) / total
-            # pair terms weighted alike for every document would need pairs per row; the plain mean per line serves
-            _, pairs, _ = forward_backward(block @ w, lengths, move)
-            seen = np.array([[((1 - y) * (lengths - 1)).sum(), 0.0], [0.0, (y * (lengths - 1)).sum()]])
-            grad[dims:] += ((seen - pairs) / max(1.0, sum(b[1].sum() for b in batches))).ravel()
+        _, grad = likelihood(theta, batches, total)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         theta = theta + 0.1 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
     field = LineField(mean, scale, theta[:dims], theta[dims:].reshape(2, 2), np.zeros(4))
@@ -228,7 +238,7 @@ def training_rows(labels: DataFrame, label: str, key: str = "doc_id", limit: int
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = TRAIN_DOCUMENTS) -> LineField:
-    """Fit on a bounded sample of labelled documents; their lines are described by tasks, not on the driver."""
+    """Fit on whole documents of a bounded sample of labelled ones; their lines are described by tasks, not on the driver."""
     chosen = training_rows(labels, label, key, limit).select(F.col(key).alias("__key"), "y")
     rows = docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__key"))
     # of rows that repeat a key one text is learned from, so the sample keeps its bound
@@ -239,10 +249,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             made = [line_table(t) for t in batch["__text"]]
             yield pd.DataFrame({
                 "doc": batch["__doc"], "y": batch["y"],
-                "x": [x.astype(np.float32)[: TRAIN_DOCUMENT_LINES].ravel() for x, _ in made], "s": [s.astype(np.float32)[: TRAIN_DOCUMENT_LINES] for _, s in made],
+                "x": [x.astype(np.float32).ravel() for x, _ in made], "s": [s.astype(np.float32) for _, s in made],
             })
 
-    found = rows.select(F.col("__doc").cast("string").alias("__doc"), "__text", "y").mapInPandas(describe, "doc string, y int, x array<float>, s array<float>").toPandas()
+    rows = rows.withColumn("lines", F.size(F.split(F.coalesce("__text", F.lit("")), "\n")))
+    known = rows.select(F.xxhash64("__doc").alias("h"), F.col("__doc").cast("string").alias("d"), "lines").collect()  # at most ``limit`` rows
+    # in hash order every document that still fits into the total; one of more lines than all of it is not learned from
+    held, taken = 0, []
+    for r in sorted(known, key=lambda r: (r["h"], r["d"])):
+        if held + r["lines"] <= TRAIN_TOTAL_LINES:
+            held += r["lines"]
+            taken.append((r["d"],))
+    rows = rows.withColumn("__doc", F.col("__doc").cast("string"))
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "__doc string")), "__doc") if len(taken) < len(known) else rows
+    found = rows.select("__doc", "__text", "y").mapInPandas(describe, "doc string, y int, x array<float>, s array<float>").toPandas()
     found = found.assign(order=[(str(d), len(s)) for d, s in zip(found["doc"], found["s"])]).sort_values("order")
     tables = [(np.asarray(x, np.float64).reshape(-1, N_LINE), np.asarray(s, np.float64)) for x, s in zip(found["x"], found["s"])]
     return fit_field(tables, list(found["y"]))
@@ -268,7 +288,13 @@ def grade_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 
 
 def accept(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents whose score is below ``ACCEPT``; columns stay as they are."""
+    """``docs`` without the documents whose score is below ``ACCEPT``; columns stay as they are.
+
+    Null, empty and blank texts have the score of ``grade_documents``; rows without a key are judged like any other, repeated
+    rows alike, and an empty table gives an empty result. Columns go by their places, so their names cannot clash.
+    """
     field = train(docs, labels, key, text)
-    scored = docs.withColumn("__score", score_column(field, F.col(text)))
-    return scored.filter(F.col("__score") >= ACCEPT).select(*docs.columns)
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    scored = rows.withColumn("score", score_column(field, F.col(f"c{names.index(text)}")))
+    return scored.filter(F.col("score") >= ACCEPT).drop("score").toDF(*names)

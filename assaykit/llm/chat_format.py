@@ -42,6 +42,12 @@ LAYOUTS = (
     Layout("prompt-completion", ("completion", "prompt"), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("prompt-response", ("prompt", "response"), fields=(("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("system-prompt-response", ("prompt", "response", "system"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
+    Layout("system-prompt-completion", ("completion", "prompt", "system"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",)))),
+    Layout("system-instruction", ("instruction", "output", "system"), fields=(("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",)))),
+    Layout(
+        "system-instruction-input", ("input", "instruction", "output", "system"),
+        fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))),
+    ),
     Layout("instruction", ("instruction", "output"), fields=(("user", ("instruction",)), ("assistant", ("output",)))),
     Layout("instruction-input", ("input", "instruction", "output"), fields=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Layout("question-answer", ("answer", "question"), fields=(("user", ("question",)), ("assistant", ("answer",)))),
@@ -56,25 +62,34 @@ def known_paths(layouts: Sequence[Layout] = LAYOUTS) -> list[str]:
 
 
 def _json_path(path: str) -> str:
-    return "$." + path.replace("[]", "[0]")
+    return "$." + path.replace("[]", "[*]")
 
 
 def fingerprint(record: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
-    """Hash of the nested field paths of a JSON record that any layout knows, in order; unknown fields don't count.
+    """Hash of the nested field paths of the largest layout that a JSON record contains; the first listed of equally large ones.
 
-    A path below an array exists if the array's first element has it. Absent and null fields are alike. A record that
-    is no JSON has no path.
+    A path below an array exists if any of its elements has it. Absent and null fields are alike, and fields beside those
+    of the layout don't count. A record that contains no layout has the hash of the known paths it has, one that is no JSON
+    that of none.
     """
     keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    paths = known_paths(layouts)
+    ordered = sorted(layouts, key=lambda x: -len(x.paths))
+
+    def choose(there: Column) -> Column:
+        out = F.xxhash64(F.array_join(there, "\n"))
+        for layout in reversed(ordered):
+            inside = F.lit(True)
+            for p in layout.paths:
+                inside = inside & F.array_contains(there, p)
+            out = F.when(inside, layout_hash(layout)).otherwise(out)
+        return out
 
     def present(names: Column) -> Column:
-        found = [
-            F.when(F.array_contains(names, re.split(r"[.\[]", p)[0]) & F.get_json_object(record, _json_path(p)).isNotNull(), F.lit(p))
-            for p in known_paths(layouts)
-        ]
-        return F.xxhash64(F.concat_ws("\n", *found))
+        found = [F.when(F.array_contains(names, re.split(r"[.\[]", p)[0]) & F.get_json_object(record, _json_path(p)).isNotNull(), F.lit(p)) for p in paths]
+        return F.array_compact(F.array(*found))
 
-    return F.get(F.transform(F.array(keys), present), F.lit(0))
+    return F.get(F.transform(F.transform(F.array(keys), present), choose), F.lit(0))
 
 
 def layout_hash(layout: Layout) -> Column:
@@ -82,7 +97,7 @@ def layout_hash(layout: Layout) -> Column:
 
 
 def canonical_turns(record: Column, print_: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
-    """Turns of a record by the layout whose paths hash to its fingerprint; null for an unknown layout.
+    """Turns of a record by the layout whose paths hash to its fingerprint; null for a record that contains none.
 
     Layouts that say so map other spellings of roles; a null role or text is an empty one.
     """
@@ -177,26 +192,66 @@ def loss_text(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))), "")
 
 
-def conversation_records(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, record): one JSON record in the ``messages`` layout for each conversation, turns in order.
+# layouts of records by the roles of a conversation, in the order of their numbers
+TURN_LAYOUTS = ("messages", "messages-text", "conversations", "dialog", "turns")
+PAIR_LAYOUTS = ("prompt-completion", "prompt-response", "instruction", "question-answer", "nested-data")
+SYSTEM_LAYOUTS = ("system-prompt-response", "system-prompt-completion", "system-instruction")
 
-    Ties in ``turn`` are ordered by role and text; null texts and roles are empty. A conversation is one training
-    text, so its turns have to meet in one row; rows of different conversations never do.
+
+def _record_of(layout: Layout, turns: Column) -> Column:
+    """A record of a layout out of turns whose roles it can hold."""
+    if layout.turns:
+        spelt = {"user": "human", "assistant": "gpt"} if layout.rename else {}
+
+        def item(t: Column) -> Column:
+            role = t["role"]
+            for name, other in spelt.items():
+                role = F.when(t["role"] == name, F.lit(other)).otherwise(role)
+            return F.struct(role.alias(layout.role), t["text"].alias(layout.text))
+
+        return F.to_json(F.struct(F.transform(turns, item).alias(layout.turns)))
+    flat = [(paths[0], F.get(turns, i)["text"]) for i, (_, paths) in enumerate(layout.fields)]
+    inner = F.struct(*[text.alias(path.split(".")[-1]) for path, text in flat])
+    return F.to_json(F.struct(inner.alias("data")) if "." in flat[0][0] else inner)
+
+
+def conversation_records(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", mixed: bool = False) -> DataFrame:
+    """(conv, record): one JSON record for each conversation, turns in order.
+
+    Records are in the ``messages`` layout; with ``mixed`` in any layout that can hold the conversation's roles, chosen by a
+    hash of the key. Ties in ``turn`` are ordered by role and text; null texts and roles are empty. A conversation is one
+    training text, so its turns have to meet in one row; rows of different conversations never do. Other columns are
+    ignored, a null key is one conversation, and an empty table gives an empty result.
     """
     empty = F.lit("")
-    part = F.struct(
-        F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("content")
-    )
+    part = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text"))
     grouped = rows.groupBy(F.col(conv)).agg(F.array_sort(F.collect_list(part)).alias("m"))
-    messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return grouped.select(conv, F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    by_name = {layout.name: layout for layout in LAYOUTS}
+    made = _record_of(by_name["messages"], F.col("m"))
+    if mixed:
+        roles = F.transform("m", lambda t: t["role"])
+
+        def one_of(names: Sequence[str], otherwise: Column) -> Column:
+            out = otherwise
+            for i, name in enumerate(names):
+                out = F.when(F.pmod(F.xxhash64(conv), len(names)) == i, _record_of(by_name[name], F.col("m"))).otherwise(out)
+            return out
+
+        usual = F.forall(roles, lambda r: r.isin("system", "user", "assistant"))
+        turns = one_of(TURN_LAYOUTS, made)
+        made = F.when(roles == F.array(F.lit("user"), F.lit("assistant")), F.when(F.pmod(F.xxhash64(conv, F.lit("flat")), 2) == 0, one_of(PAIR_LAYOUTS, made)).otherwise(turns))
+        made = made.when(roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")), one_of(SYSTEM_LAYOUTS, turns))
+        # other spellings of roles would be mapped by layouts that know them
+        made = made.when(usual, turns).otherwise(_record_of(by_name["messages"], F.col("m")))
+    return grouped.select(conv, made.alias("record"))
 
 
 def format_records(records: DataFrame, record: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """``records`` with ``layout_print``, ``turns``, ``formatted`` and ``loss_spans``.
 
-    Records of an unknown layout, null and broken ones keep their row with null turns, text and mask. A record without
-    turns gives an empty text. An empty table gives an empty result; other columns stay.
+    Records that contain no layout, null and broken ones keep their row with null turns, text and mask. A record without
+    turns gives an empty text. An empty table gives an empty result; other columns stay, but those that have the names of
+    the four new ones are replaced.
     """
     out = records.withColumn("layout_print", fingerprint(F.col(record), layouts))
     out = out.withColumn("turns", canonical_turns(F.col(record), F.col("layout_print"), layouts))

@@ -140,7 +140,7 @@ FROM g
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.createDataFrame(HARD_TURNS, "conv_id long, turn long, role string, text string")
-    out = chat_format.format_records(chat_format.conversation_records(rows.unionByName(hard)))
+    out = chat_format.format_records(chat_format.conversation_records(rows.unionByName(hard), mixed=True))
     turns = chat_format.read_back(F.col("formatted"))
     out = out.select("conv_id", turns.alias("t"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), "formatted")
     body = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")

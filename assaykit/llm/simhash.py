@@ -138,11 +138,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     """
     classes = _classes(docs, key, text, size, max_bits)
     smallest = F.col("doc").eqNullSafe(F.col("root.doc")) & (F.col("text_hash") == F.col("root.text_hash"))
-    roots = classes.filter(smallest).groupBy(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("copies"))
+    roots = classes.filter(smallest).groupBy(F.col("doc"), F.col("text_hash").alias("hash")).agg(F.count("*").alias("copies"))
     roots = cut_lineage(roots)
+    # the columns go by their places, so none can clash with a name used here
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key_, text_ = (f"c{names.index(x)}" for x in (key, text))
 
     def among(some: DataFrame) -> DataFrame:
-        return docs.join(some, docs[key].eqNullSafe(some["__doc"]) & (F.xxhash64(docs[text]) == some["__hash"]), "left_semi")
+        return rows.join(some, F.col(key_).eqNullSafe(F.col("doc")) & (F.xxhash64(text_) == F.col("hash")), "left_semi")
 
-    again = among(roots.filter("copies > 1")).withColumn("__hash", F.xxhash64(F.col(text))).dropDuplicates([key, "__hash"])
-    return among(roots.filter("copies = 1")).unionByName(again.drop("__hash")).select(*docs.columns)
+    again = among(roots.filter("copies > 1")).withColumn("hash", F.xxhash64(text_)).dropDuplicates([key_, "hash"]).drop("hash")
+    return among(roots.filter("copies = 1")).unionByName(again).toDF(*names)

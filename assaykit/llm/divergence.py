@@ -17,6 +17,8 @@ LEAST_DOCUMENTS = 30
 SMOOTH = 5
 UNIT = 1_000_000_000
 TOP_TERMS = 50
+# languages up to so many are broadcast, each with its number of sources and terms; more are joined
+BROADCAST_LANGS = 100_000
 # a cell of the cube holds about so many sources on either side, and so many terms
 GROUP_BLOCK = 32
 TERM_BLOCK = 4096
@@ -29,19 +31,16 @@ PIECE_BYTES = 1 << 20
 _TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
-def term_counts(text: str | None) -> Counter:
-    """Occurrences of each term of a text, as UTF-8; a null text has none."""
+def term_lists(text: str | None) -> Iterator[list[bytes]]:
+    """Terms of a text, as UTF-8, a bounded piece at a time; a null text has none."""
     data = (text or "").encode("utf-8", "surrogatepass").translate(_TERM_BYTES)
-    if len(data) <= PIECE_BYTES:
-        return Counter(data.split())
-    out: Counter = Counter()
     start = 0
-    while start < len(data):
+    while len(data) - start > PIECE_BYTES:
         stop = data.find(b" ", start + PIECE_BYTES)
         stop = len(data) if stop < 0 else stop
-        out.update(data[start:stop].split())
+        yield data[start:stop].split()
         start = stop
-    return out
+    yield data[start:].split()
 
 
 def count_terms(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
@@ -63,9 +62,11 @@ def count_terms(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
             for lang_, source_, t in zip(batch["lang"], batch["source"], batch["t"]):
                 n, d = held[lang_, source_]
                 size -= len(n)
-                found = term_counts(t)
-                n.update(found)
-                d.update(found.keys())
+                once: set[bytes] = set()
+                for found in term_lists(t):
+                    n.update(found)
+                    once.update(found)
+                d.update(once)
                 size += len(n)
                 if size > HELD_TERMS:
                     yield rows()
@@ -120,6 +121,8 @@ def pair_divergences(groups: DataFrame, terms: DataFrame, group_block: int = GRO
     """
     sizes = groups.groupBy("lang").agg(F.count("*").alias("g"), F.max("terms").alias("v"))
     sizes = cut_lineage(sizes.select("lang", "v", F.ceil(F.col("g") / group_block).cast("int").alias("gb"), F.greatest(F.lit(1), F.ceil(F.col("v") / term_block)).cast("int").alias("tb")))
+    if sizes.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS:
+        sizes = F.broadcast(sizes)
     block = F.pmod(F.xxhash64("source"), F.col("gb")).cast("int")
     part = F.pmod(F.xxhash64("term"), F.col("tb")).cast("int")
     kept = terms.select("lang", "term").distinct().join(sizes, "lang").groupBy("lang", part.alias("part")).agg(F.count("*").alias("terms"))

@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,13 @@ from pyspark.sql import functions as F
 
 from assaykit.table import cut_lineage
 
-CLASSES = 1 << 16
+CLASSES = 1 << 14
 # hashed slots of each context; the tables, and so what is broadcast, do not grow with the input
 SLOT_BITS = 21
-# of a token: the word before, two, three before, the last but one, the most frequent of the last few; of a byte: orders 4, 3, 2, 1, 5
-CONTEXTS = 5
-INPUTS = CONTEXTS + 1  # and the bare tree
+# contexts of a token: the word before, the two before, the most frequent of the last few
+TOKEN_CONTEXTS = 3
+# contexts of a byte: how many bytes before it, the two that choose the gate first
+BYTE_ORDERS = (4, 3, 2, 1, 5)
 # words this frequent are scored where they are read, at most so many and of at most so many bytes; the others by a join
 TOP_WORDS = 1 << 17
 TOP_BYTES = 64
@@ -44,7 +46,7 @@ GATES = 64
 # rows and columns of the adaptive refinement, and the bits each cell starts with
 REFINE_ROWS, REFINE_COLUMNS, REFINE_PRIOR = 16, 33, 32.0
 # tokens worked on at once, and bytes of a piece of a long text
-BATCH_TOKENS = 1 << 16
+BATCH_TOKENS = 1 << 14
 PIECE_BYTES = 1 << 20
 CHUNK = 1 << 16
 END = b""
@@ -78,6 +80,7 @@ class Codebook:
     start: np.ndarray
     node: np.ndarray
     bit: np.ndarray
+    level: np.ndarray
     bare: np.ndarray
     class_total: np.ndarray
 
@@ -115,7 +118,9 @@ def huffman(counts: np.ndarray, escape: float) -> Codebook:
     depth = np.repeat(np.arange(len(owner)), [len(o) for o in owner])
     order = np.lexsort((-depth, who))  # from the root down
     start = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))])
-    return Codebook(start, node[order].astype(np.int32), bit[order], np.log((ones + 0.4) / (zeros + 0.4)), counts.astype(np.int64))
+    level = np.arange(len(who)) - np.repeat(start[:-1], np.diff(start))
+    bare = np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
+    return Codebook(start.astype(np.int64), node[order].astype(np.uint32), bit[order], np.minimum(level, REFINE_ROWS - 1).astype(np.uint8), bare, counts.astype(np.int64))
 
 
 def contexts(hashes: np.ndarray, ranks: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
@@ -127,43 +132,49 @@ def contexts(hashes: np.ndarray, ranks: np.ndarray, first: np.ndarray) -> list[n
         out[first < k] = np.uint64(k)
         return out
 
-    one, two, three = back(1), back(2), back(3)
-    topic = np.full(len(ranks), TOPIC_RANKS, np.int64)
+    one, two = back(1), back(2)
+    topic = np.full(len(ranks), TOPIC_RANKS, np.int16)
     for k in range(1, TOPIC_WORDS + 1):
-        before = np.full(len(ranks), TOPIC_RANKS, np.int64)
-        before[k:] = ranks[:-k]
-        before[first < k] = TOPIC_RANKS
-        topic = np.minimum(topic, before)
-    pair = one * _ONE + two
-    return [one, pair, (pair * _TWO) ^ (three * _ONE), two * _TWO, (topic.astype(np.uint64) + np.uint64(7)) * _TWO]
+        before = ranks[:-k].copy()
+        before[first[k:] < k] = TOPIC_RANKS
+        np.minimum(topic[k:], before, out=topic[k:])
+    return [one, one * _ONE + two, (topic.astype(np.uint64) + np.uint64(7)) * _TWO]
 
 
-def path_bits(book: Codebook, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, depth, node, bit) of every bit of the tokens' paths, in order."""
+def path_bits(book: Codebook, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bits each token has, and where in the codebook every bit of the tokens' paths is, in order."""
     size = book.lengths[symbols]
-    token = np.repeat(np.arange(len(symbols)), size)
-    depth = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-    at = book.start[symbols][token] + depth
-    return token, depth, book.node[at], book.bit[at]
+    ends = np.cumsum(size)
+    shift = (book.start[symbols] - (ends - size)).astype(np.int32)
+    return size, np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(shift, size)
 
 
-def slots(context: np.ndarray, which: int, token: np.ndarray, node: np.ndarray) -> np.ndarray:
-    mixed = (context * _ONE + np.uint64(which))[token] + node.astype(np.uint64) * _TWO
-    return ((mixed ^ (mixed >> np.uint64(29))) * _ONE >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def folded(context: np.ndarray, which: int) -> np.ndarray:
+    """32 bits of a context's hash, other ones for each context."""
+    mixed = (context + np.uint64(which + 1)) * _ONE
+    return ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(16)).astype(np.uint32)
 
 
-@dataclass(frozen=True)
-class Predictors:
-    """Log-odds (in 1/256) and confidence (0 to 3) of every slot."""
+def slots(context: np.ndarray, size: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Slot of every bit: the token's folded context with the bit's spread node."""
+    mixed = np.repeat(context, size)
+    mixed ^= spread
+    mixed *= np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x85EBCA77)
+    mixed >>= np.uint32(32 - SLOT_BITS)
+    return mixed
+
 
-    odds: np.ndarray
-    sure: np.ndarray
+def spread(node: np.ndarray) -> np.ndarray:
+    return node * np.uint32(0xC2B2AE3D)
 
 
-def learned(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    odds = np.round(256 * np.log((ones + 0.4) / (zeros + 0.4)))
+def learned(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log-odds in 1/256, and in the last two bits how sure they are (0 to 3)."""
+    odds = np.clip(np.round(256 * np.log((ones + 0.4) / (zeros + 0.4))), -8191, 8191).astype(np.int16)
     n = zeros + ones
-    return np.clip(odds, -32000, 32000).astype(np.int16), ((n > 0).astype(np.uint8) + (n > 2) + (n > 30)).astype(np.uint8)
+    return odds * np.int16(4) + ((n > 0).astype(np.int16) + (n > 2) + (n > 30))
 
 
 @dataclass(frozen=True)
@@ -179,66 +190,76 @@ def first_refinement() -> np.ndarray:
     return np.tile(middle, (REFINE_ROWS, 1))
 
 
-def _inputs(book: Codebook, tables: Predictors, ctx: list[np.ndarray], symbols: np.ndarray):
-    """(token, bit, inputs, gate, refinement row) of every bit."""
-    token, depth, node, bit = path_bits(book, symbols)
-    x = np.empty((len(token), INPUTS))
-    x[:, 0] = book.bare[node]
-    sure = []
+def _inputs(book: Codebook, tables: np.ndarray, ctx: list[np.ndarray], symbols: np.ndarray):
+    """(bits of each token, bit, inputs by context, gate, refinement row) of every bit."""
+    size, at = path_bits(book, symbols)
+    node = book.node[at]
+    x = np.empty((len(ctx) + 1, len(at)), np.float32)
+    x[0] = book.bare[node]
+    node_spread = spread(node)
+    gate = np.minimum(book.level[at] >> 2, 3).astype(np.uint8)
     for i, c in enumerate(ctx):
-        at = slots(c, i, token, node)
-        x[:, i + 1] = tables.odds[i, at] / 256.0
+        value = tables[i][slots(folded(c, i), size, node_spread)]
         if i < 2:
-            sure.append(tables.sure[i, at])
-    gate = (sure[0].astype(np.int64) * 4 + sure[1]) * 4 + np.minimum(depth // 4, 3)
-    return token, bit, x, gate, np.minimum(depth, REFINE_ROWS - 1)
+            gate += (value & 3).astype(np.uint8) * np.uint8(4 if i else 16)
+        np.multiply(value >> 2, np.float32(1 / 256), out=x[i + 1])
+    return size, book.bit[at], x, gate, book.level[at]
 
 
 def _squash(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _column(z: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(z * 2), -(REFINE_COLUMNS // 2), REFINE_COLUMNS // 2).astype(np.int64) + REFINE_COLUMNS // 2
+def _cell(z: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Cell of the refinement: the row and the log-odds in halves."""
+    column = np.clip(np.rint(z * 2), -(REFINE_COLUMNS // 2), REFINE_COLUMNS // 2).astype(np.int16) + np.int16(REFINE_COLUMNS // 2)
+    return row.astype(np.int16) * np.int16(REFINE_COLUMNS) + column
+
+
+def _mixed(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Log-odds of a one: the inputs with the weights of each bit's gate."""
+    z = weights[0][gate] * x[0]
+    for i in range(1, len(x)):
+        z += weights[i][gate] * x[i]
+    return z
 
 
-def bit_costs(book: Codebook, tables: Predictors, mixer: Mixer, ctx: list[np.ndarray], symbols: np.ndarray) -> np.ndarray:
+def bit_costs(book: Codebook, tables: np.ndarray, mixer: Mixer, ctx: list[np.ndarray], symbols: np.ndarray) -> np.ndarray:
     """Log probability (base e) of each token's path."""
     if not len(symbols):
         return np.empty(0)
-    token, bit, x, gate, row = _inputs(book, tables, ctx, symbols)
-    z = np.einsum("ij,ij->i", x, mixer.weights[gate])
-    p = (_squash(z) + mixer.refine[row, _column(z)]) / 2
-    p = np.clip(np.where(bit == 1, p, 1 - p), 1e-12, 1.0)
-    return np.bincount(token, weights=np.log(p), minlength=len(symbols))
+    size, bit, x, gate, row = _inputs(book, tables, ctx, symbols)
+    z = _mixed(x, mixer.weights.astype(np.float32), gate)
+    p = (_squash(z) + mixer.refine.ravel().astype(np.float32)[_cell(z, row)]) * np.float32(0.5)
+    p = np.log(np.maximum(np.where(bit == 1, p, np.float32(1) - p), np.float32(1e-7)))
+    return np.add.reduceat(p, np.cumsum(size) - size, dtype=np.float64)
 
 
 class OnlineMixer:
     """Learns from bits as they come: a prediction first, then a step of every gate towards the bits seen."""
 
-    def __init__(self) -> None:
-        self.weights = np.full((GATES, INPUTS), 1.0 / INPUTS)
-        self.squares = np.full((GATES, INPUTS), 1e-2)
+    def __init__(self, inputs: int) -> None:
+        self.weights = np.full((inputs, GATES), 1.0 / inputs)
+        self.squares = np.full((inputs, GATES), 1e-2)
         self.bits = np.zeros(GATES, np.int64)
-        self.seen = np.zeros((REFINE_ROWS, REFINE_COLUMNS), np.int64)
-        self.ones = np.zeros((REFINE_ROWS, REFINE_COLUMNS), np.int64)
+        self.seen = np.zeros(REFINE_ROWS * REFINE_COLUMNS, np.int64)
+        self.ones = np.zeros(REFINE_ROWS * REFINE_COLUMNS, np.int64)
 
-    def learn(self, book: Codebook, tables: Predictors, ctx: list[np.ndarray], symbols: np.ndarray) -> None:
+    def learn(self, book: Codebook, tables: np.ndarray, ctx: list[np.ndarray], symbols: np.ndarray) -> None:
         _, bit, x, gate, row = _inputs(book, tables, ctx, symbols)
         for s in range(0, len(bit), STEP_BITS):
             part = slice(s, s + STEP_BITS)
-            xs, gs, bs = x[part], gate[part], bit[part]
-            z = np.einsum("ij,ij->i", xs, self.weights[gs])
-            push = (bs - _squash(z))[:, None] * xs
-            step = np.stack([np.bincount(gs, weights=push[:, j], minlength=GATES) for j in range(INPUTS)], axis=1)
+            xs, gs, bs = x[:, part], gate[part], bit[part]
+            z = _mixed(xs, self.weights, gs)
+            wrong = bs - _squash(z)
             n = np.bincount(gs, minlength=GATES)
-            mean = step / np.maximum(n, 1)[:, None]
+            mean = np.stack([np.bincount(gs, weights=wrong * one, minlength=GATES) for one in xs]) / np.maximum(n, 1)
             self.squares += mean * mean
-            self.weights += RATE * mean / np.sqrt(self.squares) * (n > 0)[:, None]
+            self.weights += RATE * mean / np.sqrt(self.squares) * (n > 0)
             self.bits += n
-            cell = row[part] * REFINE_COLUMNS + _column(z)
-            self.seen += np.bincount(cell, minlength=self.seen.size).reshape(self.seen.shape)
-            self.ones += np.bincount(cell, weights=bs, minlength=self.seen.size).astype(np.int64).reshape(self.seen.shape)
+            cell = _cell(z, row[part])
+            self.seen += np.bincount(cell, minlength=self.seen.size)
+            self.ones += np.bincount(cell[bs == 1], minlength=self.seen.size)
 
 
 class Reader:
@@ -274,10 +295,12 @@ class Reader:
 
     def _finish(self, owner, words, seen):
         n_top = len(self.top)
+        ids = np.fromiter(map(self.top.get, words, repeat(-1)), np.int64, len(words))
         rare: dict[bytes, int] = {}
-        ids = np.fromiter((self.top[w] if w in self.top else rare.setdefault(w, n_top + len(rare)) for w in words), np.int64, len(words))
+        unknown = np.flatnonzero(ids < 0)
+        ids[unknown] = np.fromiter((rare.setdefault(words[i], n_top + len(rare)) for i in unknown.tolist()), np.int64, len(unknown))
         hashes = np.concatenate([self.top_hash, np.fromiter(map(word_hash, rare), np.uint64, len(rare))])[ids]
-        ctx = contexts(hashes, np.minimum(ids, min(n_top, TOPIC_RANKS)), np.concatenate(seen))
+        ctx = contexts(hashes, np.minimum(ids, TOPIC_RANKS if n_top >= TOPIC_RANKS else n_top).astype(np.int16), np.concatenate(seen))
         doc = np.concatenate([np.r_[np.full(lead, -1), np.full(n, d)] for d, lead, n in owner])
         own = doc >= 0
         return doc[own], ids[own], list(rare), hashes[own], [c[own] for c in ctx]
@@ -316,7 +339,7 @@ class Speller:
             ctx.append(mixed)
         own = place >= np.repeat([lead for _, _, lead, _ in held], sizes)
         owner = np.repeat([i for i, _, _, _ in held], sizes)
-        return owner[own], symbols[own], [ctx[k][own] for k in (3, 2, 1, 0, 4)]
+        return owner[own], symbols[own], [ctx[k - 1][own] for k in BYTE_ORDERS]
 
 
 def held_out(key: Column) -> Column:
@@ -416,24 +439,26 @@ def symbols_of(words: Words, spell: bool):
     return (lambda items: ((_symbols(hashes), ctx) for _, _, _, hashes, ctx in reader.batches(items))), words.book
 
 
-def learn_contexts(items: DataFrame, sent, spell: bool) -> tuple[Predictors, Predictors]:
-    """Predictors without and with the mixer's share of ``items(item, part)``, from the bits of all of them.
+def learn_contexts(items: DataFrame, sent, spell: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of slots without and with the mixer's share of ``items(item, part)``, from the bits of all of them.
 
     ``part`` is 1 for items that only count, 2 for the mixer's. Tasks add up counts of slots and pass them on in packed
     chunks; each chunk is summed in one place as its pieces stream by, so what comes back has the size of the tables.
     """
-    size = 2 << SLOT_BITS
+    size, contexts_ = 2 << SLOT_BITS, len(BYTE_ORDERS) if spell else TOKEN_CONTEXTS
 
     def counted(side: int) -> DataFrame:
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             read, book = symbols_of(sent.value, spell)
             total = None
+            twice = spread(book.node), book.bit.astype(np.uint32)
             for batch in batches:
-                total = np.zeros((CONTEXTS, size), np.uint32) if total is None else total
+                total = np.zeros((contexts_, size), np.uint32) if total is None else total
                 for symbols, ctx in read(batch["item"]):
-                    token, _, node, bit = path_bits(book, symbols)
+                    bits, at = path_bits(book, symbols)
+                    node_spread, bit = twice[0][at], twice[1][at]
                     for i, c in enumerate(ctx):
-                        total[i] += np.bincount(slots(c, i, token, node) * 2 + bit, minlength=size).astype(np.uint32)
+                        np.add.at(total[i], (slots(folded(c, i), bits, node_spread) << np.uint32(1)) + bit, np.uint32(1))
             if total is not None:
                 flat = total.reshape(-1, CHUNK)
                 for chunk in np.flatnonzero(flat.any(axis=1)):
@@ -450,52 +475,48 @@ def learn_contexts(items: DataFrame, sent, spell: bool) -> tuple[Predictors, Pre
                 sums[chunk][side - 1] += _unpacked(data)
         for chunk, (base, more) in sums.items():
             for full, counts in ((False, base), (True, base + more)):
-                odds, sure = learned(counts[0::2], counts[1::2])
-                yield pd.DataFrame({"chunk": [chunk], "whole": [full], "odds": [odds.tobytes()], "sure": [sure.tobytes()]})
+                yield pd.DataFrame({"chunk": [chunk], "whole": [full], "slots": [learned(counts[0::2], counts[1::2]).tobytes()]})
 
-    chunks = CONTEXTS * size // CHUNK
+    chunks = contexts_ * size // CHUNK
     summed = counted(1).unionByName(counted(2)).repartition(chunks // 4, "chunk")
-    odds = np.zeros((2, CONTEXTS << SLOT_BITS), np.int16)
-    sure = np.zeros((2, CONTEXTS << SLOT_BITS), np.uint8)
+    tables = np.zeros((2, contexts_ << SLOT_BITS), np.int16)
     half = CHUNK // 2
-    for r in summed.mapInPandas(fold, "chunk int, whole boolean, odds binary, sure binary").collect():  # two rows a chunk
-        at = slice(r["chunk"] * half, (r["chunk"] + 1) * half)
-        odds[int(r["whole"]), at] = np.frombuffer(r["odds"], np.int16)
-        sure[int(r["whole"]), at] = np.frombuffer(r["sure"], np.uint8)
-    shape = (CONTEXTS, 1 << SLOT_BITS)
-    return tuple(Predictors(odds[k].reshape(shape), sure[k].reshape(shape)) for k in (0, 1))
+    for r in summed.mapInPandas(fold, "chunk int, whole boolean, slots binary").collect():  # two rows a chunk
+        tables[int(r["whole"]), r["chunk"] * half : (r["chunk"] + 1) * half] = np.frombuffer(r["slots"], np.int16)
+    return tuple(t.reshape(contexts_, 1 << SLOT_BITS) for t in tables)
 
 
 def learn_mixer(items: DataFrame, sent, spell: bool, tables) -> Mixer:
     """Weights and refinement from the mixer's share of the items. Every task learns online from its own; weights are
     averaged by the bits of each gate, the refinement adds up counts."""
+    inputs = 1 + (len(BYTE_ORDERS) if spell else TOKEN_CONTEXTS)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, book = symbols_of(sent.value, spell)
-        mixer = OnlineMixer()
+        mixer = OnlineMixer(inputs)
         for batch in batches:
             for symbols, ctx in read(batch["item"]):
                 mixer.learn(book, tables.value, ctx, symbols)
         if mixer.bits.any():
-            bits = np.repeat(mixer.bits, INPUTS)
+            bits = np.tile(mixer.bits, inputs)
             yield pd.DataFrame({"kind": 0, "at": np.arange(len(bits), dtype=np.int32), "v": mixer.weights.ravel() * bits, "n": bits})
-            yield pd.DataFrame({"kind": 1, "at": np.arange(mixer.seen.size, dtype=np.int32), "v": mixer.ones.ravel().astype(float), "n": mixer.seen.ravel()})
+            yield pd.DataFrame({"kind": 1, "at": np.arange(mixer.seen.size, dtype=np.int32), "v": mixer.ones.astype(float), "n": mixer.seen})
 
-    weights, refine = np.full(GATES * INPUTS, 1.0 / INPUTS), first_refinement().ravel()
+    weights, refine = np.full(GATES * inputs, 1.0 / inputs), first_refinement().ravel()
     found = items.filter("part = 2").select("item").mapInPandas(learn, "kind int, at int, v double, n long").groupBy("kind", "at")
     for r in found.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect():  # one row a weight or cell
         if r["kind"] == 0 and r["n"]:
             weights[r["at"]] = round(r["v"] / r["n"], 9)
         elif r["kind"] == 1:
             refine[r["at"]] = (r["v"] + REFINE_PRIOR * refine[r["at"]]) / (r["n"] + REFINE_PRIOR)
-    return Mixer(weights.reshape(GATES, INPUTS), refine.reshape(REFINE_ROWS, REFINE_COLUMNS))
+    return Mixer(weights.reshape(inputs, GATES), refine.reshape(REFINE_ROWS, REFINE_COLUMNS))
 
 
 @dataclass(frozen=True)
 class BitModel:
     """Predictors and mixer of one codebook."""
 
-    tables: Predictors
+    tables: np.ndarray
     mixer: Mixer
 
 

@@ -92,6 +92,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``scratch_path`` named, once nothing reads it any more."""
+    if not path.startswith(shared_folder(spark) + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative jobs restart from shared storage when executors are lost."""
     spark = df.sparkSession

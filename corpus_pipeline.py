@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import decontaminate, line_dedup, packing, quality, simhash
-from assaykit.table import read_table, scratch_path
+from assaykit.table import read_table, remove_scratch, scratch_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +16,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with lines that came earlier taken out; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, counts=False)
     columns = [F.length("text").cast(kind).alias("n_chars") if name == "n_chars" else F.col(name) for name, kind in docs.dtypes]
     return out.select(*columns)
 
@@ -48,10 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; what a stage keeps is written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """Apply all stages to ``documents``; what a stage keeps is written to the shared folder and read again.
+
+    A stage's folder is removed once the next one is written, so at most two copies of the corpus are kept.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove_scratch(spark, before)
+        before = path
     return docs

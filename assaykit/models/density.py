@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assaykit.operators.graph import connected_components
+from assaykit.operators.graph import connected_components, number_in_order
 from assaykit.operators.neighbors import BLOCK, block_join, build_cells, distances, locations, sums_over
 from assaykit.table import c, cut_lineage, features_array
 
@@ -46,13 +46,13 @@ def dbscan(
     keyed = df.select(features_array(features).alias("_f"), c(row_id).alias("_id"))
     spots = keyed.groupBy("_f").agg(F.count("*").alias("_n"), F.min("_id").alias("_id"))
     spots = cut_lineage(spots)
-    tagged, cells = build_cells(spots, block)
+    tagged, cells = build_cells(spots, block, p)
     reach = sums_over(spots.select("_f"), tagged, cells, np.ones_like, radius=eps, p=p, block=block)
     core = spots.join(reach, "_f").filter(F.col("total") >= min_samples).select("_f", "_id", "_n")
     core = cut_lineage(core)
     if core.isEmpty():
         return keyed.select(F.col("_id").alias(row_id), F.lit(-1).cast("long").alias("cluster"), F.lit(False).alias("is_core"))
-    core_tagged, core_cells = build_cells(core, block)
+    core_tagged, core_cells = build_cells(core, block, p)
     kind = dict(core.dtypes)["_id"]
 
     def connect(a, b, x, y):
@@ -75,7 +75,7 @@ def dbscan(
     heads = named.select("_c").distinct()
     numbers = number_in_order(heads, "_c")
     labelled = cut_lineage(named.join(numbers, "_c").select("_f", F.col("_no").alias("cluster")))
-    touched, touched_cells = build_cells(labelled.withColumn("_n", F.lit(1)), block)
+    touched, touched_cells = build_cells(labelled.withColumn("_n", F.lit(1)), block, p)
 
     def lowest(a, b, x, y):
         label = b["cluster"].to_numpy().astype(float)
@@ -95,19 +95,6 @@ def dbscan(
     )
 
 
-def number_in_order(heads: DataFrame, key: str) -> DataFrame:
-    """0-based numbers of distinct keys in sorted order: sorted ranges, counted, then numbered inside."""
-    ranged = cut_lineage(heads.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()))
-    sizes = ranged.groupBy("_part").count().orderBy("_part").collect()
-    start, offsets = 0, []
-    for r in sizes:
-        offsets.append((r["_part"], start))
-        start += r["count"]
-    table = F.broadcast(heads.sparkSession.createDataFrame(offsets, "_part int, _start long"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(key))
-    return ranged.withColumn("_k", inside).join(table, "_part").select(key, (F.col("_start") + F.col("_k") - 1).alias("_no"))
-
-
 def mean_shift(
     df: DataFrame, features: Sequence[str], row_id: str, bandwidth: float, bin_seeding: bool = True, min_bin_freq: int = 1,
     cluster_all: bool = True, max_iter: int = 300, block: int = BLOCK,

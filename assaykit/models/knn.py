@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assaykit.operators.neighbors import nearest_neighbors
 from assaykit.operators.ordering import exact_quantiles
-from assaykit.table import c
+from assaykit.table import c, cut_lineage
 
 
 def _weighted(edges: DataFrame, query_id: str, weights: str) -> DataFrame:
@@ -52,7 +52,7 @@ def local_outlier_factor(
 
     With ``contamination="auto"`` rows with LOF above 1.5 are outliers, otherwise the given share of rows.
     """
-    edges = nearest_neighbors(df, df, features, k, row_id, row_id, p, exclude_self=True)
+    edges = cut_lineage(nearest_neighbors(df, df, features, k, row_id, row_id, p, exclude_self=True))  # read three times
     reach_of = edges.groupBy(row_id).agg(F.max("distance").alias("_kd"))
     joined = edges.join(reach_of.select(c(row_id).alias("neighbor"), "_kd"), "neighbor")
     density = joined.groupBy(row_id).agg(

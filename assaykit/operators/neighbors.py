@@ -1,9 +1,9 @@
 """Distance joins: k nearest rows, radius sums and sums over all rows, without a cross join.
 
-Points are cut into kd-tree cells learnt from a bounded sample. A query visits only the cells whose
-bounding box can hold an answer. Cells that hold many rows are split into hash chunks on both sides, so
-a task works on at most about BLOCK x BLOCK distances, computed in numpy, and emits per-query results
-(top k or sums) instead of pairs. Copies of a point are collapsed to one location with a count first.
+Points are cut into Voronoi cells around pivots from a bounded sample; every cell knows its radius and, in few dimensions, its
+box. A query visits only the cells that can hold an answer by the triangle inequality or the box. Inside a cell a task searches
+a ball tree. Cells that hold very many rows are split into hash chunks on both sides, and a task emits per-query results (top k
+or sums) instead of pairs. Copies of a point are collapsed to one location with a count first.
 """
 
 from __future__ import annotations
@@ -22,70 +22,133 @@ from pyspark.sql import types as T
 from assaykit.table import c, cut_lineage, features_array
 
 BLOCK = 2048
-MAX_CELLS = 4096
-SAMPLE_PER_CELL = 32
+# pivots travel to every task; with cells of TREE_BLOCK rows, each with its tree, they reach four billion positions
+MAX_CELLS = 1 << 16
+TREE_BLOCK = 1 << 16
+# boxes bound a cell better than balls in few dimensions only
+BOX_DIMENSIONS = 8
+LEAF = 256
 
 
 @dataclass(frozen=True)
 class Cells:
-    """A kd-tree of at most MAX_CELLS leaves with the true bounding box and size of every leaf."""
+    """Voronoi cells around pivots, with the radius, the box (in few dimensions) and the number of points of each."""
 
-    feature: np.ndarray
-    cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    leaf: np.ndarray
+    pivots: np.ndarray
+    size: np.ndarray
+    radius: np.ndarray
     low: np.ndarray | None = None
     high: np.ndarray | None = None
-    size: np.ndarray | None = None
+    p: float = 2.0
+
+    @property
+    def width(self) -> int:
+        return self.pivots.shape[1]
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), dtype=np.int64)
-        while True:
-            inner = self.feature[node] >= 0
-            if not inner.any():
-                return self.leaf[node]
-            rows = np.flatnonzero(inner)
-            at = node[rows]
-            goes_left = x[rows, self.feature[at]] <= self.cut[at]
-            node[rows] = np.where(goes_left, self.left[at], self.right[at])
+        out = np.zeros(len(x), dtype=np.int64)
+        step = max(1, (1 << 22) // len(self.pivots))
+        for s in range(0, len(x), step):
+            out[s : s + step] = near_squares(x[s : s + step], self.pivots).argmin(axis=1)
+        return out
 
     def nearest(self, x: np.ndarray, p: float) -> np.ndarray:
         """Smallest possible distance from each row of x to each cell."""
-        out = np.zeros((len(x), len(self.low)))
+        out = np.zeros((len(x), len(self.pivots)))
+        if self.low is not None:
+            for j in range(self.width):
+                gap = np.maximum(0.0, np.maximum(self.low[None, :, j] - x[:, j, None], x[:, j, None] - self.high[None, :, j]))
+                out = np.maximum(out, gap) if math.isinf(p) else out + gap**p
+            out = out if math.isinf(p) else out ** (1.0 / p)
+        if p == self.p and p >= 1:  # the triangle inequality holds for these distances only
+            if p == 2:
+                slack = 1e-15 * (self.width + 10) * ((x * x).sum(axis=1)[:, None] + (self.pivots**2).sum(axis=1))
+                away = np.sqrt(np.maximum(near_squares(x, self.pivots) - slack, 0.0))
+            else:
+                away = distances(x, self.pivots, p)
+            out = np.maximum(out, away - self.radius - 1e-9 * (away + self.radius))
+        return out
+
+
+def near_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances by a matrix product; rounding leaves about 1e-12 of the squared lengths."""
+    middle = b.mean(axis=0) if len(b) else 0.0
+    a, b = a - middle, b - middle
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2.0 * (a @ b.T), 0.0)
+
+
+class BallTree:
+    """A local tree over the points of one task: halves along the widest coordinate, each with its centre and radius."""
+
+    def __init__(self, y: np.ndarray, p: float) -> None:
+        self.y, self.p = y, p
+        self.nodes: list[tuple[np.ndarray, float, np.ndarray | None, int, int]] = []
+        self._grow(np.arange(len(y)))
+
+    def _grow(self, ids: np.ndarray) -> int:
+        at = len(self.nodes)
+        rows = self.y[ids]
+        centre = rows.mean(axis=0)
+        radius = float(distances(rows, centre[None, :], self.p).max())
+        self.nodes.append((centre, radius, ids, -1, -1))
+        if len(ids) > LEAF and radius > 0:
+            j = int(np.ptp(rows, axis=0).argmax())
+            order = np.argpartition(rows[:, j], len(ids) // 2)
+            left, right = self._grow(ids[order[: len(ids) // 2]]), self._grow(ids[order[len(ids) // 2 :]])
+            self.nodes[at] = (centre, radius, None, left, right)
+        return at
+
+    def nearest(self, x: np.ndarray, k: int, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, indices), sorted by both, of the k nearest points of each row; nothing beyond ``limit`` has to be found.
+
+        Missing ones are infinitely far. All rows descend together; a node is left out for the rows it cannot serve.
+        """
+        n = len(x)
+        best = np.full((n, k), np.inf)
+        index = np.full((n, k), len(self.y))
+
+        def visit(at: int, rows: np.ndarray, floor: np.ndarray) -> None:
+            kth = np.minimum(best[rows, -1], limit[rows])
+            go = floor <= kth
+            rows = rows[go]
+            if not len(rows):
+                return
+            _, _, ids, left, right = self.nodes[at]
+            if ids is not None:
+                d, i = _smallest(x[rows], self.y, ids, k, self.p)
+                both, names = np.hstack([best[rows], d]), np.hstack([index[rows], i])
+                order = np.lexsort((names, both), axis=1)[:, :k]
+                best[rows], index[rows] = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+                return
+            children = []
+            for child in (left, right):
+                centre, radius, _, _, _ = self.nodes[child]
+                away = distances(x[rows], centre[None, :], self.p)[:, 0]
+                bound = np.maximum(0.0, away - radius - 1e-9 * (away + radius)) if self.p >= 1 else np.zeros(len(rows))
+                children.append((float(away.mean()), child, bound))
+            for _, child, bound in sorted(children, key=lambda x: x[:2]):  # the child that is nearer to most comes first
+                visit(child, rows, bound)
+
+        if n and len(self.y):
+            visit(0, np.arange(n), np.zeros(n))
+        return best, index
+
+
+def _smallest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the points of one leaf, at most k of each row, exact; the product only picks candidates."""
+    if p == 2 and len(ids) > k:
+        rough = near_squares(x, y[ids])
+        scale = 1e-9 * (rough.max(axis=1) + ((y[ids] - y[ids].mean(axis=0)) ** 2).sum(axis=1).max() + 1e-300)
+        cut = np.partition(rough, k - 1, axis=1)[:, k - 1] + scale
+        width = int((rough <= cut[:, None]).sum(axis=1).max())
+        pick = np.argpartition(rough, min(width, len(ids)) - 1, axis=1)[:, :width]
+        chosen = ids[pick]
+        gap = np.zeros(chosen.shape)
         for j in range(x.shape[1]):
-            gap = np.maximum(0.0, np.maximum(self.low[None, :, j] - x[:, j, None], x[:, j, None] - self.high[None, :, j]))
-            out = np.maximum(out, gap) if math.isinf(p) else out + gap**p
-        return out if math.isinf(p) else out ** (1.0 / p)
-
-
-def _grow(sample: np.ndarray, cells: int) -> Cells:
-    feature, cut, left, right, leaf = [-1], [0.0], [-1], [-1], [0]
-    heap = [(len(sample), 0, sample)]
-    leaves = 1
-    while leaves < cells and heap:
-        heap.sort(key=lambda h: h[0])
-        count, node, rows = heap.pop()
-        spread = rows.max(axis=0) - rows.min(axis=0) if count else np.zeros(1)
-        if count < 2 or spread.max() <= 0:
-            continue
-        j = int(spread.argmax())
-        middle = float(np.median(rows[:, j]))
-        goes_left = rows[:, j] <= middle
-        if goes_left.all():
-            middle = float(rows[rows[:, j] < middle, j].max())
-            goes_left = rows[:, j] <= middle
-        for part in (rows[goes_left], rows[~goes_left]):
-            feature.append(-1), cut.append(0.0), left.append(-1), right.append(-1), leaf.append(0)
-            heap.append((len(part), len(feature) - 1, part))
-        feature[node], cut[node], left[node], right[node] = j, middle, len(feature) - 2, len(feature) - 1
-        leaves += 1
-    number = 0
-    for node, f in enumerate(feature):
-        if f < 0:
-            leaf[node] = number
-            number += 1
-    return Cells(np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(leaf))
+            step = x[:, j, None] - y[chosen, j]
+            gap += step * step
+        return np.sqrt(gap), chosen
+    return distances(x, y[ids], p), np.broadcast_to(ids, (len(x), len(ids)))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -114,31 +177,43 @@ def _plus_cell(df: DataFrame) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField("_cell", T.LongType())])
 
 
-def build_cells(points: DataFrame, block: int = BLOCK) -> tuple[DataFrame, Cells]:
-    """Tag points (array column ``_f``) with their cell; the boxes come back as a bounded table."""
-    shape = points.agg(F.count("*").alias("n"), F.max(F.size("_f")).alias("d")).first()
-    n, d = shape["n"], shape["d"] or 1
+def build_cells(points: DataFrame, block: int = BLOCK, p: float = 2.0, shape: tuple[int, int] | None = None) -> tuple[DataFrame, Cells]:
+    """Tag points (array column ``_f``) with their cell; the pivots come back as a bounded table. ``shape`` saves counting them."""
+    if shape is None:
+        shape = points.agg(F.count("*").alias("n"), F.max(F.size("_f")).alias("d")).first()
+    n, d = shape[0], max(shape[1] or 1, 1)
     wanted = min(MAX_CELLS, max(1, math.ceil(n / block)))
     if wanted == 1:
-        # one cell holds everything: its box rules nothing out and needs no pass
-        one = np.array([-1]), np.array([0.0]), np.array([-1]), np.array([-1]), np.array([0])
-        return points.withColumn("_cell", F.lit(0).cast("long")), Cells(*one, np.full((1, d), -np.inf), np.full((1, d), np.inf), np.array([n]))
-    sample = points.select("_f").orderBy(F.xxhash64("_f")).limit(SAMPLE_PER_CELL * wanted).toPandas()
-    tree = _grow(_matrix(sample["_f"]), wanted)
-    tagged = _with_cell(points, tree)
-    boxes = (
-        tagged.groupBy("_cell").agg(
-            F.count("*").alias("n"),
-            F.array(*[F.min(F.col("_f")[j]) for j in range(d)]).alias("lo"),
-            F.array(*[F.max(F.col("_f")[j]) for j in range(d)]).alias("hi"),
-        ).collect()
-    )
-    total = int(tree.leaf.max()) + 1
-    low, high, size = np.full((total, d), np.inf), np.full((total, d), -np.inf), np.zeros(total, dtype=np.int64)
-    for r in boxes:
-        low[r["_cell"]], high[r["_cell"]], size[r["_cell"]] = r["lo"], r["hi"], r["n"]
-    filled = Cells(tree.feature, tree.cut, tree.left, tree.right, tree.leaf, low, high, size)
-    return tagged, filled
+        # one cell holds everything: nothing rules it out and it needs no pass
+        return points.withColumn("_cell", F.lit(0).cast("long")), Cells(np.zeros((1, d)), np.array([n]), np.array([np.inf]), p=p)
+    pivots = _matrix(points.select("_f").orderBy(F.xxhash64("_f")).limit(wanted).toPandas()["_f"])
+    cells = Cells(pivots, np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), p=p)
+    tagged = _with_cell(points, cells)
+    boxed = d <= BOX_DIMENSIONS
+
+    def extent(batches):
+        size, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+        low, high = np.full(pivots.shape, np.inf), np.full(pivots.shape, -np.inf)
+        for pdf in batches:
+            x, at = _matrix(pdf["_f"]), pdf["_cell"].to_numpy()
+            size += np.bincount(at, minlength=len(pivots))
+            gap = np.abs(x - pivots[at])
+            np.maximum.at(radius, at, gap.max(axis=1) if math.isinf(p) else (gap**p).sum(axis=1) ** (1.0 / p))
+            if boxed:
+                np.minimum.at(low, at, x)
+                np.maximum.at(high, at, x)
+        k = np.flatnonzero(size)
+        yield pd.DataFrame({"cell": k, "n": size[k], "r": radius[k], "lo": list(low[k]) if boxed else [[]] * len(k), "hi": list(high[k]) if boxed else [[]] * len(k)})
+
+    parts = tagged.select("_f", "_cell").mapInPandas(extent, "cell long, n long, r double, lo array<double>, hi array<double>")
+    sides = [F.array(*[f(F.col(name)[j]) for j in range(d)]).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))] if boxed else []
+    size, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    low, high = np.full(pivots.shape, np.inf), np.full(pivots.shape, -np.inf)
+    for r in parts.groupBy("cell").agg(F.sum("n").alias("n"), F.max("r").alias("r"), *sides).collect():  # one row a cell
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
+        if boxed:
+            low[r["cell"]], high[r["cell"]] = r["lo"], r["hi"]
+    return tagged, Cells(pivots, size, radius * (1 + 1e-12), low if boxed else None, high if boxed else None, p)
 
 
 def block_join(
@@ -151,11 +226,17 @@ def block_join(
     p: float = 2.0,
     home_only: bool = False,
     block: int = BLOCK,
+    point_block: int | None = None,
+    allowed: Callable[[pd.DataFrame], np.ndarray] | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """Run ``kernel(query rows, point rows, query matrix, point matrix)`` on every block pair that matters.
 
-    ``radius`` names a query column; cells farther away than it are skipped. Without it every cell counts.
+    ``radius`` names a query column; cells farther away than it are skipped. Without it every cell counts. A task gets at
+    most about ``block`` queries and ``point_block`` points of a cell. ``allowed(queries)`` may rule out further cells. Where there is one cell,
+    ``most`` queries save counting them.
     """
+    point_block = point_block or block
     out_schema = _plus_cell(queries)
     names = queries.columns
 
@@ -163,8 +244,9 @@ def block_join(
         for pdf in batches:
             if not len(pdf):
                 continue
-            for start in range(0, len(pdf), 512):
-                part = pdf.iloc[start : start + 512]
+            step = max(1, min(512, (1 << 22) // len(cells.size)))
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start : start + step]
                 x = _matrix(part["_f"])
                 if home_only:
                     yield part.assign(_cell=cells.assign(x))[[*names, "_cell"]]
@@ -172,17 +254,19 @@ def block_join(
                 keep = np.ones((len(x), len(cells.size)), dtype=bool)
                 if radius is not None:
                     keep = cells.nearest(x, p) <= part[radius].to_numpy()[:, None] * (1 + 1e-12)
+                if allowed is not None:
+                    keep &= allowed(part)
                 row, cell = np.nonzero(keep & (cells.size > 0)[None, :])
                 yield part.iloc[row].assign(_cell=cell.astype(np.int64))[[*names, "_cell"]]
 
     many = len(cells.size) > 1
     visits = queries.mapInPandas(candidates, out_schema) if many else queries.withColumn("_cell", F.lit(0).cast("long"))
     spark = queries.sparkSession
-    counts = {r["_cell"]: r["count"] for r in visits.groupBy("_cell").count().collect()}
+    counts = {0: most} if most is not None and not many else {r["_cell"]: r["count"] for r in visits.groupBy("_cell").count().collect()}
     plan = [
-        (int(k), max(1, math.ceil(v / block)), max(1, math.ceil(int(cells.size[k]) / block))) for k, v in counts.items()
+        (int(k), max(1, math.ceil(v / block)), max(1, math.ceil(int(cells.size[k]) / point_block))) for k, v in counts.items()
     ]
-    table = F.broadcast(spark.createDataFrame(plan, "_cell long, _nq int, _np int"))  # one row per cell, <= MAX_CELLS
+    table = F.broadcast(spark.createDataFrame(plan, "_cell long, _nq int, _np int"))  # one row a cell, at most MAX_CELLS
 
     def spread(df: DataFrame, own: Column, other: str, own_name: str, other_name: str) -> DataFrame:
         numbered = df.join(table, "_cell").withColumn(own_name, own.cast("int"))
@@ -233,25 +317,32 @@ def nearest_neighbors(
     ).withColumn("_r", F.row_number().over(members)).filter(F.col("_r") <= want).drop("_r")
     # both sides are read by several jobs below
     pool = cut_lineage(pool)
-    tagged, cells = build_cells(pool, block)
+    tagged, cells = build_cells(pool, block, p)
     spots = cut_lineage(queries.select(features_array(features).alias("_f")).distinct())
-    id_type = dict(pool.dtypes)["neighbor"]
-    extra = "".join(f", `{n}` {dict(pool.dtypes)[n]}" for n in payload)
-    schema = f"_f array<double>, neighbor {id_type}, distance double{extra}"
+    found = _nearest_spots(spots, tagged, cells, want, dict(pool.dtypes), list(payload), p, block)
+    rows = queries.select(c(query_id).alias(query_id), features_array(features).alias("_f")).join(found, "_f")
+    if exclude_self:
+        rows = rows.filter(c(query_id) != F.col("neighbor"))
+    final = W.partitionBy(query_id).orderBy("distance", "neighbor")
+    rows = rows.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
+    return rows.select(query_id, "neighbor", "distance", "rank", *[c(n) for n in payload])
+
+
+def _nearest_spots(
+    spots: DataFrame, tagged: DataFrame, cells: Cells, want: int, kinds: dict[str, str], payload: list[str], p: float, block: int, limit: str | None = None,
+) -> DataFrame:
+    """(_f, neighbor, distance, payload): the ``want`` nearest points of each position, within the column ``limit`` if one is named."""
+    extra = "".join(f", `{n}` {kinds[n]}" for n in payload)
+    schema = f"_f array<double>, neighbor {kinds['neighbor']}, distance double{extra}"
 
     def top(a, b, x, y):
         order = np.argsort(b["neighbor"].to_numpy(), kind="stable")
         b, y = b.iloc[order], y[order]
-        m = min(want, len(b))
-        rows, cols, values = [], [], []
-        for start in range(0, len(a), 256):
-            d = distances(x[start : start + 256], y, p)
-            best = np.argsort(d, axis=1, kind="stable")[:, :m]
-            rows.append(np.repeat(np.arange(start, start + len(d)), m))
-            cols.append(best.ravel())
-            values.append(np.take_along_axis(d, best, axis=1).ravel())
-        r, q = np.concatenate(rows), np.concatenate(cols)
-        out = {"_f": a["_f"].to_numpy()[r], "neighbor": b["neighbor"].to_numpy()[q], "distance": np.concatenate(values)}
+        far = a["_radius"].to_numpy() * (1 + 1e-12) if "_radius" in a else np.full(len(a), np.inf)
+        d, at = BallTree(y, p).nearest(x, min(want, len(b)), far)
+        r, k = np.nonzero(np.isfinite(d))
+        q = at[r, k]
+        out = {"_f": a["_f"].to_numpy()[r], "neighbor": b["neighbor"].to_numpy()[q], "distance": d[r, k]}
         out.update({n: b[n].to_numpy()[q] for n in payload})
         return pd.DataFrame(out)
 
@@ -260,22 +351,37 @@ def nearest_neighbors(
     def best(df: DataFrame) -> DataFrame:
         return df.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= want)
 
-    if len(cells.size) > 1:
+    sizes = {"p": p, "block": block, "point_block": max(block, min(TREE_BLOCK, int(cells.size.max(initial=1))))}
+    if limit is None and len(cells.size) > 1:
         # first look into the query's own cell for an upper bound of the k-th distance
-        home = best(block_join(spots, tagged, cells, top, schema, p=p, home_only=True, block=block))
-        bound = home.groupBy("_f").agg(
-            F.when(F.count("*") >= want, F.max("distance")).otherwise(F.lit(float("inf"))).alias("_radius")
-        )
-        spots = spots.join(bound, "_f", "left").withColumn("_radius", F.coalesce("_radius", F.lit(float("inf"))))
-        found = best(block_join(spots, tagged, cells, top, schema, radius="_radius", p=p, block=block))
-    else:
-        found = best(block_join(spots, tagged, cells, top, schema, p=p, block=block))
-    rows = queries.select(c(query_id).alias(query_id), features_array(features).alias("_f")).join(found.drop("_r"), "_f")
-    if exclude_self:
-        rows = rows.filter(c(query_id) != F.col("neighbor"))
-    final = W.partitionBy(query_id).orderBy("distance", "neighbor")
-    rows = rows.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
-    return rows.select(query_id, "neighbor", "distance", "rank", *[c(n) for n in payload])
+        spots = _bounded(spots, best(block_join(spots, tagged, cells, top, schema, home_only=True, **sizes)), want)
+        limit = "_radius"
+    elif limit is not None:
+        spots = spots.withColumn("_radius", F.col(limit))
+    return best(block_join(spots, tagged, cells, top, schema, radius=limit and "_radius", **sizes)).drop("_r")
+
+
+def _bounded(spots: DataFrame, home: DataFrame, want: int) -> DataFrame:
+    bound = home.groupBy("_f").agg(F.when(F.count("*") >= want, F.max("distance")).otherwise(F.lit(float("inf"))).alias("_radius"))
+    return spots.join(bound, "_f", "left").withColumn("_radius", F.coalesce("_radius", F.lit(float("inf"))))
+
+
+def cells_visited(queries: DataFrame, points: DataFrame, features: Sequence[str], radius: float, query_id: str, p: float = 2.0, block: int = BLOCK) -> DataFrame:
+    """(query id, cells, visited): how many cells the points have, and how many a search within ``radius`` visits for each query."""
+    spots = cut_lineage(locations(points, features))
+    _, cells = build_cells(spots, block, p)
+    rows = placed(queries, features).select(c(query_id).alias(query_id), features_array(features).alias("_f"))
+    filled = int((cells.size > 0).sum())
+
+    def count(batches):
+        for pdf in batches:
+            x = _matrix(pdf["_f"])
+            step = max(1, min(512, (1 << 22) // len(cells.size)))
+            for s in range(0, len(x), step):
+                near = (cells.nearest(x[s : s + step], p) <= radius * (1 + 1e-12)) & (cells.size > 0)
+                yield pd.DataFrame({query_id: pdf[query_id].iloc[s : s + step], "cells": filled, "visited": near.sum(axis=1)})
+
+    return rows.mapInPandas(count, f"`{query_id}` {dict(rows.dtypes)[query_id]}, cells long, visited long")
 
 
 def sums_over(
@@ -286,7 +392,7 @@ def sums_over(
 
     ``tagged`` holds ``_f`` and ``_n``. The result is keyed by ``_f``.
     """
-    width = len(cells.low[0])
+    width = cells.width
     names = [f"_s{j}" for j in range(width)] if coordinates else []
     schema = "_f array<double>, total double" + "".join(f", {n} double" for n in names)
 
@@ -340,7 +446,7 @@ def euclidean_silhouette(df: DataFrame, features: Sequence[str], label: str, row
     sizes = df.groupBy(c(label).alias("other")).agg(F.count("*").alias("size"))
     spots = df.select(features_array(features).alias("_f"), c(label).alias("_own")).distinct()
     own = F.col("other") == F.col("_own")
-    per_spot = spots.join(sums.join(F.broadcast(sizes), "other"), "_f").groupBy("_f", "_own").agg(
+    per_spot = spots.join(sums.join(sizes, "other"), "_f").groupBy("_f", "_own").agg(
         F.max(F.when(own, F.try_divide(F.col("total"), (F.col("size") - 1).cast("double")))).alias("a"),
         F.max(F.when(own, F.col("size"))).alias("size"),
         F.min(F.when(~own, F.col("total") / F.col("size"))).alias("b"),

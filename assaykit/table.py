@@ -109,6 +109,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, for loops that join what they cut with itself.
+
+    A checkpoint keeps the size its plan was estimated to have, and joins multiply such estimates, so after some rounds planning
+    deals with numbers of thousands of digits. A written table has the size of its files.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def features_array(features: Sequence[str]) -> Column:
     return F.array(*[c(f).cast("double") for f in features])
 

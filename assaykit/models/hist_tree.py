@@ -1,8 +1,9 @@
 """Level-wise histogram trees: second-order boosting, random-cut forests and robust boosting.
 
-Rows are binned once into one byte per feature. Growing one level is one pass: every task adds its rows
-to (node, feature, bin) sums and only those sums travel. The trees so far are small arrays inside the
-task, so no per-row node column is rewritten; boosting scores are folded into the table every few trees.
+Rows are binned once into one byte per feature and kept in blocks of arrays with their running scores. Growing one level
+is one pass, or several where its sums are wide: every task adds its rows to (node, feature, bin) sums and only those sums
+travel. Of two siblings the smaller is read and the larger follows from their parent. Scores move on by a tree as the next
+tree's first pass reads the blocks. Bin edges weigh rows alike: at the first tree all curvatures are equal.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.operators.blocks import each, pack, sum_blocks, update
 from assaykit.operators.split import class_counts
 from assaykit.operators.sums import balanced, fan_out, sum_arrays
 from assaykit.table import c, cut_lineage
@@ -23,7 +26,10 @@ from assaykit.table import c, cut_lineage
 MISSING = 255
 MAX_BINS = 64
 SUM_WIDTH = 2_000_000
-FOLD_EVERY = 10
+# sums of one level that the driver keeps for the next; wider levels read both siblings
+KEPT_SUMS = 20_000_000
+# rounds between reliable checkpoints of the scores
+FOLD_EVERY = 20
 
 
 @dataclass
@@ -240,123 +246,158 @@ def boost(
     outputs = 1 if classes is None or len(classes) == 2 else len(classes)
     binning = fit_binning(df, features, bins)
     d = len(features)
-    table = _binned(df, binning, target, row_id, outputs).persist()
-    fan = fan_out(table)
     base, delta = np.zeros(outputs), 1.0
+    rows = df.select(
+        F.xxhash64(c(row_id)).alias("h"), c(target).cast("double").alias("y"), *[c(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+    ).filter("y is not null")
     if classes is None:
-        row = table.agg(F.avg("y").alias("m"), F.percentile_approx("y", [0.5, quantile], 10_000).alias("q"), F.stddev_pop("y").alias("s")).first()
+        row = rows.agg(F.avg("y").alias("m"), F.percentile_approx("y", [0.5, quantile], 10_000).alias("q"), F.stddev_pop("y").alias("s")).first()
         start = {"squared_error": row["m"], "absolute_error": row["q"][0], "huber": row["q"][0], "quantile": row["q"][1]}[loss]
         base, delta = np.array([start]), 1.35 * (row["s"] or 1.0)
+
+    def make(columns):
+        x = np.column_stack([columns[f"x{i}"] for i in range(d)]).astype(np.float64)
+        return {
+            "h": columns["h"].astype(np.int64), "y": columns["y"].astype(np.float64), "codes": binning.codes(x),
+            "score": np.tile(base.astype(np.float64), (len(x), 1)),
+        }
+
+    blocks = pack(balanced(rows), make, ["h", "y", "codes", "score"]).persist()
+    fan = fan_out(blocks)
     trees: list[list[Tree]] = []
-    folded, history, old = 0, [], []
+    history, held = [], [blocks]
     width = MAX_BINS + 1
     rng = np.random.default_rng(seed)
+
+    def keep_of(h: np.ndarray, step: int) -> np.ndarray:
+        return np.ones(len(h)) if subsample >= 1 else (_mix(h, seed + step) < subsample).astype(float)
+
     try:
         for step in range(rounds):
             group = [Tree() for _ in range(outputs)]
             chosen = [np.sort(rng.permutation(d)[: max(1, math.ceil(colsample * d))]) for _ in range(outputs)]
-            open_nodes = [[0] for _ in range(outputs)]
-            recent = trees[folded:]
+            open_nodes = [(k, 0) for k in range(outputs)]
+            known: dict[tuple[int, int], np.ndarray] = {}  # sums of open nodes that follow from their parent and sibling
             for depth in range(max_depth):
-                slots = [(k, n) for k in range(outputs) for n in open_nodes[k]]
-                if not slots:
+                if not open_nodes:
                     break
-                where = {s: i for i, s in enumerate(slots)}
-
-                def add(pdf, slots=slots, where=where, group=group, recent=recent, step=step):
-                    code = _codes(pdf, d)
-                    y = pdf["y"].to_numpy()
-                    score = np.stack(pdf["score"].to_numpy()) + base
-                    for past in recent:
-                        for k, tree in enumerate(past):
-                            score[:, k] += rate * np.asarray(tree.value)[tree.leaves(code)]
-                    g, h, value = _slopes(loss, y, score, quantile, delta)
-                    keep = np.ones(len(y)) if subsample >= 1 else (_mix(pdf["h"].to_numpy(), seed + step) < subsample).astype(float)
-                    out = np.zeros((len(slots), d, width, 3))
-                    slot_code = np.where(code == MISSING, MAX_BINS, code).astype(np.int64)
-                    for k, tree in enumerate(group):
-                        leaf = tree.leaves(code)
-                        table_of = np.full(len(tree.feature), -1)
-                        for (kk, n), i in where.items():
-                            if kk == k:
-                                table_of[n] = i
-                        at = table_of[leaf]
-                        live = np.flatnonzero(at >= 0)
-                        for j in chosen[k]:
-                            flat = at[live] * width + slot_code[live, j]
-                            for s, weight in enumerate((g[:, k] * keep, h[:, k] * keep, keep)):
-                                out[:, j, :, s] += np.bincount(flat, weights=weight[live], minlength=len(slots) * width).reshape(len(slots), width)
-                    return np.concatenate([out.ravel(), [value.sum(), float(len(y))]])
-
-                sums = sum_arrays(table, add, fan)
-                if depth == 0:
-                    history.append(float(sums[-2] / sums[-1]))
-                hist = sums[:-2].reshape(len(slots), d, width, 3)
-                hist[..., 2] = np.rint(hist[..., 2])  # the library's sums pass through a mean; counts are whole numbers
-                new_open = [[] for _ in range(outputs)]
-                for (k, n), i in where.items():
-                    tree = group[k]
-                    first = chosen[k][0]
-                    G, H, N = hist[i, first].sum(axis=0)
+                asked = [s for s in open_nodes if s not in known]
+                per_pass = max(1, SUM_WIDTH // (d * width * 3))
+                for begin in range(0, len(asked), per_pass):
+                    part = asked[begin : begin + per_pass]
+                    sums = _level_sums(blocks, group, part, chosen, d, outputs, loss, quantile, delta, keep_of, step, fan)
+                    if depth == 0 and begin == 0:
+                        history.append(float(sums[-2] / sums[-1]))
+                    for s, hist in zip(part, sums[:-2].reshape(len(part), d, width, 3)):
+                        hist[..., 2] = np.rint(hist[..., 2])  # the library's sums pass through a mean; counts are whole numbers
+                        known[s] = hist
+                for s, (parent, sibling) in list(_siblings(open_nodes, known).items()):
+                    known[s] = parent - known[sibling]
+                after, parents = [], {}
+                for k, n in open_nodes:
+                    tree, hist = group[k], known[k, n]
+                    G, H, N = hist[chosen[k][0]].sum(axis=0)
                     tree.value[n], tree.count[n] = _leaf(G, H, l1, l2), float(N)
-                    best = _best_cut(hist[i], chosen[k], G, H, N, binning, l1, l2, min_child, gamma)
+                    best = _best_cut(hist, chosen[k], G, H, N, binning, l1, l2, min_child, gamma)
                     if best is not None:
                         # both children are known from the cut, so the last level needs no pass of its own
                         cut, (gl, hl, nl) = best
                         kids = tree.split(n, *cut)
                         for kid, (g, h, m) in zip(kids, ((gl, hl, nl), (G - gl, H - hl, N - nl))):
                             tree.value[kid], tree.count[kid] = _leaf(g, h, l1, l2), float(m)
-                        new_open[k] += kids
-                open_nodes = new_open
+                            after.append((k, kid))
+                        parents[k, n] = (kids, hist)
+                open_nodes = after
+                # the sums of the smaller child are read, those of the larger one are what is left of the parent's
+                known = {}
+                if len(parents) * d * width * 3 <= KEPT_SUMS:
+                    for (k, _), (kids, hist) in parents.items():
+                        small, large = sorted(kids, key=lambda x: group[k].count[x])
+                        known[k, large] = (hist, (k, small))
             if loss in ("absolute_error", "quantile"):
-                share = 0.5 if loss == "absolute_error" else quantile
-                _refill(table, group[0], recent, base, rate, d, share, subsample, seed + step)
+                _refill(blocks, group[0], d, 0.5 if loss == "absolute_error" else quantile, subsample, seed + step)
             trees.append(group)
-            if len(trees) - folded >= FOLD_EVERY and step < rounds - 1:
-                fresh = _fold(table, trees[folded:], rate, d)
-                folded = len(trees)
-                old.append(table)
-                table = cut_lineage(fresh)
-                old.pop().unpersist()
+            if step < rounds - 1:
+                blocks = _next_scores(blocks, group, rate, d, outputs)
+                if (step + 1) % FOLD_EVERY == 0:
+                    blocks = cut_lineage(blocks)
+                blocks = blocks.persist()  # filled by the first pass of the next round
+                held.append(blocks)
+                while len(held) > 2:
+                    held.pop(0).unpersist()
     finally:
-        table.unpersist()
+        for one in held:
+            one.unpersist()
     return TreeEnsemble(binning, trees, "boost", base, rate, tuple(classes) if classes is not None else None, tuple(history))
 
 
-def _refill(table: DataFrame, tree: Tree, recent: list, base: np.ndarray, rate: float, d: int, share: float, subsample: float, seed: int) -> None:
+def _siblings(open_nodes: list, known: dict) -> dict:
+    """Open nodes whose sums are still to be taken from (sums of the parent, sibling)."""
+    return {s: known[s] for s in open_nodes if isinstance(known[s], tuple)}
+
+
+def _arrays(n: int, parts: dict, d: int, outputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return (
+        np.frombuffer(parts["h"], np.int64), np.frombuffer(parts["y"], np.float64), np.frombuffer(parts["codes"], np.uint8).reshape(n, d),
+        np.frombuffer(parts["score"], np.float64).reshape(n, outputs),
+    )
+
+
+def _level_sums(blocks, group, nodes, chosen, d, outputs, loss, quantile, delta, keep_of, step, fan) -> np.ndarray:
+    """Sums of slope, curvature and rows by (node, feature, bin), then the summed loss and the number of rows."""
+    width = MAX_BINS + 1
+
+    def add(n, parts):
+        h, y, code, score = _arrays(n, parts, d, outputs)
+        g, curve, value = _slopes(loss, y, score, quantile, delta)
+        keep = keep_of(h, step)
+        out = np.zeros((len(nodes), d, width, 3))
+        slot_code = np.where(code == MISSING, MAX_BINS, code).astype(np.int64)
+        for k, tree in enumerate(group):
+            mine = [(i, node) for i, (kk, node) in enumerate(nodes) if kk == k]
+            if not mine:
+                continue
+            table = np.full(len(tree.feature), -1)
+            for i, node in mine:
+                table[node] = i
+            at = table[tree.leaves(code)]
+            live = np.flatnonzero(at >= 0)
+            parts_ = [w[live] for w in (g[:, k] * keep, curve[:, k] * keep, keep)]
+            for j in chosen[k]:
+                flat = at[live] * width + slot_code[live, j]
+                for s, weight in enumerate(parts_):
+                    out[:, j, :, s] += np.bincount(flat, weights=weight, minlength=len(nodes) * width).reshape(len(nodes), width)
+        return np.concatenate([out.ravel(), [value.sum(), float(n)]])
+
+    return sum_blocks(blocks, add, len(nodes) * d * width * 3 + 2, fan)
+
+
+def _refill(blocks: DataFrame, tree: Tree, d: int, share: float, subsample: float, seed: int) -> None:
     """Set each leaf to the ``share`` quantile of its residuals, within 1e-5 in rank; one row a leaf comes back."""
 
     def residuals(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            code = _codes(pdf, d)
-            score = np.stack(pdf["score"].to_numpy())[:, 0] + base[0]
-            for past in recent:
-                score += rate * np.asarray(past[0].value)[past[0].leaves(code)]
-            keep = slice(None) if subsample >= 1 else _mix(pdf["h"].to_numpy(), seed) < subsample
-            yield pd.DataFrame({"leaf": tree.leaves(code)[keep].astype(np.int32), "r": (pdf["y"].to_numpy() - score)[keep]})
-
-    rows = table.mapInPandas(residuals, "leaf int, r double").groupBy("leaf").agg(F.percentile_approx("r", share, 100_000).alias("v")).collect()
+        for batch in batches:
+            for n, parts in each(batch):
+                h, y, code, score = _arrays(n, parts, d, 1)
+                keep = slice(None) if subsample >= 1 else _mix(h, seed) < subsample
+                yield pa.RecordBatch.from_arrays([pa.array(tree.leaves(code)[keep].astype(np.int32)), pa.array((y - score[:, 0])[keep])], ["leaf", "r"])
+
+    rows = blocks.mapInArrow(residuals, "leaf int, r double").groupBy("leaf").agg(F.percentile_approx("r", share, 100_000).alias("v")).collect()
     for r in rows:
         tree.value[r["leaf"]] = r["v"]
 
 
-def _fold(table: DataFrame, groups: list, rate: float, d: int) -> DataFrame:
-    """Move the finished trees into the running score."""
+def _next_scores(blocks: DataFrame, group: list, rate: float, d: int, outputs: int) -> DataFrame:
+    """Move a finished group of trees into the running scores."""
 
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            code = _codes(pdf, d)
-            score = np.stack(pdf["score"].to_numpy()).copy()
-            for group in groups:
-                for k, tree in enumerate(group):
-                    score[:, k] += rate * np.asarray(tree.value)[tree.leaves(code)]
-            yield pdf.assign(score=list(score))
-
-    return table.mapInPandas(run, table.schema)
+    def change(n, parts):
+        _, _, code, score = _arrays(n, parts, d, outputs)
+        out = score.copy()
+        for k, tree in enumerate(group):
+            out[:, k] += rate * np.asarray(tree.value)[tree.leaves(code)]
+        return {"score": out}
+
+    return update(blocks, change)
 
 
 def _leaf(g: float, h: float, l1: float, l2: float) -> float:

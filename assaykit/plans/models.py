@@ -41,27 +41,60 @@ def _codes(df: DataFrame, target: str) -> tuple[int, ...]:
     return tuple(sorted(int(k) for k in class_counts(df, target)))
 
 
+@dataclass(frozen=True)
+class ByTransform:
+    """Predicts with the ``transform`` of a fitted model."""
+
+    model: object
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+
+@dataclass(frozen=True)
+class ByLibrary:
+    """Predicts with a library pipeline."""
+
+    model: object
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return trees.predict(self.model, df)
+
+
+@dataclass(frozen=True)
+class ByNeighbours:
+    """Predicts from training rows, which are the model."""
+
+    predictor: Callable
+    train: DataFrame
+    features: tuple[str, ...]
+    target: str
+    row_id: str
+    settings: dict
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        found = self.predictor(self.train, df, self.features, self.target, self.row_id, **self.settings)
+        return df.join(found.select(self.row_id, "prediction"), self.row_id)
+
+
 def _via_transform(fit):
     def run(train, features, target, row_id, **kw):
-        return fit(train, features, target, row_id, **kw).transform
+        return ByTransform(fit(train, features, target, row_id, **kw))
 
     return run
 
 
 def _mllib(fit):
     def run(train, features, target, row_id, **kw):
-        model = fit(train, features, target, **kw)
-        return lambda df: trees.predict(model, df)
+        return ByLibrary(fit(train, features, target, **kw))
 
     return run
 
 
 def _knn(predictor):
     def run(train, features, target, row_id, **kw):
-        def predict(df):
-            return df.join(predictor(train, df, features, target, row_id, **kw).select(row_id, "prediction"), row_id)
-
-        return predict
+        kept = train.select(c(row_id), *[c(f) for f in features], c(target))
+        return ByNeighbours(predictor, kept, tuple(features), target, row_id, kw)
 
     return run
 

@@ -52,13 +52,21 @@ class Preparation:
             chosen = tuple(features)
             sample = polynomial_features(train, chosen, self.degree, self.interaction_only, include_bias=False)
             features = sample.columns
+            steps.append(Expansion(chosen, self.degree, self.interaction_only))
+        return FittedPreparation(tuple(features), tuple(steps))
 
-            def expand(df: DataFrame, chosen=chosen) -> DataFrame:
-                keep = [n for n in df.columns if n not in chosen]
-                return polynomial_features(df, chosen, self.degree, self.interaction_only, include_bias=False, keep=keep)
 
-            steps.append(expand)
-        return FittedPreparation(tuple(features), tuple(steps))
+@dataclass(frozen=True)
+class Expansion:
+    """Replaces features by their polynomial terms."""
+
+    features: tuple[str, ...]
+    degree: int
+    interaction_only: bool
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        keep = [n for n in df.columns if n not in self.features]
+        return polynomial_features(df, self.features, self.degree, self.interaction_only, include_bias=False, keep=keep)
 
 
 @dataclass(frozen=True)

@@ -15,6 +15,7 @@ from assaykit.plans.models import MENU, as_code, score_table
 from assaykit.plans.preparation import Preparation
 from assaykit.plans.search import search
 from assaykit.sources.sinks import save_with_identifier
+from assaykit.sources.store import save_fitted
 from assaykit.sources.tracking import record_run
 from assaykit.table import TableSpec, c
 
@@ -63,6 +64,26 @@ class Workflow:
         return WorkflowResult(self, prep, predictors, chosen, train, test, classes)
 
 
+@dataclass(frozen=True)
+class FittedWorkflow:
+    """A fitted chain and its models, without the rows they were fitted on; ``classes`` has the labels of coded targets."""
+
+    row_id: str
+    prep: object
+    predictors: dict
+    classes: dict = field(default_factory=dict)
+
+    def score_application(self, df: DataFrame) -> DataFrame:
+        """Works on batch and streaming tables; classes come back as their labels."""
+
+        def named(target, predict):
+            label = F.get(F.array(*[F.lit(v) for v in self.classes.get(target, ())]), F.col("prediction").cast("int"))
+            return lambda rows: predict(rows).withColumn("prediction", label) if target in self.classes else predict(rows)
+
+        predictors = {t: named(t, p) for t, p in self.predictors.items()}
+        return score_table(df, self.row_id, self.prep.transform, predictors, list(self.prep.features))
+
+
 @dataclass(frozen=True)
 class WorkflowResult:
     workflow: Workflow
@@ -96,14 +117,17 @@ class WorkflowResult:
             out = one if out is None else out.unionByName(one)
         return out
 
+    def fitted(self) -> FittedWorkflow:
+        """What scoring needs: the chain, the models and the labels."""
+        return FittedWorkflow(self.workflow.spec.row_id, self.prep, self.predictors, self.classes)
+
     def score_application(self, df: DataFrame) -> DataFrame:
         """Works on batch and streaming tables; classes come back as their labels."""
+        return self.fitted().score_application(df)
 
-        def named(target, predict):
-            return lambda rows: predict(rows).withColumn("prediction", self._label(target)) if target in self.classes else predict(rows)
-
-        predictors = {t: named(t, p) for t, p in self.predictors.items()}
-        return score_table(df, self.workflow.spec.row_id, self.prep.transform, predictors, list(self.prep.features))
+    def save(self, path: str) -> str:
+        """Store what scoring needs; ``store.load_fitted`` gives a ``FittedWorkflow`` back."""
+        return save_fitted(self.train.sparkSession, self.fitted(), path)
 
     def persist(self, root: str, experiment: str) -> str:
         spark = self.train.sparkSession

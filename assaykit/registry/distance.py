@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assaykit.models.density import dbscan, mean_shift
 from assaykit.models.knn import knn_classification, knn_regression, local_outlier_factor
 from assaykit.operators import evaluate
-from assaykit.operators.neighbors import build_cells, euclidean_silhouette, locations, nearest_neighbors, sums_over
+from assaykit.operators.neighbors import build_cells, cells_visited, euclidean_silhouette, locations, nearest_neighbors, sums_over
 from assaykit.operators.split import random_split
 from assaykit.plans import timeseries as ts
 from assaykit.registry.core import GEO_SQL, dims, geo, query, rounded, vectors, vectors_sql
@@ -40,6 +40,13 @@ def neighbours(spark, sf):
     return rounded(nearest_neighbors(t, t, dims(64), 5, "vec_id", "vec_id", exclude_self=True))
 
 
+@query("j5_cells_visited")
+def visited(spark, sf):
+    """How many cells a search by place visits for each sample."""
+    t = geo(spark, sf)
+    return cells_visited(t, t, ["latitude", "longitude"], 2.0, "row_id", block=64)
+
+
 def _split_sql(n: int) -> str:
     u = hash_uniform_sql(42, "vec_id")
     return f"train AS (SELECT * FROM vectors WHERE {u} >= 0.2), test AS (SELECT * FROM vectors WHERE {u} < 0.2)"

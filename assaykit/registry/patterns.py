@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaykit.models import cluster, decompose, linear
+from assaykit.models.hierarchy import density_tree
 from assaykit.models.isolation import isolation_forest
 from assaykit.operators import columns, evaluate, explain
 from assaykit.operators.sums import balanced
 from assaykit.registry.core import BINARY_FEATURES, SAMPLES_SQL, dims, query, rounded, samples, vectors, vectors_sql
-from assaykit.registry.distance import DBSCAN_SQL, EPS, MIN_SAMPLES, _knn_sql
+from assaykit.registry.distance import DBSCAN_SQL, EPS, MIN_SAMPLES, _d2, _knn_sql
 from assaykit.registry.linear import scaled_binary
 
 
@@ -45,6 +46,16 @@ def optics(spark, sf):
     return rounded(cluster.optics(vectors(spark, sf, 4), dims(4), "vec_id", MIN_SAMPLES, EPS))
 
 
+CUT_EPS = 1.17
+CUT_SQL = DBSCAN_SQL.replace(_d2(4), _d2(64)).replace(f"<= {EPS})", f"<= {CUT_EPS})")
+
+
+@query("k7_density_cut", f"WITH RECURSIVE {vectors_sql(64)}, {CUT_SQL} SELECT * FROM flat")
+def density_cut(spark, sf):
+    """All coordinates; the tree of mutual reachability is cut at one eps."""
+    return density_tree(vectors(spark, sf, 64), dims(64), "vec_id", MIN_SAMPLES).cut(CUT_EPS)
+
+
 @query("k8_cluster_centres", f"WITH {vectors_sql(64)} SELECT label AS cluster, count(*) AS n, {', '.join(f'round(avg(x{i}), 8) + 0.0 AS x{i}' for i in range(64))} FROM vectors GROUP BY 1")
 def centres(spark, sf):
     t = vectors(spark, sf, 64).withColumnRenamed("label", "cluster")

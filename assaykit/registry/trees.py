@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaykit.models import hist_tree, mlp, trees
+from assaykit.models import forest, hist_tree, mlp, trees
 from assaykit.operators import evaluate
 from assaykit.registry.core import BINARY_FEATURES, SAMPLES_SQL, dims, query, rounded, samples, vectors
 from assaykit.registry.linear import scaled_binary
+from assaykit.sources.store import load_fitted, save_fitted
+from assaykit.table import scratch_path
 
 REG = ["quantity", "full_discount", "full_tax"]
 
@@ -41,6 +43,25 @@ def stump(spark, sf):
     return rounded(out.select("row_id", "prediction"), 3)
 
 
+@query("r10_binned_stump", CUT_SQL + f" SELECT row_id, round(CASE WHEN {_SIDE} THEN sl / nl ELSE (s - sl) / (n - nl) END, 3) + 0.0 AS prediction FROM samples, best")
+def binned_stump(spark, sf):
+    t = samples(spark, sf)
+    model = forest.decision_tree(t, REG[1:], "price", "row_id", max_depth=1)
+    return rounded(model.transform(t).select("row_id", "prediction"), 3)
+
+
+ONE_ROUND_SQL = CUT_SQL + f" SELECT row_id, round(s / n + 0.3 * CASE WHEN {_SIDE} THEN (sl - nl * s / n) / (nl + 1) ELSE ((s - sl) - (n - nl) * s / n) / (n - nl + 1) END, 3) + 0.0 AS prediction FROM samples, best"
+
+
+@query("io8_model_store", ONE_ROUND_SQL)
+def model_store(spark, sf):
+    """A fitted model that went through the store predicts what the fit did."""
+    t = samples(spark, sf)
+    model = hist_tree.xgb_regression(t, REG[1:], "price", "row_id", rounds=1, max_depth=1)
+    again = load_fitted(spark, save_fitted(spark, model, scratch_path(spark, "model")))
+    return rounded(again.transform(t).select("row_id", "prediction"), 3)
+
+
 @query("r14_one_round", CUT_SQL + f" SELECT row_id, round(s / n + 0.3 * CASE WHEN {_SIDE} THEN (sl - nl * s / n) / (nl + 1) ELSE ((s - sl) - (n - nl) * s / n) / (n - nl + 1) END, 3) + 0.0 AS prediction FROM samples, best")
 def one_round(spark, sf):
     t = samples(spark, sf)
@@ -54,6 +75,14 @@ def rfr(spark, sf):
     return _scored(trees.predict(trees.random_forest_regression(t, REG, "p", trees=20), t))
 
 
+@query("r11_out_of_bag")
+def rf_oob(spark, sf):
+    t = _price(spark, sf).select("row_id", *REG, "p")
+    model = forest.random_forest(t, REG, "p", "row_id", trees=100, max_depth=5)
+    bag = model.out_of_bag(t, "row_id").select("row_id", "oob_trees", "oob_prediction")
+    return rounded(bag, 4)
+
+
 @query("r12_extra_trees_regression")
 def etr(spark, sf):
     t = _price(spark, sf)
@@ -100,6 +129,20 @@ def rfc(spark, sf):
     return _classes(trees.predict(trees.random_forest_classification(t, dims(16), "label", trees=20), t))
 
 
+@query("c4_out_of_bag")
+def rfc_oob(spark, sf):
+    t = vectors(spark, sf, 64)
+    model = forest.random_forest(t, dims(64), "label", "vec_id", classes=tuple(range(10)), trees=100, max_depth=4, min_split=4)
+    return model.out_of_bag(t, "vec_id").select("vec_id", "oob_trees", F.col("oob_prediction").cast("long").alias("oob_prediction"))
+
+
+@query("c5_extra_trees_out_of_bag")
+def etc_oob(spark, sf):
+    t = vectors(spark, sf, 64)
+    model = forest.extra_trees(t, dims(64), "label", "vec_id", classes=tuple(range(10)), trees=100, max_depth=4, criterion="entropy", bootstrap=True)
+    return model.out_of_bag(t, "vec_id").select("vec_id", "oob_trees", F.col("oob_prediction").cast("long").alias("oob_prediction"))
+
+
 @query("c5_extra_trees_classification")
 def etc(spark, sf):
     t = vectors(spark, sf, 16)
@@ -158,6 +201,13 @@ def structure(spark, sf):
     return rounded(trees.tree_structure(trees.decision_tree_regression(t, REG, "p", 3), REG, spark), 4)
 
 
+@query("e20_tree_nodes")
+def tree_nodes(spark, sf):
+    t = _price(spark, sf)
+    model = forest.decision_tree(t, REG, "p", "row_id", max_depth=3)
+    return rounded(model.nodes(spark).select("node", "feature", "cut", "left", "right", "impurity", "weight", F.get("value", F.lit(0)).alias("value")), 3)
+
+
 @query("e21_loss_curve")
 def losses(spark, sf):
     t = _price(spark, sf).withColumn("q", F.col("quantity") / 25 - 1)

@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 
 from assaykit.table import cut_lineage
 
-CLASSES = 1 << 14
+CLASSES = 1 << 12
 # hashed slots of each context; the tables, and so what is broadcast, do not grow with the input
-SLOT_BITS = 21
+SLOT_BITS = 20
 # contexts of a token: the word before, the two before, the most frequent of the last few
 TOKEN_CONTEXTS = 3
 # contexts of a byte: how many bytes before it, the two that choose the gate first
-BYTE_ORDERS = (4, 3, 2, 1, 5)
+BYTE_ORDERS = (3, 2, 4)
 # words this frequent are scored where they are read, at most so many and of at most so many bytes; the others by a join
-TOP_WORDS = 1 << 17
+TOP_WORDS = 1 << 18
 TOP_BYTES = 64
 # one training text in so many teaches the mixer from the counts of the others
 MIXER_SHARE = 8
@@ -46,7 +46,7 @@ GATES = 64
 # rows and columns of the adaptive refinement, and the bits each cell starts with
 REFINE_ROWS, REFINE_COLUMNS, REFINE_PRIOR = 16, 33, 32.0
 # tokens worked on at once, and bytes of a piece of a long text
-BATCH_TOKENS = 1 << 14
+BATCH_TOKENS = 1 << 13
 PIECE_BYTES = 1 << 20
 CHUNK = 1 << 16
 END = b""
@@ -201,8 +201,9 @@ def _inputs(book: Codebook, tables: np.ndarray, ctx: list[np.ndarray], symbols:
     for i, c in enumerate(ctx):
         value = tables[i][slots(folded(c, i), size, node_spread)]
         if i < 2:
-            gate += (value & 3).astype(np.uint8) * np.uint8(4 if i else 16)
-        np.multiply(value >> 2, np.float32(1 / 256), out=x[i + 1])
+            gate += (value.view(np.uint8)[::2] & np.uint8(3)) << np.uint8(2 if i else 4)
+        # the two bits that say how sure a slot is move its log-odds by less than 1/256
+        np.multiply(value, np.float32(1 / 1024), out=x[i + 1])
     return size, book.bit[at], x, gate, book.level[at]
 
 
@@ -311,11 +312,11 @@ class Speller:
 
     def batches(self, words: Iterator[bytes]):
         """(owner of each symbol, symbols, contexts)."""
-        held, size = [], 0
+        held, size, reach = [], 0, max(BYTE_ORDERS)
         for i, w in enumerate(words):
             for start in range(0, len(w) + 1, BATCH_TOKENS):
                 stop = start + BATCH_TOKENS
-                held.append((i, w[max(0, start - 5) : stop], min(start, 5), stop > len(w)))
+                held.append((i, w[max(0, start - reach) : stop], min(start, reach), stop > len(w)))
                 size += min(stop, len(w)) - start + 1
                 if size >= BATCH_TOKENS:
                     yield self._finish(held)
@@ -328,7 +329,7 @@ class Speller:
         sizes = np.array([len(w) + ends for _, w, _, ends in held])
         place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         back = []
-        for k in range(1, 6):
+        for k in range(1, max(BYTE_ORDERS) + 1):
             x = np.zeros(len(symbols), np.uint64)
             x[k:] = symbols[:-k]
             x[place < k] = np.uint64(300)  # before the word
@@ -542,7 +543,7 @@ def _score_rows(texts: list, maybe_new: np.ndarray, words: Words, model: BitMode
     n = len(texts)
     n_top = len(words.top)
     tokens, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-    rare: list[list] = [[] for _ in range(n)]
+    rare: list[tuple[list, list, list, list]] = [([], [], [], []) for _ in range(n)]
     unseen = math.log(words.tokens + words.distinct + 1)
     for doc, ids, names, hashes, ctx in Reader(words.top, words.top_hash).batches(texts):
         symbols = _symbols(hashes)
@@ -565,9 +566,14 @@ def _score_rows(texts: list, maybe_new: np.ndarray, words: Words, model: BitMode
             as_escape[new] = spelling + bit_costs(words.book, model.tables, model.mixer, [c[rest[new]] for c in ctx], np.full(len(new), CLASSES))
         key, at = np.unique(doc[rest] * np.int64(len(names)) + which, return_inverse=True)
         sums = (np.bincount(at), np.bincount(at, weights=cost[rest]), np.bincount(at, weights=as_escape))
-        for k, m, a, b in zip(key.tolist(), *(x.tolist() for x in sums)):
-            rare[k // len(names)].append({"w": names[k % len(names)], "n": m, "a": a, "b": b})
-    return pd.DataFrame({"n_tokens": tokens, "known": known, "base": base, "score": score, "rare": rare})
+        texts_, which = np.divmod(key, len(names))
+        edges = np.flatnonzero(np.diff(texts_)) + 1  # keys ascend, so the words of a text are together
+        for first, last in zip([0, *edges.tolist()], [*edges.tolist(), len(key)]):
+            held = rare[int(texts_[first])]
+            held[0].extend([names[i] for i in which[first:last].tolist()])
+            for column, x in zip(held[1:], sums):
+                column.extend(x[first:last].tolist())
+    return pd.DataFrame({"n_tokens": tokens, "known": known, "base": base, "score": score, **{f"rare_{c}": [r[i] for r in rare] for i, c in enumerate("wnab")}})
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -600,12 +606,12 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 made.insert(0, "key", some["key"])
                 yield made
 
-    schema = f"key {dict(rows.dtypes)['key']}, size long, held_out boolean, n_tokens long, known long, base double, score double, rare array<struct<w: binary, n: long, a: double, b: double>>"
+    schema = f"key {dict(rows.dtypes)['key']}, size long, held_out boolean, n_tokens long, known long, base double, score double, rare_w array<binary>, rare_n array<long>, rare_a array<double>, rare_b array<double>"
     scored = rows.select("key", "t", "held_out").mapInPandas(score, schema)
     # the checkpoint fixes the row numbers that bring the joined words back
     scored = cut_lineage(scored.withColumn("row", F.monotonically_increasing_id()))
     class_total = F.xxhash64("w").bitwiseAND(CLASSES - 1).cast("int")
-    other = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "w", "left")
+    other = scored.select("row", F.explode(F.arrays_zip(*[F.col(f"rare_{x}").alias(x) for x in "wnab"])).alias("r")).select("row", "r.*").join(counts, "w", "left")
     totals = counts.groupBy(class_total.alias("k")).agg(F.sum("c").cast("double").alias("all"))  # at most 65536 rows
     other = other.withColumn("k", class_total).join(F.broadcast(totals), "k", "left")
     c = F.coalesce("c", F.lit(0)).cast("double")
@@ -614,7 +620,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         F.sum(F.when(F.col("c").isNotNull(), F.col("a") + F.col("n") * F.log(F.col("c") / F.col("all"))).otherwise(F.col("b"))).alias("more_score"),
     )
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    full = scored.drop("rare").join(other, "row", "left")
+    full = scored.drop(*[f"rare_{x}" for x in "wnab"]).join(other, "row", "left")
     model = plus("score", "more_score")
     return full.select(
         F.col("key").alias(key), "held_out", "n_tokens", plus("known", "more_known").alias("n_known"), F.lit(int(words.tokens)).cast("long").alias("train_tokens"),

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assaykit.operators.checks import check_rows, range_rules, require_clean
+from assaykit.operators.kernel_sums import smooth_sums
 from assaykit.operators.neighbors import build_cells, locations, sums_over
 from assaykit.operators.ordering import bucket_boundaries, running_totals, with_bucket
 from assaykit.table import c, cut_lineage, hash_uniform, nan_to_null
@@ -21,6 +22,8 @@ AGE_SCALE = 38.0
 WEIGHT_FACTOR = 0.2
 MAX_BINS = 10_000
 MAX_ITERATIONS = 10_000
+# up to here all pairs of positions are summed
+PAIRED = 20_000
 DRAWS_PER_TASK_GROUP = 250_000
 
 
@@ -61,18 +64,21 @@ def sample_weights(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Add ``weight`` = 0.2 / sum over all rows of (closeness in space + closeness in age).
 
     The sum separates into a location part and an age part. Each is computed between distinct positions
-    with their row counts, so repeated sites and ages cost nothing extra, and joined back by value.
+    with their row counts, so repeated sites and ages cost nothing extra, and joined back by value. Many positions
+    are summed through squares (``smooth_sums``) up to the rounding of doubles, so no pair of them is formed.
     """
     place, age = [spec.lat, spec.lon], [spec.age]
 
-    def part(columns: list[str], kernel) -> DataFrame:
+    def part(columns: list[str], scale: float) -> DataFrame:
         spots = cut_lineage(locations(df, columns))
-        tagged, cells = build_cells(spots)
-        sums = sums_over(spots.select("_f"), tagged, cells, kernel)
+        sums = smooth_sums(spots, scale, len(columns)) if spots.count() > PAIRED else None
+        if sums is None:
+            tagged, cells = build_cells(spots)
+            sums = sums_over(spots.select("_f"), tagged, cells, lambda d: 1.0 / ((d / scale) ** 2 + 1.0))
         return sums.select(*[F.col("_f")[i].alias(n) for i, n in enumerate(columns)], F.col("total").alias("_k_" + columns[0]))
 
-    near_place = part(place, lambda d: 1.0 / ((d / DEGREE_SCALE) ** 2 + 1.0))
-    near_age = part(age, lambda d: 1.0 / ((d / AGE_SCALE) ** 2 + 1.0))
+    near_place = part(place, DEGREE_SCALE)
+    near_age = part(age, AGE_SCALE)
     keyed = df
     for n in [*place, *age]:
         keyed = keyed.withColumn(n, c(n).cast("double"))

@@ -390,8 +390,13 @@ def sums_over(
 ) -> DataFrame:
     """Per query position: sum over points of count * weigh(distance), and optionally the weighted coordinates.
 
-    ``tagged`` holds ``_f`` and ``_n``. The result is keyed by ``_f``.
+    ``tagged`` holds ``_f`` and ``_n``. The result is keyed by ``_f``. Without a radius no cell can be left out, so blocks of
+    positions meet where they are stored.
     """
+    if radius is None and p == 2 and not coordinates:
+        from assaykit.operators.all_pairs import all_pair_sums
+
+        return all_pair_sums(spots, tagged.select("_f", "_n"), weigh).drop("tag")
     width = cells.width
     names = [f"_s{j}" for j in range(width)] if coordinates else []
     schema = "_f array<double>, total double" + "".join(f", {n} double" for n in names)
@@ -416,28 +421,17 @@ def sums_over(
     return pieces.groupBy("_f").agg(F.sum("total").alias("total"), *[F.sum(n).alias(n) for n in names])
 
 
-def label_distance_sums(df: DataFrame, features: Sequence[str], label: str, block: int = BLOCK) -> DataFrame:
+def label_distance_sums(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """For every position and cluster the sum of distances to the rows of that cluster.
 
-    Every position meets every cell, because the plain Euclidean silhouette is defined over all rows; the
+    Every position meets every block of points, because the plain Euclidean silhouette is defined over all rows; the
     output is positions x clusters, never pairs.
     """
-    points = locations(df, features, by=[label])
-    tagged, cells = build_cells(points, block)
-    kind = dict(points.dtypes)[label]
-    schema = f"_f array<double>, other {kind}, total double"
-
-    def add(a, b, x, y):
-        codes, index = np.unique(b[label].to_numpy(), return_inverse=True)
-        hot = np.zeros((len(b), len(codes)))
-        hot[np.arange(len(b)), index] = b["_n"].to_numpy()
-        total = np.concatenate([distances(x[s : s + 256], y) @ hot for s in range(0, len(x), 256)])
-        return pd.DataFrame({
-            "_f": np.repeat(a["_f"].to_numpy(), len(codes)), "other": np.tile(codes, len(a)), "total": total.ravel()
-        })
+    from assaykit.operators.all_pairs import all_pair_sums
 
+    points = cut_lineage(locations(df, features, by=[label]))
     spots = points.select("_f").distinct()
-    return block_join(spots, tagged, cells, add, schema, block=block).groupBy("_f", "other").agg(F.sum("total").alias("total"))
+    return all_pair_sums(spots, points, lambda d: d, label).withColumnRenamed("tag", "other")
 
 
 def euclidean_silhouette(df: DataFrame, features: Sequence[str], label: str, row_id: str) -> DataFrame:

@@ -43,6 +43,131 @@ def pair_distances(x: np.ndarray, y: np.ndarray, step: int = ROWS) -> Iterator[n
         yield np.sqrt(squares, out=squares)
 
 
+def _packed_points(points: DataFrame, rows: int, width: int) -> DataFrame:
+    """(m, g, no): blocks of up to ``rows`` positions in the order they come, with their numbers."""
+
+    def pack(batches):
+        x, no, size = [], [], 0
+        for batch in batches:
+            f = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for s in range(0, len(f), rows):
+                x.append(f[s : s + rows]), no.append(batch.column(1).slice(s, rows).to_numpy())
+                size += len(x[-1])
+                if size >= rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([np.concatenate(x).tobytes()], pa.binary()), pa.array([np.concatenate(no).tobytes()], pa.binary())], ["m", "g", "no"])
+                    x, no, size = [], [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([np.concatenate(x).tobytes()], pa.binary()), pa.array([np.concatenate(no).tobytes()], pa.binary())], ["m", "g", "no"])
+
+    return points.select("_f", "_no").mapInArrow(pack, "m int, g binary, no binary")
+
+
+class Nearest:
+    """The ``want`` nearest points of some positions so far, by (distance, number)."""
+
+    def __init__(self, x: np.ndarray, want: int) -> None:
+        self.x, self.want = x, want
+        self.distance, self.number = np.full((len(x), want), np.inf), np.full((len(x), want), np.iinfo(np.int64).max)
+
+    def add(self, y: np.ndarray, number: np.ndarray) -> None:
+        middle = y.mean(axis=0)
+        z = y - middle
+        long_y = (z * z).sum(axis=1)
+        reach, longest, twice = math.sqrt(long_y.max()), long_y.max(), np.ascontiguousarray(-2.0 * z.T)
+        far = np.sqrt(((self.x - middle) ** 2).sum(axis=1))
+        # a block whose ball lies beyond the last of a row's list holds nothing for it
+        asking = np.flatnonzero(far - reach - 1e-9 * (far + reach) <= self.distance[:, -1])
+        for s in range(0, len(asking), ROWS):
+            at = asking[s : s + ROWS]
+            rows = self.x[at] - middle
+            long_x = (rows * rows).sum(axis=1)
+            squares = rows @ twice
+            squares += long_x[:, None]
+            squares += long_y
+            slack = 1e-14 * (rows.shape[1] + 10) * (long_x + longest) + 1e-300
+            last = self.distance[at, -1]
+            cut = last * last * (1 + 1e-12) + slack
+            open_ = np.flatnonzero(np.isinf(last))
+            if len(open_) and len(y) > self.want:
+                cut[open_] = np.partition(squares[open_], self.want - 1, axis=1)[:, self.want - 1] + 2 * slack[open_]
+            i, j = np.nonzero(squares <= cut[:, None])
+            if not len(i):
+                continue
+            gap = np.zeros(len(i))
+            for k in range(y.shape[1]):
+                step = self.x[at[i], k] - y[j, k]
+                gap += step * step
+            self._merge(at, i, np.sqrt(gap), number[j])
+
+    def _merge(self, at: np.ndarray, i: np.ndarray, distance: np.ndarray, number: np.ndarray) -> None:
+        row = np.concatenate([np.repeat(np.arange(len(at)), self.want), i])
+        distance = np.concatenate([self.distance[at].ravel(), distance])
+        number = np.concatenate([self.number[at].ravel(), number])
+        order = np.lexsort((number, distance, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.want
+        self.distance[at[row[keep]], place[keep]] = distance[order[keep]]
+        self.number[at[row[keep]], place[keep]] = number[order[keep]]
+
+
+def nearest_of_all(spots: DataFrame, points: DataFrame, want: int, width: int, size: int) -> DataFrame:
+    """(_f, near): for each position of ``spots(_f)`` the numbers and distances of the ``want`` nearest of ``points(_f, _no, _cell)``, ties by number.
+
+    For many coordinates, where cells rule out little: blocks of queries meet blocks of points, which are cut along the cells.
+    """
+    rows = max(256, BLOCK_BYTES // (8 * (width + 1)))
+    parts = max(1, math.ceil(size * 8 * (width + 1) / PART_BYTES))
+    tasks = 3 * spots.sparkSession.sparkContext.defaultParallelism
+    small = max(64, min(rows, math.ceil(size / tasks)))
+    right = written(_packed_points(points.repartitionByRange(parts, "_cell", "_no").sortWithinPartitions("_cell", "_no"), rows, width).repartition(parts))
+    left_parts = max(tasks, min(1024, math.ceil(size / rows)))
+    left = _blocks(spots.select("_f").repartition(left_parts, "_f"), small, width, None)
+    left = written(left.select(F.expr("uuid()").alias("block"), "n", "f").repartition(left_parts))
+
+    def search(batches):
+        held, best = None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([held]), pa.array([best.distance.tobytes()], pa.binary()), pa.array([best.number.tobytes()], pa.binary())], ["block", "distance", "number"]
+            )
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = batch.column(0)[k].as_py()
+                if block != held:
+                    if best is not None:
+                        yield out()
+                    held, best = block, Nearest(np.frombuffer(batch.column(2)[k].as_buffer()).reshape(-1, width), want)
+                best.add(np.frombuffer(batch.column(4)[k].as_buffer()).reshape(-1, width), np.frombuffer(batch.column(5)[k].as_buffer(), dtype=np.int64))
+        if best is not None:
+            yield out()
+
+    met = left.hint("shuffle_replicate_nl").crossJoin(right)
+    pieces = met.mapInArrow(search, "block string, distance binary, number binary")
+    joined = pieces.groupBy("block").agg(F.collect_list(F.struct("distance", "number")).alias("lists")).join(left, "block")
+
+    def unpack(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                f = np.frombuffer(batch.column(1)[k].as_buffer())
+                lists = batch.column(0)[k].values
+                d = np.hstack([np.frombuffer(v.as_buffer()).reshape(-1, want) for v in lists.field(0)])
+                n = np.hstack([np.frombuffer(v.as_buffer(), dtype=np.int64).reshape(-1, want) for v in lists.field(1)])
+                order = np.lexsort((n, d), axis=1)[:, :want]
+                d, n = np.take_along_axis(d, order, axis=1), np.take_along_axis(n, order, axis=1)
+                good = np.isfinite(d)
+                ends = pa.array(np.r_[0, np.cumsum(good.sum(axis=1))].astype(np.int32))
+                spans = pa.array(np.arange(0, len(f) + 1, width, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    pa.ListArray.from_arrays(spans, pa.array(f)), pa.ListArray.from_arrays(ends, pa.array(n[good])), pa.ListArray.from_arrays(ends, pa.array(d[good])),
+                ], ["_f", "_nos", "_ds"])
+
+    found = joined.select("lists", "f").mapInArrow(unpack, "_f array<double>, _nos array<long>, _ds array<double>")
+    return found.select("_f", F.arrays_zip(F.col("_nos").alias("_no"), F.col("_ds").alias("distance")).alias("near"))
+
+
 def _blocks(df: DataFrame, rows: int, width: int, tag: str | None) -> DataFrame:
     """(block, n, f, weight): up to ``rows`` positions of one tag as bytes."""
     columns = [F.col("_f"), F.col("_n").cast("double").alias("_n") if "_n" in df.columns else F.lit(1.0).alias("_n")]

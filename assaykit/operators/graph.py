@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,8 +65,8 @@ def forest_roots(parents: DataFrame) -> DataFrame:
     raise RuntimeError("roots did not settle")
 
 
-def number_in_order(heads: DataFrame, key: str) -> DataFrame:
-    """0-based numbers of distinct keys in sorted order: sorted ranges, counted, then numbered inside."""
+def number_in_order(heads: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """0-based numbers of distinct keys in sorted order: sorted ranges, counted, then numbered inside. ``keep`` names further columns."""
     ranged = cut_lineage(heads.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").count().orderBy("_part").collect()
     start, offsets = 0, []
@@ -73,4 +75,4 @@ def number_in_order(heads: DataFrame, key: str) -> DataFrame:
         start += r["count"]
     table = F.broadcast(heads.sparkSession.createDataFrame(offsets, "_part int, _start long"))
     inside = F.row_number().over(W.partitionBy("_part").orderBy(key))
-    return ranged.withColumn("_k", inside).join(table, "_part").select(key, (F.col("_start") + F.col("_k") - 1).alias("_no"))
+    return ranged.withColumn("_k", inside).join(table, "_part").select(key, *keep, (F.col("_start") + F.col("_k") - 1).alias("_no"))

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assaykit.table import c, cut_lineage, features_array
+from assaykit.table import c, cut_lineage, features_array, q
 
 BLOCK = 2048
 # pivots travel to every task; with cells of TREE_BLOCK rows, each with its tree, they reach four billion positions
@@ -319,8 +319,20 @@ def nearest_neighbors(
     pool = cut_lineage(pool)
     tagged, cells = build_cells(pool, block, p)
     spots = cut_lineage(queries.select(features_array(features).alias("_f")).distinct())
-    found = _nearest_spots(spots, tagged, cells, want, dict(pool.dtypes), list(payload), p, block)
-    rows = queries.select(c(query_id).alias(query_id), features_array(features).alias("_f")).join(found, "_f")
+    asked = queries.select(c(query_id).alias(query_id), features_array(features).alias("_f"))
+    if p == 2 and len(features) > BOX_DIMENSIONS and len(cells.size) > 1:
+        from assaykit.operators.all_pairs import nearest_of_all
+        from assaykit.operators.graph import number_in_order
+
+        # numbers follow the ids, so ties go to the smaller one
+        names = [q(n) for n in tagged.columns if n != "neighbor"]
+        numbered = cut_lineage(number_in_order(tagged, "neighbor", names))
+        found = nearest_of_all(spots, numbered, want, len(features), int(cells.size.sum()))
+        rows = asked.join(found, "_f").select(c(query_id), F.explode("near").alias("_e")).select(c(query_id), "_e._no", "_e.distance")
+        rows = rows.join(numbered.select("_no", "neighbor", *[c(n) for n in payload]), "_no").drop("_no")
+    else:
+        found = _nearest_spots(spots, tagged, cells, want, dict(pool.dtypes), list(payload), p, block)
+        rows = asked.join(found, "_f")
     if exclude_self:
         rows = rows.filter(c(query_id) != F.col("neighbor"))
     final = W.partitionBy(query_id).orderBy("distance", "neighbor")

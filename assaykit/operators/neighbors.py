@@ -28,6 +28,9 @@ TREE_BLOCK = 1 << 16
 # boxes bound a cell better than balls in few dimensions only
 BOX_DIMENSIONS = 8
 LEAF = 256
+# beyond so many cells, rows look for theirs in groups of neighbours
+NEARBY = 1024
+GROUP = 64
 
 
 @dataclass(frozen=True)
@@ -47,11 +50,45 @@ class Cells:
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), dtype=np.int64)
+        if self.width <= BOX_DIMENSIONS and len(self.pivots) > NEARBY:
+            for ids, away, reach in self._around(x):
+                # the nearest pivot of each row is at most two radii farther from the middle than the middle's own
+                near = np.flatnonzero(away <= (away.min() + 2 * reach) * (1 + 1e-9) + 1e-300)
+                out[ids] = near[near_squares(x[ids], self.pivots[near]).argmin(axis=1)]
+            return out
         step = max(1, (1 << 22) // len(self.pivots))
         for s in range(0, len(x), step):
             out[s : s + step] = near_squares(x[s : s + step], self.pivots).argmin(axis=1)
         return out
 
+    def _around(self, x: np.ndarray):
+        """Rows in small groups of neighbours, with the distances of a group's middle to all pivots and its radius."""
+        todo = [np.arange(len(x))] if len(x) else []
+        while todo:
+            ids = todo.pop()
+            rows = x[ids]
+            if len(ids) > GROUP:
+                j = int(np.ptp(rows, axis=0).argmax())
+                order = np.argpartition(rows[:, j], len(ids) // 2)
+                todo += [ids[order[: len(ids) // 2]], ids[order[len(ids) // 2 :]]]
+                continue
+            middle = rows.mean(axis=0)[None, :]
+            yield ids, distances(middle, self.pivots)[0], float(distances(rows, middle).max())
+
+    def within(self, x: np.ndarray, radius: float, p: float) -> np.ndarray:
+        """How many filled cells lie within ``radius`` of each row."""
+        out = np.zeros(len(x), dtype=np.int64)
+        if p == 2 == self.p and len(self.pivots) > NEARBY:
+            groups = ((ids, away - reach - self.radius <= radius * (1 + 1e-9) + 1e-9 * (away + reach + self.radius)) for ids, away, reach in self._around(x))
+        else:
+            step = max(1, min(512, (1 << 22) // len(self.pivots)))
+            groups = ((np.arange(s, min(s + step, len(x))), np.ones(len(self.pivots), dtype=bool)) for s in range(0, len(x), step))
+        for ids, near in groups:
+            k = np.flatnonzero(near & (self.size > 0))
+            some = Cells(self.pivots[k], self.size[k], self.radius[k], *[v if v is None else v[k] for v in (self.low, self.high)], self.p)
+            out[ids] = (some.nearest(x[ids], p) <= radius * (1 + 1e-12)).sum(axis=1)
+        return out
+
     def nearest(self, x: np.ndarray, p: float) -> np.ndarray:
         """Smallest possible distance from each row of x to each cell."""
         out = np.zeros((len(x), len(self.pivots)))
@@ -387,11 +424,7 @@ def cells_visited(queries: DataFrame, points: DataFrame, features: Sequence[str]
 
     def count(batches):
         for pdf in batches:
-            x = _matrix(pdf["_f"])
-            step = max(1, min(512, (1 << 22) // len(cells.size)))
-            for s in range(0, len(x), step):
-                near = (cells.nearest(x[s : s + step], p) <= radius * (1 + 1e-12)) & (cells.size > 0)
-                yield pd.DataFrame({query_id: pdf[query_id].iloc[s : s + step], "cells": filled, "visited": near.sum(axis=1)})
+            yield pd.DataFrame({query_id: pdf[query_id], "cells": filled, "visited": cells.within(_matrix(pdf["_f"]), radius, p)})
 
     return rows.mapInPandas(count, f"`{query_id}` {dict(rows.dtypes)[query_id]}, cells long, visited long")
 

@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ MAX_ITERATIONS = 10_000
 # up to here all pairs of positions are summed
 PAIRED = 20_000
 DRAWS_PER_TASK_GROUP = 250_000
+# buckets of rows, which the driver and every task know
+MAX_BUCKETS = 4096
+# draws are passed on in lists of 2-byte places inside as many numbers
+CHUNK = 1 << 16
+DRAWS_PER_TASK = 500_000
 
 
 @dataclass(frozen=True)
@@ -92,43 +98,90 @@ def _jitter(centre: Column, spread: Column, u1: Column, u2: Column) -> Column:
     return centre + spread * F.sqrt(-2 * F.ln(1 - u1)) * F.cos(2 * math.pi * u2)
 
 
+def draw_lists(numbers: DataFrame) -> DataFrame:
+    """(_slot, _slice, _chunk, _places) for ``numbers(id, _slot, _slice)``: a number is CHUNK * _chunk + CHUNK / 2 + its place."""
+
+    def made(held: list) -> pa.RecordBatch:
+        number, slot, part = (np.concatenate(x) for x in zip(*held))
+        chunk = number // CHUNK
+        order = np.lexsort((number, part, slot, chunk))
+        number, slot, part, chunk = number[order], slot[order], part[order], chunk[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(slot) != 0) | (np.diff(part) != 0) | (np.diff(chunk) != 0)])
+        places = pa.array((number - chunk * CHUNK - CHUNK // 2).astype(np.int16))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(number)].astype(np.int32)), places)
+        return pa.RecordBatch.from_arrays([pa.array(slot[first]), pa.array(part[first]), pa.array(chunk[first]), lists], ["_slot", "_slice", "_chunk", "_places"])
+
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(i).to_numpy() for i in range(3)])
+                size += batch.num_rows
+            if size >= CHUNK:
+                yield made(held)
+                held, size = [], 0
+        if size:
+            yield made(held)
+
+    return numbers.select("id", "_slot", "_slice").mapInArrow(pack, "_slot double, _slice int, _chunk long, _places array<smallint>")
+
+
+def draw_plan(cells: DataFrame, whole: float, draws: int) -> tuple[list[float], DataFrame]:
+    """Starts of the buckets, and (_slot, _bucket, _slices): into how many slices the draws of a bucket are split."""
+    spans = cells.groupBy("_bucket").agg(F.min("_from").alias("lo"), (F.sum("weight") / F.lit(whole)).alias("share")).orderBy("lo").collect()
+    plan = [(float(i), float(r["_bucket"]), max(1, math.ceil(r["share"] * draws / DRAWS_PER_TASK_GROUP))) for i, r in enumerate(spans)]
+    return [r["lo"] for r in spans], F.broadcast(cells.sparkSession.createDataFrame(plan, "_slot double, _bucket double, _slices int"))
+
+
+def sliced_rows(weighted: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, DataFrame, list[float], int]:
+    """(rows, plan, starts, n): every row with its _slot, _slice and _from, once in each slice of its bucket.
+
+    There are as many buckets as the draws need, so that a bucket has one slice unless a few rows own much of the weight;
+    splitting few buckets into many slices would copy every row into each of them.
+    """
+    base = cut_lineage(weighted.withColumn("_u", hash_uniform(spec.seed, spec.row_id)))
+    totals = base.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
+    n, whole = totals["n"], totals["w"]
+    edges = bucket_boundaries(base, "_u", max(2, min(MAX_BUCKETS, math.ceil(2 * n * spec.iterations / DRAWS_PER_TASK_GROUP))))
+    start = running_totals(base, "_u", {"w": F.sum("weight")}, boundaries=edges).select("_u", (F.col("w_before") / F.lit(whole)).alias("_from"))
+    cells = cut_lineage(with_bucket(base.join(start, "_u"), "_u", edges))
+    starts, plan = draw_plan(cells, whole, n * spec.iterations)
+    rows = cells.join(plan, "_bucket").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    return rows, plan.select("_slot", "_slices"), starts, n
+
+
 def bootstrap_draws(weighted: DataFrame, spec: SeriesSpec) -> DataFrame:
     """n draws with replacement per iteration, proportional to weight: (iteration, draw, age, probability).
 
     Rows lie in hash order on [0, 1) by cumulative weight; a draw takes the row its uniform falls on. Draws and
     rows meet by a sorted merge inside buckets; a bucket that owns much of the weight is split into slices of
-    its draws, each of which sees all of the bucket's rows.
+    its draws, each of which sees all of the bucket's rows. Only the numbers of the draws are sent to their buckets, in lists
+    of two bytes a draw; their uniforms are hashed again there.
     """
     spark = weighted.sparkSession
-    base = cut_lineage(weighted.withColumn("_u", hash_uniform(spec.seed, spec.row_id)))
-    edges = bucket_boundaries(base, "_u")
-    totals = base.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
-    n, whole = totals["n"], totals["w"]
-    start = running_totals(base, "_u", {"w": F.sum("weight")}, boundaries=edges).select("_u", (F.col("w_before") / F.lit(whole)).alias("_from"))
-    placed = base.join(start, "_u")
-    cells = cut_lineage(with_bucket(placed, "_u", edges))
-    spans = cells.groupBy("_bucket").agg(F.min("_from").alias("lo"), (F.sum("weight") / F.lit(whole)).alias("share")).orderBy("lo").collect()
-    starts = [r["lo"] for r in spans]
-    slices = [max(1, math.ceil(r["share"] * n * spec.iterations / DRAWS_PER_TASK_GROUP)) for r in spans]
-    plan = F.broadcast(spark.createDataFrame(
-        [(float(i), float(r["_bucket"]), int(s)) for i, (r, s) in enumerate(zip(spans, slices))], "_slot double, _bucket double, _slices int"
-    ))  # one row per bucket
-    rows = cells.join(plan.select("_bucket", "_slot", "_slices"), "_bucket").select(
-        "_slot", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"), F.col("_from").alias("_pos"),
-        F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("iteration"), F.lit(None).cast("long").alias("draw"),
+    cells, plan, starts, n = sliced_rows(weighted, spec)
+    count = n * spec.iterations
+    rows = cells.select(
+        "_slot", "_slice", F.col("_from").alias("_pos"), F.lit(None).cast("long").alias("_chunk"), F.lit(None).cast("array<smallint>").alias("_places"),
         F.struct(c(spec.age).alias("age"), c(spec.age_max).alias("age_max"), c(spec.probability).alias("probability")).alias("_row"),
     )
-    numbers = spark.range(n * spec.iterations).select(
-        F.floor(F.col("id") / F.lit(n)).alias("iteration"), (F.col("id") % F.lit(n)).alias("draw")
-    )
-    u = numbers.withColumn("_pos", hash_uniform(f"{spec.seed}-draw", "iteration", "draw"))
-    draws = with_bucket(u, "_pos", sorted(set(starts[1:])), "_slot").join(plan.select("_slot", "_slices"), "_slot")
-    draws = draws.select(
-        "_slot", F.pmod(F.xxhash64("iteration", "draw"), F.col("_slices")).cast("int").alias("_slice"), "_pos",
-        F.lit(1).alias("_kind"), "iteration", "draw", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
-    )
+    iteration, draw = F.floor(F.col("id") / F.lit(n)).alias("iteration"), (F.col("id") % F.lit(n)).alias("draw")
+    cores = spark.sparkContext.defaultParallelism
+    numbers = spark.range(0, count, 1, max(3 * cores, math.ceil(count / (8 * DRAWS_PER_TASK)))).select("id", iteration, draw)
+    u = numbers.select("id", hash_uniform(f"{spec.seed}-draw", "iteration", "draw").alias("_pos"))
+    slots = with_bucket(u, "_pos", sorted(set(starts[1:])), "_slot").join(plan, "_slot")
+    lists = draw_lists(slots.select("id", "_slot", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int").alias("_slice")))
+    lists = lists.withColumn("_pos", F.lit(None).cast("double")).withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType))
+    # the number of tasks follows the draws, not the size of their lists
+    tasks = max(3 * cores, math.ceil(count / DRAWS_PER_TASK))
+    # as whole numbers, which the window below takes as they are: it would normalise doubles, and shuffle once more
+    both = rows.unionByName(lists).withColumn("_slot", F.col("_slot").cast("int")).repartition(tasks, "_slot", "_slice")
+    each = both.select("_slot", "_slice", "_pos", "_row", "_chunk", F.explode_outer("_places").alias("_place"))
+    each = each.withColumn("id", F.col("_chunk") * F.lit(CHUNK) + F.lit(CHUNK // 2) + F.col("_place"))
+    each = each.select("_slot", "_slice", "_pos", "_row", F.when(F.col("id").isNull(), 0).otherwise(1).alias("_kind"), iteration, draw)
+    each = each.withColumn("_pos", F.coalesce("_pos", hash_uniform(f"{spec.seed}-draw", "iteration", "draw")))
     merge = W.partitionBy("_slot", "_slice").orderBy("_pos", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    met = rows.unionByName(draws).withColumn("_hit", F.last("_row", ignorenulls=True).over(merge)).filter("_kind = 1")
+    met = each.withColumn("_hit", F.last("_row", ignorenulls=True).over(merge)).filter("_kind = 1")
     spread = (F.col("_hit.age_max") - F.col("_hit.age")) / 2
     return met.select(
         "iteration", "draw",

@@ -199,11 +199,14 @@ POISSON_INVERSE = 500.0
 def poisson_draws(weighted: DataFrame, spec: SeriesSpec, most: int = 12) -> DataFrame:
     """The large-scale form: every row decides by itself how often it is drawn, Poisson(n * p_i) per iteration.
 
-    No draw is shuffled. The copies of a row follow the Poisson inverse, summed until the uniform is reached.
+    No draw is shuffled. The copies of a row follow the Poisson inverse, summed until the uniform is reached. Rows are first dealt
+    to as many tasks as the draws need: a small file or a small join gives them to very few.
     """
+    weighted = cut_lineage(weighted.select(c(spec.row_id), c(spec.age), c(spec.age_max), c(spec.probability), "weight"))
     totals = weighted.agg(F.sum("weight").alias("w"), F.count("*").alias("n")).first()
     mean = F.lit(float(totals["n"])) * c("weight") / F.lit(totals["w"])
-    rows = weighted.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(spec.iterations - 1)))).withColumn("_m", mean)
+    tasks = max(3 * weighted.sparkSession.sparkContext.defaultParallelism, math.ceil(totals["n"] * spec.iterations / DRAWS_PER_TASK))
+    rows = weighted.repartition(tasks, c(spec.row_id)).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(spec.iterations - 1)))).withColumn("_m", mean)
     seed = spec.seed
 
     def copies(u: np.ndarray, m: np.ndarray) -> np.ndarray:

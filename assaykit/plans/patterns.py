@@ -21,7 +21,7 @@ Fit = Callable[..., DataFrame]
 
 # every entry takes (table, features, row id, settings) and returns one row per table row
 PATTERNS: dict[tuple[str, str], Fit] = {
-    ("clustering", "kmeans"): lambda d, f, r, **k: cluster.kmeans(d, f, **k).transform(d).select(c(r), "cluster"),
+    ("clustering", "kmeans"): lambda d, f, r, **k: cluster.kmeans(d, f, row_id=r, **k).transform(d).select(c(r), "cluster"),
     ("clustering", "dbscan"): lambda d, f, r, **k: dbscan(d, f, r, **k),
     ("clustering", "optics"): lambda d, f, r, **k: cluster.optics(d, f, r, **k),
     ("clustering", "agglomerative"): lambda d, f, r, **k: cluster.agglomerative(d, f, r, **k),

@@ -152,14 +152,20 @@ class TreeEnsemble:
         from pyspark.sql.functions import pandas_udf
 
         model = self
+        columns = [c(f).cast("double") for f in self.binning.features]
+        if self.classes is None:  # one number a row, not a list
+
+            @pandas_udf("double")
+            def value(*cols: pd.Series) -> pd.Series:
+                return pd.Series(model.raw(np.column_stack([col.to_numpy(dtype=float) for col in cols]))[:, 0])
+
+            return df.withColumn(output, value(*columns))
 
         @pandas_udf("array<double>")
         def score(*cols: pd.Series) -> pd.Series:
             return pd.Series(list(model.probabilities(np.column_stack([col.to_numpy(dtype=float) for col in cols]))))
 
-        out = df.withColumn("probability", score(*[c(f).cast("double") for f in self.binning.features]))
-        if self.classes is None:
-            return out.withColumn(output, F.col("probability")[0]).drop("probability")
+        out = df.withColumn("probability", score(*columns))
         at = F.array_position("probability", F.array_max("probability")).cast("int")
         return out.withColumn(output, F.element_at(F.array(*[F.lit(v) for v in self.classes]), at))
 
@@ -234,26 +240,32 @@ def _slopes(kind: str, y: np.ndarray, score: np.ndarray, quantile: float, delta:
 def boost(
     df: DataFrame, features: Sequence[str], target: str, row_id: str, loss: str = "squared_error", rounds: int = 100, rate: float = 0.3,
     max_depth: int = 6, subsample: float = 1.0, colsample: float = 1.0, l1: float = 0.0, l2: float = 1.0, min_child: float = 1.0,
-    gamma: float = 0.0, bins: int = 32, quantile: float = 0.9, seed: int = 42, classes: Sequence | None = None,
+    gamma: float = 0.0, bins: int = 32, quantile: float = 0.9, seed: int = 42, classes: Sequence | None = None, binning: Binning | None = None,
 ) -> TreeEnsemble:
     """Second-order boosting. Missing values have their own bin, tried on both sides of every cut.
 
+    Several fits on one table can share the ``binning`` of its features (``fit_binning``).
+
     The slopes of the absolute and the quantile loss say only on which side of the score a target lies, so with these a
     finished tree gets the median (or quantile) of the residuals in each leaf as its values, in one more pass.
     """
     if classes is not None and list(classes) != list(range(len(classes))):
         raise ValueError("class labels have to be 0..K-1")
     outputs = 1 if classes is None or len(classes) == 2 else len(classes)
-    binning = fit_binning(df, features, bins)
+    binning = binning or fit_binning(df, features, bins)
+    if binning.features != tuple(features):
+        raise ValueError("the binning is one of other features")
     d = len(features)
     base, delta = np.zeros(outputs), 1.0
+    # only a subsample asks for the rows' hashes
     rows = df.select(
-        F.xxhash64(c(row_id)).alias("h"), c(target).cast("double").alias("y"), *[c(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
+        (F.xxhash64(c(row_id)) if subsample < 1 else F.lit(0).cast("long")).alias("h"), c(target).cast("double").alias("y"), *[c(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
     ).filter("y is not null")
     if classes is None:
-        row = rows.agg(F.avg("y").alias("m"), F.percentile_approx("y", [0.5, quantile], 10_000).alias("q"), F.stddev_pop("y").alias("s")).first()
-        start = {"squared_error": row["m"], "absolute_error": row["q"][0], "huber": row["q"][0], "quantile": row["q"][1]}[loss]
-        base, delta = np.array([start]), 1.35 * (row["s"] or 1.0)
+        share = quantile if loss == "quantile" else 0.5
+        start = F.avg("y") if loss == "squared_error" else F.percentile_approx("y", share, 10_000)
+        row = rows.agg(start.alias("m"), F.stddev_pop("y").alias("s")).first()
+        base, delta = np.array([row["m"]]), 1.35 * (row["s"] or 1.0)
 
     def make(columns):
         x = np.column_stack([columns[f"x{i}"] for i in range(d)]).astype(np.float64)

@@ -92,9 +92,10 @@ def etr(spark, sf):
 @query("r13_gradient_boosting_regression")
 def gbr(spark, sf):
     t = samples(spark, sf)
+    binning = hist_tree.fit_binning(t, REG)
     out = None
     for loss in ("squared_error", "absolute_error", "huber", "quantile"):
-        model = hist_tree.gradient_boosting_regression(t, REG, "price", "row_id", loss=loss, rounds=4, rate=0.5)
+        model = hist_tree.gradient_boosting_regression(t, REG, "price", "row_id", loss=loss, rounds=4, rate=0.5, binning=binning)
         one = rounded(evaluate.regression_scores(model.transform(t), "price", "prediction"), 3).withColumn("loss", F.lit(loss))
         out = one if out is None else out.unionByName(one)
     return out

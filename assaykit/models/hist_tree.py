@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from assaykit.operators.blocks import each, pack, sum_blocks, update
 from assaykit.operators.split import class_counts
-from assaykit.operators.sums import balanced, fan_out, sum_arrays
+from assaykit.operators.sums import balanced, fan_out
 from assaykit.table import c, cut_lineage
 
 MISSING = 255
@@ -90,27 +90,6 @@ def fit_binning(df: DataFrame, features: Sequence[str], bins: int = 32) -> Binni
     return Binning(tuple(features), tuple(tuple(sorted(set(row[f"e{i}"] or []))) for i in range(len(features))))
 
 
-def _binned(df: DataFrame, binning: Binning, target: str, row_id: str, outputs: int) -> DataFrame:
-    """(h, y, bins, score): h is the row hash, bins one byte per feature, score the running prediction."""
-    names = list(binning.features)
-
-    def convert(batches):
-        for pdf in batches:
-            codes = binning.codes(pdf[names].to_numpy(dtype=float))
-            yield pd.DataFrame({
-                "h": pdf["h"], "y": pdf["y"], "bins": [r.tobytes() for r in codes], "score": [[0.0] * outputs] * len(pdf)
-            })
-
-    base = df.select(
-        F.xxhash64(c(row_id)).alias("h"), c(target).cast("double").alias("y"), *[c(f).cast("double").alias(f) for f in names]
-    ).filter("y is not null")
-    return balanced(base).mapInPandas(convert, "h long, y double, bins binary, score array<double>")
-
-
-def _codes(pdf: pd.DataFrame, d: int) -> np.ndarray:
-    return np.frombuffer(b"".join(pdf["bins"].to_numpy()), dtype=np.uint8).reshape(len(pdf), d)
-
-
 def _mix(h: np.ndarray, seed: int) -> np.ndarray:
     """Uniform [0, 1) per row and seed from the row hash (splitmix finaliser)."""
     z = (h.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64))
@@ -452,8 +431,17 @@ def random_cut_forest(
     d = len(features)
     stats = 3 if classes is None else len(classes)
     binning = fit_binning(df, features, bins)
-    table = _binned(df, binning, target, row_id, 1).persist()
-    fan = fan_out(table)
+    rows = df.select(
+        (F.xxhash64(c(row_id)) if bootstrap else F.lit(0).cast("long")).alias("h"), c(target).cast("double").alias("y"),
+        *[c(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
+    ).filter("y is not null")
+
+    def make(columns):
+        x = np.column_stack([columns[f"x{i}"] for i in range(d)]).astype(np.float64)
+        return {"h": columns["h"].astype(np.int64), "y": columns["y"].astype(np.float64), "codes": binning.codes(x)}
+
+    blocks = pack(balanced(rows), make, ["h", "y", "codes"]).persist()
+    fan = fan_out(blocks)
     m = max_features or (d if classes is None else max(1, int(math.sqrt(d))))
     forest = [Tree() for _ in range(trees)]
     spans = {(t, 0): [(0, max(0, len(e) - 1)) for e in binning.edges] for t in range(trees)}
@@ -482,27 +470,38 @@ def random_cut_forest(
                     cuts[s] = [(int(j), int(rng.integers(spans[s][j][0], spans[s][j][1] + 1))) for j in movable]
                 index = {s: i for i, s in enumerate(batch)}
 
-                def add(pdf, batch=batch, cuts=cuts, index=index):
-                    code = _codes(pdf, d)
-                    base = statistics(pdf["y"].to_numpy())
-                    h = pdf["h"].to_numpy()
+                def add(n, parts, batch=batch, cuts=cuts, index=index):
+                    y = np.frombuffer(parts["y"], np.float64)
+                    code = np.frombuffer(parts["codes"], np.uint8).reshape(n, d)
+                    base = statistics(y)
                     out = np.zeros((len(batch), m + 1, stats))
                     for t in sorted({s[0] for s in batch}):
-                        leaf = forest[t].leaves(code)
-                        w = base * _poisson1(_mix(h, seed + 7919 * t))[:, None] if bootstrap else base
-                        order = np.argsort(leaf, kind="stable")
-                        ids, first = np.unique(leaf[order], return_index=True)
-                        for n, rows in zip(ids, np.split(order, first[1:])):
-                            i = index.get((t, int(n)))
-                            if i is None:
-                                continue
-                            out[i, m] += w[rows].sum(axis=0)
-                            for q, (j, b) in enumerate(cuts[(t, int(n))]):
-                                col = code[rows, j]
-                                out[i, q] += w[rows[(col <= b) | (col == MISSING)]].sum(axis=0)
+                        mine = [(i, node) for (tt, node), i in index.items() if tt == t]
+                        # nodes of a tree are neighbours in the batch; (feature, bin) of every node's cuts, feature -1 for none
+                        first, last = mine[0][0], mine[-1][0]
+                        place = np.full(len(forest[t].feature), -1)
+                        cut = np.full((last - first + 1, m, 2), -1)
+                        for i, node in mine:
+                            place[node] = i - first
+                            for q, pair in enumerate(cuts[(t, node)]):
+                                cut[i - first, q] = pair
+                        at = place[forest[t].leaves(code)]
+                        live = np.flatnonzero(at >= 0)
+                        at, w = at[live], base[live]
+                        if bootstrap:
+                            w = w * _poisson1(_mix(np.frombuffer(parts["h"], np.int64)[live], seed + 7919 * t))[:, None]
+                        for q in range(m + 1):
+                            if q < m:
+                                feature, bin_ = cut[at, q, 0], cut[at, q, 1]
+                                col = code[live, feature]
+                                side = np.flatnonzero((feature >= 0) & ((col <= bin_) | (col == MISSING)))
+                            else:
+                                side = slice(None)
+                            for k in range(stats):
+                                out[first : last + 1, q, k] += np.bincount(at[side], weights=w[side, k], minlength=last - first + 1)
                     return out.ravel()
 
-                sums = sum_arrays(table, add, fan).reshape(len(batch), m + 1, stats)
+                sums = sum_blocks(blocks, add, len(batch) * (m + 1) * stats, fan).reshape(len(batch), m + 1, stats)
                 # the library's sums pass through a mean; counts are whole numbers
                 counts = slice(0, 1) if classes is None else slice(None)
                 sums[..., counts] = np.rint(sums[..., counts])
@@ -536,7 +535,7 @@ def random_cut_forest(
             if not open_nodes:
                 break
     finally:
-        table.unpersist()
+        blocks.unpersist()
     outputs = 1 if classes is None else len(classes)
     for t in forest:
         t.value = [v if classes is None else (v if isinstance(v, list) else [0.0] * outputs) for v in t.value]

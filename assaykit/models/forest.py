@@ -127,7 +127,9 @@ class Forest(TreeEnsemble):
             raise ValueError("every tree has drawn every row: there is no out-of-bag vote without a bootstrap")
         model, features = self, self.binning.features
 
-        @F.pandas_udf("trees int, vote array<double>")
+        kind = "double" if self.classes is None else "array<double>"
+
+        @F.pandas_udf(f"trees int, vote {kind}")
         def votes(h: pd.Series, *cols: pd.Series) -> pd.DataFrame:
             bins = model.binning.codes(np.column_stack([x.to_numpy(dtype=float) for x in cols]))
             rows = h.to_numpy(np.int64)
@@ -137,12 +139,14 @@ class Forest(TreeEnsemble):
                 number += free
                 total[free] += np.asarray(tree.value, dtype=float)[tree.leaves(bins[free])].reshape(int(free.sum()), -1)
             mean = total / np.maximum(number, 1)[:, None]
+            if model.classes is None:  # one number a row, not a list
+                return pd.DataFrame({"trees": number, "vote": np.where(number > 0, mean[:, 0], np.nan)})
             return pd.DataFrame({"trees": number, "vote": [v if k else None for v, k in zip(mean, number)]})
 
         out = df.withColumn("_oob", votes(F.xxhash64(c(row_id)), *[c(f).cast("double") for f in features]))
         out = out.withColumn("oob_trees", F.col("_oob.trees"))
         if self.classes is None:
-            return out.withColumn("oob_prediction", F.get("_oob.vote", F.lit(0))).drop("_oob")
+            return out.withColumn("oob_prediction", F.col("_oob.vote")).drop("_oob")
         at = F.array_position("oob_probability", F.array_max("oob_probability")).cast("int")
         out = out.withColumn("oob_probability", F.col("_oob.vote")).drop("_oob")
         return out.withColumn("oob_prediction", F.when(F.col("oob_probability").isNotNull(), F.element_at(F.array(*[F.lit(v) for v in self.classes]), at)))
@@ -235,8 +239,11 @@ def grow_forest(
 
                 def add(n, parts, slots=slots, pick=pick, width=width):
                     h, y, slot_code, code = read(n, parts)
-                    out = np.zeros(width)
+                    out = np.zeros((len(batch) * m * SLOTS, stats))
                     for t, mine in slots.items():
+                        # nodes of a tree are neighbours in the batch, so a tree's rows are counted among its own sums only
+                        first = min(mine.values())
+                        own = out[first * m * SLOTS : (max(mine.values()) + 1) * m * SLOTS]
                         table = np.full(len(grown[t].feature), -1)
                         table[list(mine)] = list(mine.values())
                         at = table[grown[t].leaves(code)]
@@ -246,13 +253,14 @@ def grow_forest(
                             continue
                         place, weight, target_ = at[rows], w[rows], y[rows]
                         for q in range(m):
-                            flat = ((place * m + q) * SLOTS + slot_code[rows, pick[place, q]]) * stats
+                            flat = ((place - first) * m + q) * SLOTS + slot_code[rows, pick[place, q]]
                             if classes is None:
                                 for k, v in enumerate((weight, weight * target_, weight * target_ * target_)):
-                                    out += np.bincount(flat + k, weights=v, minlength=width)
+                                    own[:, k] += np.bincount(flat, weights=v, minlength=len(own))
                             else:
-                                out += np.bincount(flat + target_.astype(np.int64), weights=weight, minlength=width)
-                    return out
+                                flat = flat * stats + target_.astype(np.int64)
+                                own += np.bincount(flat, weights=weight, minlength=own.size).reshape(own.shape)
+                    return out.ravel()
 
                 hist = sum_blocks(blocks, add, width, fan).reshape(len(batch), m, SLOTS, stats)
                 if classes is None:

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assaykit.operators.all_pairs import counts_within, links_within, lowest_within
 from assaykit.operators.graph import connected_components, number_in_order
-from assaykit.operators.neighbors import BLOCK, block_join, build_cells, distances, locations, sums_over
-from assaykit.table import c, cut_lineage, features_array
+from assaykit.operators.neighbors import BLOCK, BOX_DIMENSIONS, block_join, build_cells, distances, locations, sums_over
+from assaykit.table import c, cut_lineage, features_array, written
 
 
 def close_pairs(x: np.ndarray, y: np.ndarray, eps: float, p: float) -> np.ndarray:
@@ -98,6 +99,38 @@ def _linked(core: DataFrame, eps: float, p: float, block: int) -> DataFrame:
     return named.join(least, "_c").select("_f", F.col("_l").alias("_id"))
 
 
+def _clusters_by_blocks(spots: DataFrame, eps: float, min_samples: int, width: int, size: int) -> DataFrame:
+    """(_f, cluster, near): for ``spots(_f, _id, _n, _cell)`` the cluster of each core position and the lowest cluster near each other one.
+
+    For many coordinates, where cells rule out little. A position asks until it has ``min_samples`` rows, or one link to another part; then parts
+    outside the largest look for links to others, until none has any: a link between two parts has an end outside the largest.
+    """
+    spots = written(number_in_order(spots, "_id", ["_f", "_n", "_cell"]))
+    counted = counts_within(spots, eps, min_samples, width, size)
+    core = written(counted.filter(F.col("total") >= min_samples).select("_no", F.col("_no").alias("comp"), F.lit(True).alias("open")))
+    cores, places = core.count(), spots.select("_f", "_no", "_cell")
+    asked, parts, last = cores, core, None
+    while asked:
+        nodes = written(places.join(parts, "_no"))
+        asking = nodes.filter(F.col("open") & (F.col("comp") != F.lit(-1 if last is None else last)))
+        found = connected_components(links_within(asking, nodes, eps, width, asked, cores))
+        parts = parts.join(found, F.col("comp") == F.col("node"), "left")
+        # a part without a link is whole
+        parts = written(parts.select("_no", F.coalesce("component", "comp").alias("comp"), F.col("component").isNotNull().alias("open")))
+        last = parts.groupBy("comp").count().orderBy(F.desc("count"), "comp").first()["comp"]
+        asked = parts.filter(F.col("open") & (F.col("comp") != last)).count()
+    heads = parts.groupBy("comp").agg(F.min("_no").alias("_l"))
+    numbers = number_in_order(heads, "_l", ["comp"]).select("comp", F.col("_no").alias("cluster"))
+    labelled = written(parts.join(numbers, "comp").select("_no", "cluster"))
+    outside = written(places.join(labelled, "_no", "left_anti"))
+    asked = outside.count()
+    out = places.join(labelled, "_no", "left")
+    if not asked or not cores:
+        return out.select("_f", "cluster", F.lit(None).cast("long").alias("near"))
+    near = lowest_within(outside, places.join(labelled, "_no"), eps, width, asked, cores)
+    return out.join(near, "_no", "left").select("_f", "cluster", "near")
+
+
 def dbscan(
     df: DataFrame, features: Sequence[str], row_id: str, eps: float = 0.5, min_samples: int = 5, p: float = 2.0,
     block: int = BLOCK,
@@ -105,12 +138,21 @@ def dbscan(
     """(row id, cluster, is_core). Clusters are numbered by their smallest core row; noise is -1.
 
     A border row joins the lowest-numbered cluster that has a core row within eps. Positions of one grid cell need no
-    comparing, and blocks report a spanning forest of their core connections, not every close pair.
+    comparing, and blocks report a spanning forest of their core connections, not every close pair. In many coordinates blocks
+    meet where they are stored, and positions ask for as many others as they need. A row with a feature that is missing or infinite is noise.
     """
     keyed = df.select(features_array(features).alias("_f"), c(row_id).alias("_id"))
-    spots = keyed.groupBy("_f").agg(F.count("*").alias("_n"), F.min("_id").alias("_id"))
+    spots = keyed.filter(F.forall("_f", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))))
+    spots = spots.groupBy("_f").agg(F.count("*").alias("_n"), F.min("_id").alias("_id"))
     spots = cut_lineage(spots)
     tagged, cells = build_cells(spots, block, p)
+    if p == 2 and len(features) > BOX_DIMENSIONS and len(cells.size) > 1:
+        found = written(_clusters_by_blocks(tagged, float(eps), min_samples, len(features), int(cells.size.sum())))
+        out = keyed.join(found, "_f", "left")
+        return out.select(
+            F.col("_id").alias(row_id), F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"),
+            F.col("cluster").isNotNull().alias("is_core"),
+        )
     # all rows of a thick grid cell lie within eps of each other, so only the others have to be counted
     gridded = cut_lineage(spots.withColumn("_g", _grid(eps, len(features), p)))
     thick = gridded.filter("_g is not null").groupBy("_g").agg(F.sum("_n").alias("_m")).filter(F.col("_m") >= min_samples).select("_g")

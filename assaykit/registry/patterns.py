@@ -10,7 +10,7 @@ from assaykit.models.isolation import isolation_forest
 from assaykit.operators import columns, evaluate, explain
 from assaykit.operators.sums import balanced
 from assaykit.registry.core import BINARY_FEATURES, SAMPLES_SQL, dims, query, rounded, samples, vectors, vectors_sql
-from assaykit.registry.distance import DBSCAN_SQL, EPS, MIN_SAMPLES, _d2, _knn_sql
+from assaykit.registry.distance import CUT_EPS, CUT_SQL, DBSCAN_SQL, EPS, MIN_SAMPLES, _knn_sql
 from assaykit.registry.linear import scaled_binary
 
 
@@ -46,10 +46,6 @@ def optics(spark, sf):
     return rounded(cluster.optics(vectors(spark, sf, 4), dims(4), "vec_id", MIN_SAMPLES, EPS))
 
 
-CUT_EPS = 1.17
-CUT_SQL = DBSCAN_SQL.replace(_d2(4), _d2(64)).replace(f"<= {EPS})", f"<= {CUT_EPS})")
-
-
 @query("k7_density_cut", f"WITH RECURSIVE {vectors_sql(64)}, {CUT_SQL} SELECT * FROM flat")
 def density_cut(spark, sf):
     """All coordinates; the tree of mutual reachability is cut at one eps."""

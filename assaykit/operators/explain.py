@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.operators.ordering import running_totals
-from assaykit.table import c, cut_lineage, hash_uniform
+from assaykit.operators.pairing import number_rows
+from assaykit.table import c, drop_shuffles, hash_uniform
 
 
 def permutation_importance(
@@ -18,27 +19,29 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, repeat, drop): loss of ``metric`` when one feature takes another row's value.
 
-    Rows get a dense number in hash order once; repeat r pairs row i with row (a_r i + b_r) mod n, a bijection,
-    so each repeat is one equi-join and all features of that repeat share it.
+    Rows get a dense number in hash order once; repeat r pairs row i with row (a_r i + b_r) mod n, a bijection.
+    All features of a repeat share its pairs, and what it sent is dropped before the next one. The row id is kept only
+    where the prediction or the score reads it.
     """
-    numbered = df.withColumn("_u", hash_uniform(seed, row_id))
-    order = running_totals(numbered.select("_u"), "_u", {"n": F.count("*")}).select("_u", F.col("n_before").alias("_i"))
-    base = cut_lineage(numbered.join(order, "_u").drop("_u"))
-    n = base.count()
-    whole = score(predict(base)).select(F.col(metric).alias("whole")).first()["whole"]
-    out = None
+    spark, names = df.sparkSession, [name for name in df.columns if name != row_id]
+    try:
+        score(predict(df.select(*[c(name) for name in names])))
+    except AnalysisException:
+        names = df.columns
+    base = number_rows(df, [hash_uniform(seed, row_id), F.xxhash64(c(row_id)), *[c(f) for f in features]], names)
+    n, drops = base.n, []
+    whole = score(predict(base.rows())).select(F.col(metric).cast("double").alias("whole")).first()["whole"]
     for r in range(repeats):
+        drop_shuffles(spark)
         step = next(a for a in range(max(2, int(n * (0.381966 + 0.05 * r))) % max(n, 2) or 1, 2 * n + 2) if math.gcd(a, n) == 1)
-        shift = 1 + (r * 7919) % max(n, 1)
-        other = base.select(F.pmod(F.col("_i") * F.lit(step) + F.lit(shift), F.lit(n)).alias("_i"), *[c(f).alias(f"_o{j}") for j, f in enumerate(features)])
-        paired = base.join(other, "_i")
+        paired, out = base.paired(features, step, 1 + (r * 7919) % max(n, 1)), None
         for j, f in enumerate(features):
-            swapped = paired.withColumn(f, F.col(f"_o{j}"))
-            one = score(predict(swapped)).select(
-                F.lit(f).alias("feature"), F.lit(r).alias("repeat"), (F.lit(whole) - F.col(metric)).alias("drop")
-            )
+            swapped = paired.withColumn(f, F.col(f"_o{j}")).select(*[c(name) for name in names])
+            one = score(predict(swapped)).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), (F.lit(whole) - F.col(metric)).cast("double").alias("drop"))
             out = one if out is None else out.unionByName(one)
-    return out
+        drops += [tuple(row) for row in out.collect()]  # one row a feature
+    base.remove()
+    return spark.createDataFrame(drops, "feature string, repeat int, drop double")
 
 
 def importance_summary(drops: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -100,6 +101,12 @@ def remove_scratch(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files stay until the driver collects the tables that read them; loops that shuffle much ask for that."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative jobs restart from shared storage when executors are lost."""
     spark = df.sparkSession
